@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwright.llm import groups, splits
+from shelfwright.llm import groups, mixing, packing, pieces, splits
 from shelfwright.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,43 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "match_edges")
     return groups.group_links(edges, groups.connected_groups(edges))
+
+
+@query()
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity, _ = pieces.limit_of(table(spark, sf_dir, "size_limits"), "container")
+    return packing.pack(table(spark, sf_dir, "documents"), capacity)
+
+
+@query()
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity, _ = pieces.limit_of(table(spark, sf_dir, "size_limits"), "container")
+    return packing.packing_report(packing.pack(table(spark, sf_dir, "documents"), capacity), capacity)
+
+
+@query()
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"))[0]
+
+
+@query()
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.reached(*mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix")))
+
+
+_SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+@query(
+    rf"""
+SELECT doc_id FROM documents
+WHERE len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_SPACES}]+')) > (SELECT max_tokens FROM size_limits WHERE task = 'piece')
+"""
+)
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.oversized(table(spark, sf_dir, "documents"), *pieces.limit_of(table(spark, sf_dir, "size_limits"), "piece"))
+
+
+@query()
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split_texts(table(spark, sf_dir, "documents"), *pieces.limit_of(table(spark, sf_dir, "size_limits"), "piece"))
