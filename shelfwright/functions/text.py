@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What Python's str.strip() and \s take for white space.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The public WordPunct tokenizer: runs of word characters (Unicode letters, numbers, underscore) and of other non-space characters.
 WORDPUNCT = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACE}]+"
 
