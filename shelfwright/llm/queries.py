@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwright.llm import groups, mixing, packing, pieces, splits
+from shelfwright.llm import canonical, groups, mixing, packing, pieces, splits
 from shelfwright.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,17 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.map_fields(table(spark, sf_dir, "training_candidate"), table(spark, sf_dir, "brand_reference")).select("record_id", "field_name", "brand_id")
+
+
+@query()
+def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = canonical.map_fields(table(spark, sf_dir, "training_candidate"), table(spark, sf_dir, "brand_reference"))
+    return cases.groupBy("field_name", "value", "brand_id", "how").agg(F.count("*").alias("n_rows"))
+
+
 _CURRENT = r"""
 current_rows AS (
   SELECT record_id, max(struct_pack(t := assigned_at, s := split, g := group_id)) AS last FROM (
