@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import canonical, groups, mixing, packing, pieces, splits
+from shelfwright.llm import canonical, crosssplit, groups, mixing, packing, pieces, splits
 from shelfwright.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,21 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+@query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosssplit.overlaps(table(spark, sf_dir, "training_candidate"), table(spark, sf_dir, "assignments"))
+
+
+@query()
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosssplit.overlap_classes(table(spark, sf_dir, "training_candidate"), table(spark, sf_dir, "assignments"))
+
+
+@query()
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosssplit.overlap_report(table(spark, sf_dir, "training_candidate"), table(spark, sf_dir, "assignments"))
+
+
 @query()
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.map_fields(table(spark, sf_dir, "training_candidate"), table(spark, sf_dir, "brand_reference")).select("record_id", "field_name", "brand_id")
