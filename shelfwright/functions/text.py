@@ -18,7 +18,7 @@ def strip(c: Column) -> Column:
 
 def missing(c: Column) -> Column:
     """NULL, empty, blank or the word null in any letter case; never NULL itself."""
-    return c.isNull() | F.lower(strip(c)).isin("", "null")
+    return c.isNull() | c.rlike(f"^[{SPACE}]*(?i:null)?[{SPACE}]*$")
 
 
 def present(c: Column) -> Column:
