@@ -17,7 +17,11 @@ of all prefixes. Ids of classes and shingles are 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +40,45 @@ BROADCAST_IDS = 500_000
 def words(*columns: str) -> Column:
     """The words of a text: runs of the letters a-z, lower-cased; markup, figures and all other characters separate them."""
     text = F.lower(F.concat_ws(" ", *columns))
-    return F.regexp_replace(text, r"(?:<[^<>]*>|&[a-z]{2,8};|&#[0-9]+;|[^a-z])+", " ")
+    text = F.when(F.contains(text, F.lit("<")) | F.contains(text, F.lit("&")), F.regexp_replace(text, r"<[^<>]*>|&#?[a-z0-9]{2,8};", " ")).otherwise(text)
+    return F.regexp_replace(text, "[^a-z]+", " ")
+
 
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of the distinct runs of `size` words of each words() text, by text and hash.
 
-def shingles(text: Column, size: int = SHINGLE) -> Column:
-    """Hashes of the distinct runs of `size` words of words(); a shorter text is one run, a text without words has none."""
-    w = F.transform(F.split(F.trim(text), " "), lambda x: F.xxhash64(x))
-    runs = lambda ws: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - size, F.lit(0))), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(size)]))
-    once = F.get(F.transform(F.array(w), runs), 0)  # binds the words, which are hashed once a text
-    return F.when(F.trim(text) == "", F.array().cast("array<bigint>")).otherwise(F.array_distinct(once))
+    A shorter text is one run; one without words has none. Hashes are the same on every machine.
+    """
+    seen: dict[str, int] = {}
+    flat: list[int] = []
+    lengths = np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        ws = text.split() if text else []
+        for w in ws:
+            h = seen.get(w)
+            if h is None:
+                h = seen[w] = xxhash.xxh64_intdigest(w)
+            flat.append(h)
+        if 0 < len(ws) < size:
+            flat.extend([0] * (size - len(ws)))
+        lengths[i] = max(len(ws), size) if ws else 0
+    words_ = np.array(flat, dtype=np.uint64)
+    runs = np.maximum(lengths - (size - 1), 0)
+    doc = np.repeat(np.arange(len(texts)), runs)
+    if not len(doc):
+        return doc, np.empty(0, dtype=np.int64)
+    begin = np.cumsum(lengths) - lengths
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(begin, runs)
+    h = np.zeros(len(doc), dtype=np.uint64)
+    for k in range(size):
+        h = (h ^ words_[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h = h.view(np.int64)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    return doc[new], h[new]
 
 
 def _texts(listings: DataFrame) -> DataFrame:
@@ -62,23 +96,61 @@ def _members(listings: DataFrame, assignments: DataFrame) -> DataFrame:
 
 def _counts(texts: DataFrame) -> bytes:
     """How many records have a shingle of each hash bucket, a byte a bucket on a scale of eighths of powers of two."""
-    bucket = F.pmod(F.col("h"), F.lit(COUNTERS)).cast("int").alias("b")
-    counted = texts.select(F.explode(shingles(F.col("text"))).alias("h")).groupBy(bucket).agg(F.count("*").alias("n")).toPandas()  # COUNTERS rows at most
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            _, h = shingle_sets(batch.column(0).to_pylist())
+            total += np.bincount(h & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["b", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
     out = np.zeros(COUNTERS, dtype=np.uint8)
-    out[counted["b"].to_numpy()] = np.minimum(255, 8 * np.log2(1 + counted["n"].to_numpy()))
+    out[counted["b"].to_numpy(dtype=np.int64)] = np.minimum(255, 8 * np.log2(1 + counted["n"].to_numpy(dtype=np.float64)))
     return out.tobytes()
 
 
-def _image(s: Column) -> Column:
-    """A 256-bit image of a set as four longs; sets that differ in d elements have images that differ in at most d bits."""
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"w{k}") for k in range(4)])
+def _prefixes(classes: DataFrame, counts: bytes, share: float) -> DataFrame:
+    """A row (h, place) for each shingle of the prefix of each class, with the class, its size n and the 256-bit image of its set.
 
-    def add(acc: Column, h: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-        at = F.call_function("shiftright", h, F.lit(6)).bitwiseAND(F.lit(3))
-        return F.struct(*[F.when(at == k, acc[f"w{k}"].bitwiseOR(bit)).otherwise(acc[f"w{k}"]).alias(f"w{k}") for k in range(4)])
+    Sets that differ in d elements have images that differ in at most d bits. classes has (c, has_eval, has_train, text).
+    """
 
-    return F.aggregate(s, zero, add)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.frombuffer(counts, dtype=np.uint8)
+        for batch in batches:
+            doc, h = shingle_sets(batch.column(3).to_pylist())
+            if not len(doc):
+                continue
+            own, start, n = np.unique(doc, return_index=True, return_counts=True)
+            bit = np.uint64(1) << (h & 63).astype(np.uint64)
+            part = (h >> 6) & 3
+            image = [np.bitwise_or.reduceat(np.where(part == k, bit, np.uint64(0)), start).view(np.int64) for k in range(4)]
+            h = h[np.lexsort((h, rank[h & (COUNTERS - 1)], doc))]
+            keep = n - np.ceil(n * share - 1e-9).astype(np.int64) + 1
+            i = np.repeat(np.arange(len(own)), keep)
+            place = np.arange(len(i)) - np.repeat(np.cumsum(keep) - keep, keep)
+            who = pa.array(own[i])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[start[i] + place]), *(batch.column(k).take(who) for k in range(3)), pa.array(n[i].astype(np.int32)), pa.array(place.astype(np.int32)), *(pa.array(w[i]) for w in image)],
+                names=["h", "c", "has_eval", "has_train", "n", "place", "w0", "w1", "w2", "w3"],
+            )
+
+    schema = "h long, c long, has_eval boolean, has_train boolean, n int, place int, w0 long, w1 long, w2 long, w3 long"
+    return classes.select("c", "has_eval", "has_train", "text").mapInArrow(run, schema)
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(c, s) of (c, text): s is the whole set of a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, h = shingle_sets(batch.column(1).to_pylist())
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h))], names=["c", "s"])
+
+    return texts.select("c", "text").mapInArrow(run, "c long, s array<long>")
 
 
 def candidate_classes(texts: DataFrame, classes: DataFrame, counts: bytes, share: float = SHARE) -> DataFrame:
@@ -86,19 +158,13 @@ def candidate_classes(texts: DataFrame, classes: DataFrame, counts: bytes, share
 
     texts has the representatives' (record_id, text), classes has (record_id, c, has_eval, has_train).
     """
-    order = F.lit(bytearray(counts))
-    sets = texts.join(classes, "record_id").select("c", "has_eval", "has_train", shingles(F.col("text")).alias("s")).filter(F.size("s") > 0)
-    ranked = F.array_sort(F.transform("s", lambda h: F.struct(F.substring(order, F.pmod(h, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).alias("n"), h.alias("h"))))
-    n = F.size("s")
-    keep = n - F.ceil(n * share - 1e-9).cast("int") + 1
-    first = F.transform(F.slice(ranked, F.lit(1), keep), lambda x: x["h"])
-    rows = sets.select("c", "has_eval", "has_train", n.alias("n"), _image(F.col("s")).alias("m"), F.posexplode(first).alias("place", "h"))
-    side = lambda flag, x: rows.filter(flag).select("h", *[F.col(k).alias(x + k) for k in ("c", "n", "place")], *[F.col(f"m.w{k}").alias(f"{x}w{k}") for k in range(4)])
+    read = texts.join(classes, "record_id")
+    side = lambda flag, x: _prefixes(read.filter(flag), counts, share).select("h", *[F.col(k).alias(x + k) for k in ("c", "n", "place", "w0", "w1", "w2", "w3")])
     joined = side("has_eval", "a").join(side("has_train", "b"), "h")
     need = F.ceil((F.col("an") + F.col("bn")) * (share / (1 + share)) - 1e-9)
     differ = sum((F.bit_count(F.col(f"aw{k}").bitwiseXOR(F.col(f"bw{k}"))) for k in range(1, 4)), F.bit_count(F.col("aw0").bitwiseXOR(F.col("bw0"))))
-    # the shared shingle itself, what may come before it in both, what may come after it in both
-    at_most = 1 + F.least("aplace", "bplace") + F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace")) - 1
+    # what may be shared before this shingle, and from it on
+    at_most = F.least("aplace", "bplace") + F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace"))
     near = (F.col("ac") != F.col("bc")) & (F.least("an", "bn") >= F.greatest("an", "bn") * share - 1e-9) & (at_most >= need) & (F.col("an") + F.col("bn") - differ >= 2 * need)
     return joined.filter(near).select(F.col("ac").alias("c"), F.col("bc").alias("d")).distinct()
 
@@ -116,7 +182,7 @@ def linked_classes(listings: DataFrame, assignments: DataFrame, share: float = S
     n = pairs.count()
     wanted = pairs.select(F.explode(F.array("c", "d")).alias("c")).distinct().join(roles.select("c", "record_id"), "c")
     # the texts of the candidates only: their records are few next to all
-    sets = texts.join(_small(wanted, 2 * n), "record_id").select("c", shingles(F.col("text")).alias("s"))
+    sets = materialize(_sets(texts.join(_small(wanted, 2 * n), "record_id")), "sets")
     both = pairs.join(sets.withColumnRenamed("s", "sc"), "c").join(sets.select(F.col("c").alias("d"), F.col("s").alias("sd")), "d")
     common = F.size(F.array_intersect("sc", "sd"))
     similar = both.withColumn("similarity", common / (F.size("sc") + F.size("sd") - common)).filter(F.col("similarity") >= share).select("c", "d", "similarity")
