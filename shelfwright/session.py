@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ TABLES = (
     "assignments match_edges target_predictions review_events raw_rows brand_reference split_plan source_mix size_limits"
 ).split()
 
+_shipped: set[str] = set()
 _made: dict[str, list[str]] = {}
 
 
@@ -33,8 +35,23 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "shelfw
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the workers, wherever they run; once a session."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="shelfwright-code-"), "shelfwright.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in root.rglob("*.py"):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the project's parquet tables, a file or a folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
