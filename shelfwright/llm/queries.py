@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import canonical, crosssplit, groups, mixing, packing, pieces, splits
+from shelfwright.llm import canonical, crosssplit, groups, mixing, mojibake, packing, pieces, splits
 from shelfwright.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,16 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.reached_shares(splits.record_splits(table(spark, sf_dir, "assignments"), plan), plan)
 
 
+@query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repair_fields(table(spark, sf_dir, "training_candidate")).select("record_id", "field_name")
+
+
+@query()
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repair_fields(table(spark, sf_dir, "training_candidate"))
+
+
 @query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.connected_groups(table(spark, sf_dir, "match_edges"))
