@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 from shelfwright.functions.text import present
 
 #: Letters that fold to plain ones, one for one.
-ACCENTED, PLAIN = "àáâãäåāăąçćčďèéêëēęěìíîïīľłñńňòóôõöøōőřŕśšßťùúûüūůűýÿźżž’", "aaaaaaaaacccdeeeeeeeiiiiillnnnoooooooorrsssstuuuuuuuyyzzz'"
+LETTERS = {
+    "a": "àáâãäåāăą", "c": "çćč", "d": "ďđ", "e": "èéêëēęě", "g": "ğ", "i": "ìíîïīı", "l": "łľĺ", "n": "ñńň", "o": "òóôõöøōő", "r": "řŕ", "s": "śšßş", "t": "ťţ",
+    "u": "ùúûüūůű", "y": "ýÿ", "z": "źżž", "'": "’‘`",
+}
+ACCENTED = "".join(LETTERS.values())
+PLAIN = "".join(k * len(v) for k, v in LETTERS.items())
 #: Decorations to remove from a lower-cased value, in order, with what takes their place.
 DECORATIONS = (
     (r"â(?:€|\x{80})(?:™|\x{99})", "'"),
