@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import canonical, crosssplit, groups, mixing, mojibake, packing, pieces, splits
+from shelfwright.llm import canonical, crosssplit, groups, mixing, mojibake, packing, pieces, products, splits
 from shelfwright.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,16 @@ def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.groupBy("field_name", "value", "brand_id", "how").agg(F.count("*").alias("n_rows"))
 
 
+@query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.product_pairs(table(spark, sf_dir, "training_candidate"))
+
+
+@query()
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.product_groups(table(spark, sf_dir, "training_candidate"))
+
+
 _CURRENT = r"""
 current_rows AS (
   SELECT record_id, max(struct_pack(t := assigned_at, s := split, g := group_id)) AS last FROM (
