@@ -265,6 +265,17 @@ def test_readings():
     assert read("", "", "") == (None, None, None, None, None)
 
 
+def test_matching_equals_brute_force():
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        w = r.integers(0, 6, size=(r.integers(1, 5), r.integers(1, 5))).astype(float)
+        big = np.zeros((5, 5))
+        big[: w.shape[0], : w.shape[1]] = w
+        best = max(sum(big[i, p[i]] for i in range(5)) for p in itertools.permutations(range(5)))
+        pairs, total = products.matching(w)
+        assert total == best and len(set(pairs.values())) == len(pairs)
+
+
 def test_products(spark):
     rows = [
         ("a", "Acme Hibarar CoQ10 100 mg 45 gummies Peach", "s1"), ("b", "Hibarar | Ubiquinone Q10 | 0.1 g | Chewable Gummies x 45 | Ripe Peach", "s2"), ("c", "ACME HIBARAR Coenzyme Q10 100mg 45 ct Gummy Chews peach flavoured", "s1"),
