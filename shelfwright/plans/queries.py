@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwright.functions import identifiers
-from shelfwright.functions.text import present, strip
-from shelfwright.operators import cleaning, evaluation, ledger, resolution
+from shelfwright.functions.text import key, present, strip
+from shelfwright.operators import cleaning, evaluation, graph, ledger, models, resolution
 from shelfwright.operators.assignments import current_assignments
 from shelfwright.session import table
 from shelfwright.sources import rejects
@@ -592,3 +592,146 @@ def srt_sample_per_retailer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def srt_largest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-k report: the 25 largest groups, ties by id."""
     return now(spark, sf_dir).filter("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group_id").limit(25)
+
+
+@query(
+    f"""WITH {_EDGES}, b AS (SELECT "left" AS record_id, best_score FROM edges UNION ALL SELECT "right", best_score FROM edges)
+SELECT record_id, count(*) AS degree, max(best_score) AS best_score FROM b GROUP BY 1"""
+)
+def gr_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(table(spark, sf_dir, "match_edges"))
+
+
+@query(
+    f"""WITH {_EDGES}, t AS (SELECT x."left" AS a, x."right" AS b, y."right" AS c FROM edges x JOIN edges y ON x."right" = y."left" JOIN edges z ON z."left" = x."left" AND z."right" = y."right"),
+v AS (SELECT a AS record_id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) SELECT record_id, count(*) AS n FROM v GROUP BY 1"""
+)
+def gr_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.triangles(table(spark, sf_dir, "match_edges"))
+
+
+@query(
+    f"""WITH {_EDGES}, {_NOW} SELECT CASE WHEN x.group_id IS NULL OR y.group_id IS NULL THEN 'ungrouped' WHEN x.group_id = y.group_id THEN 'within' ELSE 'between' END AS kind, count(*) AS n
+FROM edges LEFT JOIN now_rows x ON x.record_id = "left" LEFT JOIN now_rows y ON y.record_id = "right" GROUP BY 1"""
+)
+def gr_link_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.group_link_types(table(spark, sf_dir, "match_edges"), now(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_NOW}, s AS (SELECT group_id, count(*) AS n FROM now_rows WHERE group_id IS NOT NULL GROUP BY 1), t AS (SELECT CAST(unnest([2, 5, 10, 20]) AS INTEGER) AS threshold)
+SELECT threshold, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_records, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM s JOIN t ON n >= threshold GROUP BY 1"""
+)
+def gr_size_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.size_screen(now(spark, sf_dir))
+
+
+_LABELLED = f"""
+lab AS (SELECT n.split, lower({_strip("t.ProductBrand")}) AS k, {_strip("t.Segment")} AS label FROM training_candidate t JOIN now_rows n USING (record_id) WHERE {_present("t.Segment")} AND n.split IS NOT NULL),
+rows_ AS (SELECT split, CASE WHEN k NOT IN ('', 'null') THEN k END AS k, label FROM lab),
+mem AS (SELECT k, min(label) AS label, count(*) AS n FROM rows_ WHERE split = 'train' AND k IS NOT NULL GROUP BY 1 HAVING min(label) = max(label))
+"""
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = listings(spark, sf_dir).filter(present(F.col("Segment"))).select("record_id", key(F.col("ProductBrand")).alias("k"), strip(F.col("Segment")).alias("label"))
+    return now(spark, sf_dir).filter("split is not null").select("record_id", "split").join(seg, "record_id")
+
+
+@query(f"""WITH {_NOW}, {_LABELLED} SELECT k AS "key", label, n FROM mem""")
+def jn_key_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labelled(spark, sf_dir)
+    return models.key_memory(rows.filter("split = 'train' and k is not null"), "k", "label")
+
+
+@query(
+    f"""WITH {_NOW}, {_LABELLED}, seen AS (SELECT DISTINCT k FROM rows_ WHERE split = 'train' AND k IS NOT NULL)
+SELECT CASE WHEN r.k IS NULL THEN 'missing' WHEN s.k IS NOT NULL THEN 'seen' ELSE 'unseen' END AS cohort, count(*) AS n, count(m.label) AS covered, CAST(coalesce(sum(CASE WHEN m.label = r.label THEN 1 ELSE 0 END), 0) AS BIGINT) AS correct
+FROM rows_ r LEFT JOIN seen s ON s.k = r.k LEFT JOIN mem m ON m.k = r.k WHERE r.split = 'validation' GROUP BY 1"""
+)
+def agg_lookup_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labelled(spark, sf_dir)
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
+    memory = models.key_memory(train.filter("k is not null"), "k", "label")
+    marked = models.apply_memory(models.cohorts(train, test, "k"), memory, "k")
+    hit = F.coalesce((F.col("remembered") == F.col("label")).cast("long"), F.lit(0))
+    return marked.groupBy("cohort").agg(F.count("*").alias("n"), F.count("remembered").alias("covered"), F.sum(hit).alias("correct"))
+
+
+@query(
+    f"""WITH {_NOW}, r AS (SELECT {_strip("t.Segment")} AS label, n.split FROM training_candidate t JOIN now_rows n USING (record_id) WHERE {_present("t.Segment")} AND n.split IN ('train', 'validation'))
+SELECT label, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'validation') AS n_validation, count(*) FILTER (split = 'train') = 0 AS unseen FROM r GROUP BY 1"""
+)
+def agg_label_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labelled(spark, sf_dir).filter("split in ('train', 'validation')")
+    of = lambda s: F.sum((F.col("split") == s).cast("long"))
+    return rows.groupBy("label").agg(of("train").alias("n_train"), of("validation").alias("n_validation")).withColumn("unseen", F.col("n_train") == 0)
+
+
+@query(
+    f"""WITH {_PRED}, b AS (SELECT target, predicted_label, count(*) AS n, count(DISTINCT record_id) AS n_records, sum(CASE WHEN true_label = predicted_label THEN 1 ELSE 0 END) AS k FROM pred GROUP BY ALL)
+SELECT target, predicted_label, n, n_records, round(k / n, 9) AS accuracy, CASE WHEN k = n THEN 'error_free' WHEN k / n >= 0.99 THEN 'over_99' ELSE 'below' END AS screen FROM b"""
+)
+def agg_class_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = predictions(spark, sf_dir)
+    b = rows.groupBy("target", "predicted_label").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("n_records"), F.sum(evaluation.right(rows)).alias("k"))
+    screen = F.when(F.col("k") == F.col("n"), "error_free").when(F.col("k") / F.col("n") >= 0.99, "over_99").otherwise("below")
+    return b.select("target", "predicted_label", "n", "n_records", F.round(F.col("k") / F.col("n"), 9).alias("accuracy"), screen.alias("screen"))
+
+
+@query(
+    f"""WITH {_PRED}, v AS (SELECT prediction_id, CASE WHEN confidence IS NULL THEN 'confidence_missing' WHEN confidence < 0 OR confidence > 1 THEN 'confidence_range' END AS a,
+ CASE WHEN record_id NOT IN (SELECT record_id FROM training_candidate) THEN 'unknown_record' END AS b, CASE WHEN target NOT IN ('Brand', 'Mnfr', 'Segment', 'Sub-Segment', 'TargetAgeGroup', 'Platform', 'Category') THEN 'unknown_target' END AS c FROM pred)
+SELECT violation, count(*) AS n FROM (SELECT unnest([a, b, c]) AS violation FROM v) WHERE violation IS NOT NULL GROUP BY 1"""
+)
+def ev_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = listings(spark, sf_dir).select("record_id").distinct().withColumn("known", F.lit(True))
+    rows = predictions(spark, sf_dir).join(known, "record_id", "left")
+    wrong = F.array(
+        F.when(F.col("confidence").isNull(), "confidence_missing").when(~F.col("confidence").between(0, 1), "confidence_range"), F.when(F.col("known").isNull() & F.col("record_id").isNotNull(), "unknown_record"),
+        F.when(~F.col("target").isin("Brand", "Mnfr", "Segment", "Sub-Segment", "TargetAgeGroup", "Platform", "Category"), "unknown_target"),
+    )
+    return rows.select(F.explode(wrong).alias("violation")).filter("violation is not null").groupBy("violation").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_PRED}, a AS (SELECT target, record_id, max(CASE WHEN true_label = predicted_label THEN 1 ELSE 0 END) AS x FROM pred WHERE model_version = 'tfidf-3' GROUP BY ALL),
+b AS (SELECT target, record_id, max(CASE WHEN true_label = predicted_label THEN 1 ELSE 0 END) AS y FROM pred WHERE model_version <> 'tfidf-3' GROUP BY ALL)
+SELECT target, count(*) AS n, CAST(sum(x) AS BIGINT) AS first_correct, CAST(sum(y) AS BIGINT) AS second_correct, CAST(sum(CASE WHEN x = 1 AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS lost FROM a JOIN b USING (target, record_id) GROUP BY 1"""
+)
+def ev_paired_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = predictions(spark, sf_dir).filter("model_version is not null")
+    side = lambda cond, name: rows.filter(cond).groupBy("target", "record_id").agg(F.max(evaluation.right(rows)).alias(name))
+    both = side(F.col("model_version") == "tfidf-3", "x").join(side(F.col("model_version") != "tfidf-3", "y"), ["target", "record_id"])
+    lost = ((F.col("x") == 1) & (F.col("y") == 0)).cast("long")
+    return both.groupBy("target").agg(F.count("*").alias("n"), F.sum("x").alias("first_correct"), F.sum("y").alias("second_correct"), F.sum(lost).alias("lost"))
+
+
+@query(
+    f"""WITH {_NOW}, r AS (SELECT n.group_id, bool_and(n.split = 'train') AS eligible, count(*) AS n FROM now_rows n WHERE n.group_id IS NOT NULL AND n.split IS NOT NULL GROUP BY 1)
+SELECT group_id, n FROM r WHERE eligible AND ('0x' || substr(sha256('reserve|' || group_id), 1, 13))::BIGINT / 4503599627370496.0 < 0.1"""
+)
+def spl_reserved_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole groups of train records only, reserved by a seeded hash fraction of a tenth."""
+    g = now(spark, sf_dir).filter("group_id is not null and split is not null").groupBy("group_id").agg(F.bool_and(F.col("split") == "train").alias("eligible"), F.count("*").alias("n"))
+    return g.filter(F.col("eligible") & (identifiers.hash_fraction("reserve", F.col("group_id")) < 0.1)).select("group_id", "n")
+
+
+@query(
+    f"""SELECT dataset, source_row, count(*) AS n, count(DISTINCT record_id) AS n_ids FROM training_candidate GROUP BY ALL
+HAVING count(*) > 1 OR min(record_id) <> sha256('["' || dataset || '","' || any_value(source_sha256) || '","' || source_row || '"]')"""
+)
+def ver_record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose record_id is not the digest of their provenance, or whose provenance repeats."""
+    own = F.sha2(F.to_json(F.array("dataset", "source_sha256", F.col("source_row").cast("string"))), 256)
+    g = listings(spark, sf_dir).withColumn("wrong", (F.col("record_id") != own).cast("int")).groupBy("dataset", "source_row").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("n_ids"), F.max("wrong").alias("wrong"))
+    return g.filter("n > 1 or wrong = 1").select("dataset", "source_row", "n", "n_ids")
+
+
+@query()
+def mdl_text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment from names and descriptions: fitted on train, (label, n, correct) on validation."""
+    text = listings(spark, sf_dir).filter(present(F.col("Segment"))).select("record_id", F.concat_ws(" ", "ProductName", "ProductDescription").alias("text"), strip(F.col("Segment")).alias("label"))
+    rows = now(spark, sf_dir).filter("split is not null").select("record_id", "split").join(text, "record_id")
+    out = models.predicted(models.text_classifier(rows.filter("split = 'train'"), "text", "label"), rows.filter("split = 'validation'"))
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("predicted_label")).cast("long")).alias("correct"))
