@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwright.functions.identifiers import char_ngrams, name_key
 from shelfwright.functions.text import present
+from shelfwright.session import materialize
 
 
 def named(listings: DataFrame) -> DataFrame:
@@ -66,16 +67,17 @@ def set_similarity(rows: DataFrame, k: int = 5, share: float = 0.85) -> DataFram
 
     Lossless: of each set the m - ceil(share m) + 1 rarest grams are joined, with a length filter, and the pairs verified.
     """
-    names = rows.select("name").distinct().withColumn("g", char_ngrams(F.col("name"), k)).withColumn("m", F.size("g"))
+    names = materialize(rows.select("name").distinct().select("name", char_ngrams(F.col("name"), k).alias("g")), "grams").withColumn("m", F.size("g"))
     each = names.select("name", "m", F.explode("g").alias("gram"))
     df = each.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = each.join(df, "gram").groupBy("name", "m").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("r"))
     first = ranked.select("name", "m", F.explode(F.slice("r", F.lit(1), F.col("m") - F.ceil(F.col("m") * share - 1e-9).cast("int") + 1)).alias("x")).select("name", "m", "x.gram")
     a, b = first.select("gram", F.col("name").alias("left_name"), F.col("m").alias("lm")), first.select("gram", F.col("name").alias("right_name"), F.col("m").alias("rm"))
     near = a.join(b, "gram").filter((F.col("left_name") < F.col("right_name")) & (F.least("lm", "rm") >= F.greatest("lm", "rm") * share - 1e-9)).select("left_name", "right_name").distinct()
-    x, y = char_ngrams(F.col("left_name"), k), char_ngrams(F.col("right_name"), k)
-    s = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    return near.withColumn("similarity", F.round(s, 9)).filter(F.col("similarity") >= share)
+    sets = names.select("name", "g")
+    both = near.join(sets.withColumnRenamed("name", "left_name").withColumnRenamed("g", "lg"), "left_name").join(sets.withColumnRenamed("name", "right_name").withColumnRenamed("g", "rg"), "right_name")
+    common = both.select("left_name", "right_name", F.size("lg").alias("lm"), F.size("rg").alias("rm"), F.size(F.array_intersect("lg", "rg")).alias("c"))
+    return common.select("left_name", "right_name", F.round(F.col("c") / (F.col("lm") + F.col("rm") - F.col("c")), 9).alias("similarity")).filter(F.col("similarity") >= share)
 
 
 def cosine_pairs(rows: DataFrame, share: float = 0.8) -> DataFrame:
