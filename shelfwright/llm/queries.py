@@ -41,7 +41,43 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosssplit.overlap_report(table(spark, sf_dir, "training_candidate"), table(spark, sf_dir, "assignments"))
 
 
-@query()
+def _words_sql(c: str) -> str:
+    """The words of canonical.words() as a DuckDB list."""
+    bare = f"lower({c})"
+    for pattern, to in canonical.DECORATIONS:
+        bare = f"regexp_replace({bare}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace(chr(39), chr(39) * 2)}', 'g')"
+    quote = lambda s: s.replace("'", "''")
+    bare = f"trim(translate({bare}, '{quote(canonical.ACCENTED)}', '{quote(canonical.PLAIN)}'))"
+    once = f"(SELECT CASE WHEN len(p) = 2 AND trim(p[2]) <> '' AND (trim(p[1]) = trim(p[2]) OR string_split(trim(p[1]), ' ')[1] = trim(p[2])) THEN trim(p[1]) ELSE v END FROM (SELECT {bare} AS v, string_split({bare}, '/') AS p))"
+    full = "CASE regexp_replace(w, '[^a-z0-9]', '', 'g') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in canonical.SHORT_FORMS.items()) + " ELSE regexp_replace(w, '[^a-z0-9]', '', 'g') END"
+    return f"list_filter(list_transform(regexp_split_to_array({once}, ' +'), lambda w: {full}), lambda w: w <> '')"
+
+
+_MISSING = "lower(trim({c}, e' \\t\\r\\n')) IN ('', 'null')"
+
+
+@query(
+    f"""
+WITH cells AS (SELECT record_id, 'ProductBrand' AS field_name, ProductBrand AS value FROM training_candidate UNION ALL SELECT record_id, 'Brand', Brand FROM training_candidate),
+cases AS (SELECT * FROM cells WHERE value IS NOT NULL AND NOT {_MISSING.format(c="value")} AND value NOT IN (SELECT brand_name FROM brand_reference WHERE brand_name IS NOT NULL)),
+v AS (SELECT value, {_words_sql("value")} AS w, trim(value) AS t FROM (SELECT DISTINCT value FROM cases)),
+keyed AS (SELECT value, coalesce(array_to_string(w, ''), '') AS k, coalesce(array_to_string(list_sort(w), ' '), '') AS s, CASE WHEN regexp_full_match(t, '[A-Z]{{3,6}}') THEN t END AS i FROM v),
+names AS (SELECT brand_id, 0 AS old, brand_name AS name FROM brand_reference UNION ALL SELECT brand_id, 1, former_name FROM brand_reference),
+n AS (SELECT brand_id, old, {_words_sql("name")} AS w,
+        array_to_string(list_transform(regexp_split_to_array(trim(translate(lower(replace(name, '&', 'and')), '{canonical.ACCENTED}', '{canonical.PLAIN.replace("'", "''")}')), ' +'), lambda x: upper(x[1])), '') AS ini
+      FROM names WHERE name IS NOT NULL AND NOT {_MISSING.format(c="name")}),
+r AS (SELECT DISTINCT brand_id, old, kind, k FROM (
+  SELECT brand_id, old, 'full' AS kind, array_to_string(w, '') AS k FROM n WHERE len(w) > 0 UNION ALL SELECT brand_id, old, 'sorted', array_to_string(list_sort(w), ' ') FROM n WHERE len(w) > 1
+  UNION ALL SELECT brand_id, old, 'first', w[1] FROM n WHERE len(w) > 1 UNION ALL SELECT brand_id, old, 'initials', ini FROM n WHERE len(w) > 0 AND length(ini) > 2)),
+refs AS (SELECT kind, k, min(brand_id) AS brand_id FROM (SELECT *, min(old) OVER (PARTITION BY kind, k) AS oldest FROM r) WHERE old = oldest GROUP BY ALL HAVING count(DISTINCT brand_id) = 1),
+hit AS (SELECT value, coalesce(f.brand_id, o.brand_id, w.brand_id, a.brand_id) AS brand_id, q.k FROM keyed q LEFT JOIN refs f ON f.kind = 'full' AND f.k = q.k LEFT JOIN refs o ON o.kind = 'sorted' AND o.k = q.s
+  LEFT JOIN refs w ON w.kind = 'first' AND w.k = q.k LEFT JOIN refs a ON a.kind = 'initials' AND a.k = q.i),
+near AS (SELECT DISTINCT h.k, x.brand_id, levenshtein(h.k, x.k) AS d FROM hit h JOIN refs x ON h.brand_id IS NULL AND h.k <> '' AND (x.kind = 'full' OR x.kind = 'first' AND length(x.k) >= 6)
+  AND abs(length(h.k) - length(x.k)) <= 2 AND levenshtein(h.k, x.k) <= CASE WHEN length(x.k) < 5 THEN 0 WHEN length(x.k) < 10 THEN 1 ELSE 2 END),
+best AS (SELECT k, min(brand_id) AS brand_id FROM (SELECT *, min(d) OVER (PARTITION BY k) AS least FROM near) WHERE d = least GROUP BY 1 HAVING count(DISTINCT brand_id) = 1)
+SELECT record_id, field_name, CAST(coalesce(h.brand_id, b.brand_id, 0) AS BIGINT) AS brand_id FROM cases JOIN hit h USING (value) LEFT JOIN best b ON b.k = h.k AND h.brand_id IS NULL
+"""
+)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.map_fields(table(spark, sf_dir, "training_candidate"), table(spark, sf_dir, "brand_reference")).select("record_id", "field_name", "brand_id")
 
@@ -100,7 +136,17 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_fields(table(spark, sf_dir, "training_candidate"))
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE pairs AS (
+  SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (
+    SELECT lower(trim(left_record_id, e' \\t\\r\\n')) AS a, lower(trim(right_record_id, e' \\t\\r\\n')) AS b FROM match_edges)
+  WHERE regexp_full_match(a, '[0-9a-f]{64}') AND regexp_full_match(b, '[0-9a-f]{64}') AND a <> b),
+both_ways AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT x AS record_id, x AS seen FROM both_ways UNION SELECT r.record_id, e.y FROM reached r JOIN both_ways e ON e.x = r.seen)
+SELECT record_id, min(seen) AS group_record_id FROM reached GROUP BY 1
+"""
+)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.connected_groups(table(spark, sf_dir, "match_edges"))
 
