@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwright.operators.ordered import with_previous
+
 
 def deliveries(events: DataFrame) -> DataFrame:
     """The first delivery of each event_id (ties by content), with the number of deliveries; events without an id are left out."""
@@ -45,5 +47,5 @@ def event_digests(events: DataFrame) -> DataFrame:
     """(event_id, digest, previous): content digests of each target's events in order, with the digest of the one before."""
     d = deliveries(events)
     digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("event_id", "target", "record_id", "action", "label")]), 256)
-    w = Window.partitionBy("target").orderBy("occurred_at", "event_id")
-    return d.withColumn("digest", digest).select("event_id", "target", "digest", F.lag("digest").over(w).alias("previous"))
+    chain = d.withColumn("digest", digest).select("event_id", "target", "digest", "occurred_at")
+    return with_previous(chain, ["target"], ["occurred_at", "event_id"], "digest", "previous").select("event_id", "target", "digest", "previous")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwright.functions.identifiers import char_ngrams, name_key
 from shelfwright.functions.text import present
+from shelfwright.operators.ordered import with_previous
 from shelfwright.session import materialize
 
 
@@ -56,10 +57,12 @@ def blocked_pairs(rows: DataFrame, k: int = 2, share: float = 0.6) -> DataFrame:
 def neighbours(rows: DataFrame, window: int = 2) -> DataFrame:
     """(brand, left_name, right_name, step): names that follow each other within a brand's sorted names, up to `window` apart."""
     names = rows.filter("brand <> ''").select("brand", "name").distinct()
-    w = Window.partitionBy("brand").orderBy("name")
-    ahead = names.select("brand", F.col("name").alias("left_name"), *[F.lead("name", s).over(w).alias(f"n{s}") for s in range(1, window + 1)])
-    each = ahead.select("brand", "left_name", F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.col(f"n{s}").alias("right_name")) for s in range(1, window + 1)])).alias("x"))
-    return each.select("brand", "left_name", "x.right_name", "x.step").filter("right_name is not null")
+    columns = [f"n{s}" for s in range(1, window + 1)]
+    before, last = names, "name"
+    for c in columns:  # the row before the row before is the row before of its column
+        before, last = with_previous(before, ["brand"], ["name"], last, c), c
+    each = before.select("brand", F.col("name").alias("right_name"), F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.col(c).alias("left_name")) for s, c in enumerate(columns, 1)])).alias("x"))
+    return each.select("brand", "x.left_name", "right_name", "x.step").filter("left_name is not null")
 
 
 def set_similarity(rows: DataFrame, k: int = 5, share: float = 0.85) -> DataFrame:

@@ -47,6 +47,26 @@ def test_set_similarity_equals_brute_force(spark):
     assert resolution.set_similarity(df.limit(0)).count() == 0
 
 
+def test_previous_rows_across_ranges(spark):
+    from shelfwright.operators.ordered import with_previous
+
+    r = random.Random(1)
+    rows = [("hot" if i % 3 else None if i % 2 else f"k{i % 7}", i, f"v{i}") for i in range(400)]
+    r.shuffle(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {x["i"]: x["previous"] for x in with_previous(spark.createDataFrame(rows, "k string, i int, v string"), ["k"], ["i"], "v", "previous").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    last, want = {}, {}
+    for k, i, v in sorted(rows, key=lambda x: x[1]):
+        want[i], last[k] = last.get(k), v
+    assert got == want
+
+
 def test_memory_and_cohorts(spark):
     train = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"), (None, "z")], "k string, label string")
     memory = models.key_memory(train.filter("k is not null"), "k", "label")
