@@ -2,7 +2,8 @@
 
 Method: agglomerative merging. A text is cut into atomic segments at every natural boundary (paragraph, line, sentence, clause; words only
 within a segment that is itself too large). Adjacent pairs are held in a heap, and the weakest boundary is merged first for as long as
-the combined size plus the overlap fits the limit, so the strongest boundaries are the ones that remain.
+the combined size plus the overlap fits the limit, so the strongest boundaries are the ones that remain. Pieces end at these, and each
+starts the overlap before the end of the one before it, so ends are natural and starts are where the count puts them.
 
 Tokens are those of the public WordPunct tokenizer. The count runs in the JVM and decides which texts go to Python at all; the cutting is
 a map over Arrow batches without a shuffle. One text is the unit of work.
@@ -12,8 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,8 +67,8 @@ def _segments(text: str, most: int) -> list[tuple[int, int, int]]:
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(start, end, tokens, own tokens) of the pieces of a text; own tokens are those that the piece before it doesn't share.
 
-    Every piece but the last ends with the first `overlap` tokens of the next one, or all of them where the next one is shorter. No piece
-    has more than `limit` tokens, and together the pieces cover every token. A text of no more than `limit` tokens is one piece.
+    Every piece ends at a chosen boundary, and the next one starts exactly `overlap` tokens before that end. No piece has more than `limit`
+    tokens, and together the pieces cover every token. A text of no more than `limit` tokens is one piece.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
@@ -78,6 +78,7 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     size = [s[1] for s in seg]
     if sum(size) <= limit:
         return [(0, len(text), sum(size), sum(size))]
+    room = lambda j: most if j else limit  # noqa: E731  the first piece shares nothing with one before it, and so has over `overlap` tokens
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap = [(seg[i][2], size[i - 1] + size[i], i) for i in range(1, n)]
     heapq.heapify(heap)
@@ -87,29 +88,55 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
             continue
         j = before[i]
         if size[j] + size[i] != both:  # a side has grown since; it is looked at again with its size now
-            if size[j] + size[i] <= most:
+            if size[j] + size[i] <= room(j):
                 heapq.heappush(heap, (seg[i][2], size[j] + size[i], i))
             continue
-        if both > most:
+        if both > room(j):
             continue
         size[j] = both
         alive[i] = False
         after[j] = after[i]
         if after[i] < n:
             before[after[i]] = j
-    starts = [i for i in range(n) if alive[i]]
-    out = []
-    for k, i in enumerate(starts):
-        start = seg[i][0] if k else 0
-        if k + 1 == len(starts):
-            out.append((start, len(text), size[i], size[i]))
-            continue
-        nxt = seg[starts[k + 1]][0]
-        shared = list(islice(TOKEN.finditer(text, nxt), min(overlap, size[starts[k + 1]])))
-        out.append((start, shared[-1].end() if shared else nxt, size[i] + len(shared), size[i]))
+            if j == 0:  # what was too large for another piece may fit the first one
+                heapq.heappush(heap, (seg[after[i]][2], size[0] + size[after[i]], after[i]))
+    starts = _widened(seg, [i for i in range(n) if alive[i]], overlap, room)
+    out, start = [], 0
+    for k, (i, e) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
+        end = seg[e][0] if e < n else len(text)
+        own = sum(s[1] for s in seg[i:e])
+        out.append((start, end, own + (overlap if k else 0), own))
+        back, have = e, 0
+        while have < overlap and back:
+            back -= 1
+            have += seg[back][1]
+        start = [m.start() for m in TOKEN.finditer(text, seg[back][0], end)][-overlap] if overlap else end
     return out
 
 
+def _widened(seg: list[tuple[int, int, int]], starts: list[int], overlap: int, room: Callable[[int], int]) -> list[int]:
+    """starts, moved so that pieces with fewer own than shared tokens share a neighbour's text, where a natural boundary allows it."""
+    n = len(seg)
+    starts = [*starts, n]
+    own = lambda k: sum(s[1] for s in seg[starts[k] : starts[k + 1]])
+    for k in range(1, len(starts) - 1):
+        if own(k) >= overlap:
+            continue
+        best = []
+        for c in (k, k + 1):  # the boundary before the piece, and the one after it
+            if c + 1 >= len(starts):
+                continue
+            left, total = 0, own(c - 1) + own(c)
+            for i in range(starts[c - 1] + 1, starts[c + 1]):
+                left += seg[i - 1][1]
+                if overlap <= left <= room(c - 1) and overlap <= total - left <= room(c) and seg[i][2] >= min(seg[starts[c]][2], CLAUSE):
+                    best.append((-seg[i][2], abs(total - 2 * left), c, i))
+        if best:
+            _, _, c, i = min(best)
+            starts[c] = i
+    return starts[:-1]
+
+
 def split_texts(documents: DataFrame, max_tokens: int, overlap_tokens: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece_no, n_pieces, start_char, end_char, n_tokens, text): the pieces of every text of more than max_tokens tokens.
 

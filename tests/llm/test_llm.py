@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -97,6 +98,27 @@ def test_pieces_prefer_strong_boundaries():
     assert all(text[: p[0]].endswith("\n\n") for p in pieces.cut(text, 50, 0)[1:])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_end_at_boundaries_with_exact_overlap(seed):
+    r = random.Random(seed)
+    sentences = [" ".join(["word"] * r.randrange(3, 60)) + "." for _ in range(150)]
+    text = "".join(s + r.choice([" ", " ", "\n", "\n\n"]) for s in sentences)
+    out = pieces.cut(text, 512, 48)
+    ends = {0, *(m.end() for m in re.finditer(r"\.\s+", text)), len(text)}
+    assert len(out) > 5 and all(p[1] in ends and p[2] <= 512 for p in out)
+    assert all(len(pieces.TOKEN.findall(text[b[0] : a[1]])) == 48 for a, b in itertools.pairwise(out))
+
+
+@pytest.mark.parametrize(("limit", "overlap"), [(10, 9), (100, 60), (512, 48), (7, 0)])
+def test_overlap_is_exact_around_small_pieces(limit, overlap):
+    text = ("x " * (limit - overlap) + ".\n\nTitle\n\n") * 9 + "End"
+    out = pieces.cut(text, limit, overlap)
+    assert sum(p[3] for p in out) == len(pieces.TOKEN.findall(text)) and out[-1][1] == len(text)
+    for a, b in itertools.pairwise(out):
+        assert b[2] == len(pieces.TOKEN.findall(text[b[0] : b[1]])) <= limit and a[1] < b[1]
+        assert len(pieces.TOKEN.findall(text[b[0] : a[1]])) == overlap
+
+
 def test_split_texts_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "a " * 512), (4, "a " * 513), (5, "x" * 100_000), (6, "!? " * 600)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
