@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -72,7 +73,13 @@ def _first(table: dict[str, re.Pattern], text: str) -> str | None:
 
 
 _ING = {k: re.compile(v) for k, v in INGREDIENTS.items()}
-_ANY = re.compile("|".join(v.replace(r"\b", "") for v in INGREDIENTS.values()))
+_ANY = re.compile("|".join(INGREDIENTS.values()))
+#: Words by which an ingredient that no pattern reads is known when it is mistyped.
+SPELLINGS = (
+    "vitamin ascorbic menaquinone folate folic coenzyme ubiquinol ubiquinone valerian calcium theanine creatine flaxseed linseed spirulina melatonin glucosamine rhodiola elderberry sambucus collagen omega "
+    "probiotic probiotics cranberry thistle silymarin lysine cobalamin methylcobalamin cyanocobalamin protein garlic allium selenium selenomethionine green camellia magnesium psyllium ispaghula ashwagandha "
+    "withania turmeric curcumin curcuma biotin"
+).split()
 _FORM = {k: re.compile(v) for k, v in FORMS.items()}
 _FLAV = {k: re.compile(v) for k, v in FLAVOURS.items()}
 
@@ -109,6 +116,38 @@ def read_amount(text: str, form: str | None) -> int | None:
     return None
 
 
+def _edits(a: str, b: str) -> int:
+    """Edits from a to b; two letters that changed places are one."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def _spelled(text: str) -> str:
+    """text with mistyped words of ingredients put right: the nearest spelling within one edit below 10 letters, two from there; ties stay."""
+
+    def one(m: re.Match) -> str:
+        w = m[0]
+        if w in TITLE_WORDS:
+            return w
+        near = sorted((d, s) for s in SPELLINGS if abs(len(s) - len(w)) <= 2 and (d := _edits(w, s)) <= (1 if len(s) < 10 else 2))
+        return near[0][1] if near and (len(near) == 1 or near[0][0] < near[1][0]) else w
+
+    return _WORD.sub(one, text)
+
+
+@lru_cache(1 << 16)
+def _is_ingredient(word: str) -> bool:
+    """Whether a word names an ingredient: from its start, or by six letters or more within it ('methylfolate'), so that a line such as 'claegeflax' is none."""
+    return any(m.start() == 0 or len(m[0]) > 5 for m in _ANY.finditer(word)) or any(len(s) > 5 and s in word for s in SPELLINGS)
+
+
 def read_listing(name: str, description: str, contents: str) -> tuple[str | None, int | None, str | None, str | None, str | None]:
     """(ingredient, amount, form, pack, flavour) of a listing; what the name lacks comes from contents and description."""
     n, d, c = _fold(name), _fold(description), _fold(contents)
@@ -118,12 +157,12 @@ def read_listing(name: str, description: str, contents: str) -> tuple[str | None
     amount = read_amount(n, form) or read_amount(c, form) or read_amount(facts, form)
     pack = read_pack(n, form) or read_pack(facts, form)
     flavour = _first(_FLAV, n) or _first(_FLAV, facts)
-    ingredient = _first(_ING, n) or _first(_ING, c) or _first(_ING, facts)
+    ingredient = _first(_ING, n) or _first(_ING, c) or _first(_ING, facts) or _first(_ING, _spelled(n)) or _first(_ING, _spelled(c))
     return ingredient, amount, form, pack, flavour
 
 
 def readings(listings: DataFrame) -> DataFrame:
-    """(record_id, seller, ingredient, amount, form, pack, flavour, words, brands): words are those of the name that may be the product line, brands those of its brand fields."""
+    """(record_id, seller, ingredient, amount, form, pack, flavour, words, said, brands): words are those of the name that may be the product line, said those of the description where the name has none, brands those of its brand fields."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,18 +171,25 @@ def readings(listings: DataFrame) -> DataFrame:
             for name, desc, contents, b1, b2 in zip(*cols, strict=True):
                 got = read_listing(name or "", desc or "", contents or "")
                 own = set(_WORD.findall(_fold(f"{b1 or ''} {b2 or ''}")))
-                new = [w for w in sorted(set(_WORD.findall(_fold(name or ""))) - own - TITLE_WORDS) if not _ANY.search(w)]
-                out.append((*got, new, sorted(own)))
-            a = list(zip(*out, strict=True)) or [()] * 7
-            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(x), t) for x, t in zip(a, types, strict=True))], names=["record_id", "seller", "ingredient", "amount", "form", "pack", "flavour", "words", "brands"])
+                may = lambda text: [w for w in sorted(set(_WORD.findall(_fold(text))) - own - TITLE_WORDS) if not _is_ingredient(w)]  # noqa: B023, E731
+                new = may(name or "")
+                out.append((*got, new, [] if new else may(desc or ""), sorted(own)))
+            a = list(zip(*out, strict=True)) or [()] * 8
+            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.list_(pa.string())] * 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(x), t) for x, t in zip(a, types, strict=True))], names=["record_id", "seller", "ingredient", "amount", "form", "pack", "flavour", "words", "said", "brands"])
 
-    text = listings.filter("record_id is not null").select("record_id", F.lower(F.trim("Retailer")).alias("seller"), "ProductName", "ProductDescription", "ProductContents", "ProductBrand", "Brand")
-    return text.mapInArrow(run, "record_id string, seller string, ingredient string, amount long, form string, pack string, flavour string, words array<string>, brands array<string>")
+    given = F.coalesce("ProductName", "ProductDescription", "ProductContents").isNotNull()
+    text = listings.filter(F.col("record_id").isNotNull() & given).select("record_id", F.lower(F.trim("Retailer")).alias("seller"), "ProductName", "ProductDescription", "ProductContents", "ProductBrand", "Brand")
+    return text.mapInArrow(run, "record_id string, seller string, ingredient string, amount long, form string, pack string, flavour string, words array<string>, said array<string>, brands array<string>")
 
 
 def with_lines(read: DataFrame) -> DataFrame:
-    """read with the column line: of the words that may be it, the one that most listings have; a spelling goes to one within edits that is five times as frequent."""
+    """read with the column line: of the words that may be it, the one that most listings have; a spelling goes to one within edits that is five times as frequent.
+
+    Where the name has no such word, it is the one word of the description that is the line of listings with the same ingredient and a
+    brand word in common. Where the ingredient is unread, it is that of the listings with this line and a brand word in common, if they
+    have one only, else '?' with the name's next word. What is still unread is NULL.
+    """
     each = read.select("record_id", "ingredient", F.explode("words").alias("word"))
     brands = read.select(F.explode("brands").alias("word")).groupBy("word").agg(F.count("*").alias("n_brand"))
     known = each.groupBy("word").agg(F.count("*").alias("n")).join(brands, "word", "left").fillna(0, ["n_brand"])
@@ -153,9 +199,22 @@ def with_lines(read: DataFrame) -> DataFrame:
     near = pigeonhole_join(usual.select(F.col("word").alias("key")), often).join(often, "ref_key")
     near = near.join(usual.select(F.col("word").alias("key"), F.col("n").alias("own")), "key").filter("own * 5 <= n")
     fixed = near.groupBy("key").agg(F.max_by("ref_key", F.struct(-F.col("distance"), F.col("n"), "ref_key")).alias("to"), F.max("n").alias("to_n"))
-    spelled = usual.join(fixed, usual.word == fixed.key, "left").select("word", F.coalesce("to", "word").alias("line"), F.greatest("n", F.coalesce("to_n", F.lit(0))).alias("n"))
+    spelled = materialize(usual.join(fixed, usual.word == fixed.key, "left").select("word", F.coalesce("to", "word").alias("line"), F.greatest("n", F.coalesce("to_n", F.lit(0))).alias("n")), "spelled")
     best = each.join(spelled, "word").groupBy("record_id").agg(F.max_by("line", F.struct("n", "line")).alias("line"))
-    return read.drop("words", "brands").join(best, "record_id")
+    out = materialize(read.drop("words").join(best, "record_id", "left"), "lines")
+    whole = out.filter("line is not null and ingredient is not null")
+    rest = out.filter("line is null or ingredient is null")
+    lines = whole.select("line", "ingredient", F.explode("brands").alias("brand")).distinct()
+    lost = rest.filter("line is null").select("record_id", "ingredient", F.explode("brands").alias("brand"), "said")
+    lost = lost.select("record_id", "ingredient", "brand", F.explode("said").alias("line")).join(lines, ["line", "ingredient", "brand"])
+    lost = lost.groupBy("record_id").agg(F.min("line").alias("found_line"), F.max("line").alias("last")).filter("found_line = last").drop("last")
+    unread = rest.filter("ingredient is null").select("record_id", "line", F.explode("brands").alias("brand")).join(lines, ["line", "brand"])
+    unread = unread.groupBy("record_id").agg(F.min("ingredient").alias("found"), F.max("ingredient").alias("last")).filter("found = last").drop("last")
+    second = each.filter("ingredient is null").join(spelled, "word").groupBy("record_id").agg(F.sort_array(F.collect_set(F.struct("n", "line")), asc=False).alias("b"))
+    second = second.select("record_id", F.concat(F.lit("?"), F.try_element_at("b", F.lit(2))["line"]).alias("second"))
+    rest = rest.join(lost, "record_id", "left").join(unread, "record_id", "left").join(second, "record_id", "left")
+    rest = rest.withColumn("ingredient", F.coalesce("ingredient", "found", "second")).withColumn("line", F.coalesce("line", "found_line"))
+    return whole.drop("said", "brands").unionByName(materialize(rest.drop("said", "brands", "second", "found", "found_line"), "mended"))
 
 
 def matching(weight: np.ndarray) -> tuple[dict[int, int], float]:
@@ -245,12 +304,14 @@ def assign_block(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def product_groups(listings: DataFrame) -> DataFrame:
-    """(record_id, product_id): every listing whose line and ingredient could be read, with its product; NULLs are read as empty texts.
+    """(record_id, product_id): every listing with its product; NULLs are read as empty texts.
 
+    A listing whose line or ingredient can't be read is a product of its own; one without name, description and contents is none.
     Listings of one product_id are the same product, whoever sells them. Incomplete readings are products of their own for each seller and
     reading if nothing tells which item they are. Repeated listings share their product; ties are broken by the order of the readings.
     """
-    read = materialize(with_lines(materialize(readings(listings), "read")).filter("line is not null and ingredient is not null"), "readings")
+    every = with_lines(materialize(readings(listings), "read"))
+    read = every.filter("line is not null and ingredient is not null")
     rows = read.groupBy("line", "ingredient", "seller", *FIELDS).agg(F.count("*").alias("n"))
     schema = "line string, ingredient string, seller string, amount double, form string, pack string, flavour string, n long, item string"
     # blocks in which every reading is complete need no assignment
@@ -269,7 +330,8 @@ def product_groups(listings: DataFrame) -> DataFrame:
         on = on & s
     found = read.join(items, on).select(read["record_id"], read["line"], read["ingredient"], items["item"], read["seller"])
     own = F.when(F.col("item").endswith("?"), F.coalesce("seller", F.lit(""))).otherwise(F.lit(""))
-    return found.select("record_id", F.sha2(F.concat_ws("|", "line", "ingredient", "item", own), 256).alias("product_id"))
+    alone = every.filter("line is null or ingredient is null").select("record_id", F.sha2(F.concat(F.lit("unread|"), "record_id"), 256).alias("product_id"))
+    return found.select("record_id", F.sha2(F.concat_ws("|", "line", "ingredient", "item", own), 256).alias("product_id")).unionByName(alone)
 
 
 def product_pairs(listings: DataFrame) -> DataFrame:

@@ -298,6 +298,27 @@ def test_matching_equals_brute_force():
         assert total == best and len(set(pairs.values())) == len(pairs)
 
 
+def as_listings(spark, rows):
+    return spark.createDataFrame(rows, "record_id string, Retailer string, ProductName string, ProductDescription string, Brand string").withColumn("ProductContents", F.lit(None).cast("string")).withColumn("ProductBrand", F.lit(None).cast("string"))
+
+
+def test_products_with_mistyped_unknown_or_missing_words(spark):
+    df = as_listings(
+        spark,
+        [
+            ("a", "s1", "Acmeson Hibarar Melatonin 5 mg 60 capsules", "", "Acmeson"), ("b", "s2", "Acmeson Hibarar Meltonin 5 mg 60 capsules", "", "Acmeson"), ("c", "s3", "Acmeson Hibarar Melaotnin 5 mg 60 capsules", "", "Acmeson"),
+            ("d", "s4", "Acmeson Melatonin 5 mg 60 capsules", "Hibarar by Acmeson. Calm nights.", "Acmeson"),  # the line is in the description
+            ("e", "s1", "Kerolant Taurine 500 mg 60 capsules", "", "Kerolant"), ("f", "s2", "Hulimar Taurine 500 mg 60 capsules", "", "Korbat"), ("g", "s3", "Hulimar Taurine 0.5 g 60 capsules", "", "Korbat"),  # no listed ingredient
+            ("h", "s1", "Acmeson 5 mg 60 capsules", "", "Acmeson"), ("i", "s2", "Acmeson 5 mg 60 capsules", "", "Acmeson"),  # nothing tells what it is
+            ("j", "s1", "Zemugax Zinc 25 mg 30 tablets", "", "Acmeson"), ("k", "s2", "Zemugax Znc 25 mg 30 tablets", "", "Acmeson"),  # the line has one ingredient
+        ],
+    )
+    got = {r["record_id"]: r["product_id"] for r in products.product_groups(df).collect()}
+    assert set(got) == set("abcdefghijk") and got["a"] == got["b"] == got["c"] == got["d"] and got["f"] == got["g"] and got["j"] == got["k"]
+    assert len(set(got.values())) == 6 and got["h"] != got["i"]
+    assert not products._is_ingredient("claegeflax") and products._is_ingredient("methylfolate")
+
+
 def test_products(spark):
     rows = [
         ("a", "Acme Hibarar CoQ10 100 mg 45 gummies Peach", "s1"), ("b", "Hibarar | Ubiquinone Q10 | 0.1 g | Chewable Gummies x 45 | Ripe Peach", "s2"), ("c", "ACME HIBARAR Coenzyme Q10 100mg 45 ct Gummy Chews peach flavoured", "s1"),
