@@ -5,10 +5,12 @@ flavour, in one unit and spelling); names are completed from the description and
 ingredient. Within a block, equal complete readings of different sellers are certain matches and become items; what a seller lists
 incompletely is scored against the items it agrees with and assigned by a maximum-weight matching, each seller's readings to different
 items; a match is kept only if every matching of that weight has it. All readings of an item agree with one complete reading, so matches
-are consistent around every cycle. Incomplete readings that two items fit equally well stay on their own.
+are consistent around every cycle. Incomplete readings that two items fit equally well stay on their own. Those that fit none are assigned in
+the same way to the unions of readings that agree among themselves, if they know amount, form or pack.
 
 Deviation: seller pairs that share an item would be solved once for each pair; as equal complete readings match with full weight in all
-of them, each seller is solved once against the items, which gives the same merges and is linear in the sellers.
+of them, each seller is solved once against the items, which is linear in the sellers. Incomplete readings of two sellers that several
+items fit are not matched with each other, as they may be different items.
 
 Scale: a map over the scan reads attributes; only readings are shuffled. Equal readings of a seller are one row before a block is gathered,
 so a block's size is bounded by its readings, not by its listings.
@@ -250,8 +252,54 @@ def matching(weight: np.ndarray) -> tuple[dict[int, int], float]:
 FIELDS = ("amount", "form", "pack", "flavour")
 
 
+def agree(a: tuple, b: tuple) -> bool:
+    """Whether two readings have no field in which they differ."""
+    return all(x is None or y is None or x == y for x, y in zip(a, b, strict=True))
+
+
+def _unions(owners: dict[tuple, set]) -> set[tuple]:
+    """The items of incomplete readings, given with their sellers: the readings that no other one completes; two of them from different
+    sellers become their union where each agrees with the other only and both have the same known value of a field."""
+    order = lambda k: tuple("" if x is None else str(x) for x in k)
+    covers = lambda a, b: all(y is None or x == y for x, y in zip(a, b, strict=True))
+    left = {k: set(s) for k, s in owners.items()}
+    while True:
+        top = sorted((k for k in left if not any(k != o and covers(o, k) for o in left)), key=order)
+        near = {k: [o for o in top if o != k and agree(o, k)] for k in top}
+        pair = next(((k, near[k][0]) for k in top if len(near[k]) == 1 and len(near[near[k][0]]) == 1 and len(left[k] | left[near[k][0]]) > 1 and any(x is not None and x == y for x, y in zip(k, near[k][0], strict=True))), None)
+        if pair is None:
+            return set(top)
+        whole = tuple(x if x is not None else y for x, y in zip(*pair, strict=True))
+        left[whole] = left.get(whole, set()) | left.pop(pair[0]) | left.pop(pair[1])
+
+
+def _assign(keys: list[tuple], sellers: list, out: list, items: set[tuple], taken: dict[object, set], only: set[tuple] | None = None) -> None:
+    """Fill out with the item of each open reading (of `only`, if given) that has a certain one, seller by seller; taken: items that sellers list in full."""
+    fits = {k: [i for i in items if agree(k, i)] for k in set(keys) if k not in items or only}
+    by_seller: dict[object, list[int]] = {}
+    for i, o in enumerate(out):
+        if o is None and (only is None or keys[i] in only):
+            by_seller.setdefault(sellers[i], []).append(i)
+    for s, waiting in by_seller.items():
+        used = set(taken.get(s, ()))
+        for i in waiting:  # a reading that fits one item only is a repeated listing of it, whatever else the seller lists
+            if keys[i] in items or len(fits[keys[i]]) == 1:
+                out[i] = keys[i] if keys[i] in items else fits[keys[i]][0]
+                used.add(out[i])
+        rest = sorted((i for i in waiting if out[i] is None and fits[keys[i]]), key=lambda i: str(keys[i]))
+        free = sorted({x for i in rest for x in fits[keys[i]]} - used, key=str)
+        if rest and free:
+            weight = np.array([[1.0 + sum(u is not None and u == v for u, v in zip(keys[i], x, strict=True)) if x in fits[keys[i]] else 0.0 for x in free] for i in rest])
+            best, total = matching(weight)
+            for r, c in best.items():
+                without = weight.copy()
+                without[r, c] = 0.0
+                if matching(without)[1] < total - 1e-9:  # else another matching is as good
+                    out[rest[r]] = free[c]
+
+
 def assign_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The items of a block of distinct (seller, reading) rows: column item, a reading with all fields or the row's own.
+    """The items of a block of distinct (seller, reading) rows: column item, a reading with all fields, a union of incomplete ones or the row's own.
 
     A reading lacks flavour by right where no complete reading with the same other fields has one.
     """
@@ -261,7 +309,6 @@ def assign_block(pdf: pd.DataFrame) -> pd.DataFrame:
     for k, n in zip(keys, pdf["n"], strict=True):
         count[k] = count.get(k, 0) + int(n)
     whole = {k for k in count if None not in k[:3]}
-    agree = lambda a, b: all(x is None or y is None or x == y for x, y in zip(a, b, strict=True))
     # a reading without flavour is a product of its own unless exactly one flavour is known for its other fields
     flavours: dict[tuple, set] = {}
     for k in whole:
@@ -273,30 +320,14 @@ def assign_block(pdf: pd.DataFrame) -> pd.DataFrame:
         if k in items:
             taken.setdefault(s, set()).add(k)
     out = [k if k in items else None for k in keys]
-    fits: dict[tuple, list[tuple]] = {}
-    for k in count:
-        if k not in items:
-            fits[k] = [i for i in items if agree(k, i)]
-    by_seller: dict[object, list[int]] = {}
-    for i, o in enumerate(out):
-        if o is None:
-            by_seller.setdefault(pdf["seller"].iloc[i], []).append(i)
-    for s, waiting in by_seller.items():
-        used = set(taken.get(s, ()))
-        for i in waiting:  # a reading that fits one item only is a repeated listing of it, whatever else the seller lists
-            if len(fits[keys[i]]) == 1:
-                out[i] = fits[keys[i]][0]
-                used.add(out[i])
-        rest = sorted((i for i in waiting if out[i] is None and fits[keys[i]]), key=lambda i: str(keys[i]))
-        free = sorted({x for i in rest for x in fits[keys[i]]} - used, key=str)
-        if rest and free:
-            weight = np.array([[1.0 + sum(u is not None and u == v for u, v in zip(keys[i], x, strict=True)) if x in fits[keys[i]] else 0.0 for x in free] for i in rest])
-            best, total = matching(weight)
-            for r, c in best.items():
-                without = weight.copy()
-                without[r, c] = 0.0
-                if matching(without)[1] < total - 1e-9:  # else another matching is as good
-                    out[rest[r]] = free[c]
+    _assign(keys, list(pdf["seller"]), out, items, taken)
+    # what agrees with no complete reading is assigned to the unions of what agrees among itself
+    apart = {k for k, o in zip(keys, out, strict=True) if o is None and any(x is not None for x in k[:3]) and not any(agree(k, i) for i in items)}
+    owners: dict[tuple, set] = {}
+    for s, k in zip(pdf["seller"], keys, strict=True):
+        if k in apart:
+            owners.setdefault(k, set()).add(s)
+    _assign(keys, list(pdf["seller"]), out, _unions(owners), {}, apart)
     names = []
     for k, o in zip(keys, out, strict=True):
         names.append("|".join("" if x is None else str(x) for x in (o or k)) + ("" if o else "?"))
@@ -308,7 +339,7 @@ def product_groups(listings: DataFrame) -> DataFrame:
 
     A listing whose line or ingredient can't be read is a product of its own; one without name, description and contents is none.
     Listings of one product_id are the same product, whoever sells them. Incomplete readings are products of their own for each seller and
-    reading if nothing tells which item they are. Repeated listings share their product; ties are broken by the order of the readings.
+    reading if several items fit them alike, or if amount, form and pack are all unknown and no item fits. Repeated listings share their product; ties are broken by the order of the readings.
     """
     every = with_lines(materialize(readings(listings), "read"))
     read = every.filter("line is not null and ingredient is not null")

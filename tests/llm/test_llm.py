@@ -319,6 +319,23 @@ def test_products_with_mistyped_unknown_or_missing_words(spark):
     assert not products._is_ingredient("claegeflax") and products._is_ingredient("methylfolate")
 
 
+def test_incomplete_readings_meet_without_a_complete_one():
+    import pandas as pd
+
+    def items(*rows):
+        return list(products.assign_block(pd.DataFrame([(s, *k, 1) for s, *k in rows], columns=["seller", *products.FIELDS, "n"]))["item"])
+
+    a, b = items(("s1", 500.0, "capsule", None, None), ("s2", 500.0, "capsule", None, None))
+    assert a == b and not a.endswith("?")
+    a, b, c, d = items(("s1", 500.0, "capsule", None, None), ("s2", 500.0, None, "60 ct", None), ("s3", 500.0, None, None, None), ("s4", 250.0, None, None, None))
+    assert a == b == c != d  # the union of the first two, which the third one agrees with
+    a, b, c = items(("s1", 500.0, "capsule", None, None), ("s2", 500.0, "tablet", None, None), ("s3", 500.0, None, None, None))
+    assert len({a, b, c}) == 3 and c.endswith("?")  # fits both alike
+    a, b = items(("s1", 500.0, "capsule", None, None), ("s1", 500.0, None, "60 ct", None))
+    assert a != b  # one seller's own
+    assert all(x.endswith("?") for x in items(("s1", None, None, None, "mint"), ("s2", None, None, None, "mint")))
+
+
 def test_products(spark):
     rows = [
         ("a", "Acme Hibarar CoQ10 100 mg 45 gummies Peach", "s1"), ("b", "Hibarar | Ubiquinone Q10 | 0.1 g | Chewable Gummies x 45 | Ripe Peach", "s2"), ("c", "ACME HIBARAR Coenzyme Q10 100mg 45 ct Gummy Chews peach flavoured", "s1"),
