@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfwright.functions.identifiers import char_ngrams, name_key
 from shelfwright.functions.text import present
-from shelfwright.operators.ordered import with_previous
 from shelfwright.session import materialize
 
 
@@ -54,15 +53,27 @@ def blocked_pairs(rows: DataFrame, k: int = 2, share: float = 0.6) -> DataFrame:
     return pairs.withColumn("similarity", F.round(s, 9)).filter(F.col("similarity") >= share)
 
 
-def neighbours(rows: DataFrame, window: int = 2) -> DataFrame:
-    """(brand, left_name, right_name, step): names that follow each other within a brand's sorted names, up to `window` apart."""
+def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
+    """(brand, left_name, right_name, step): names that follow each other within a brand's sorted names, up to `window` apart.
+
+    Names are range-partitioned by brand and name, so a large brand is spread over many tasks. Pairs of two ranges are joined by position;
+    only the first and last `window` names of a range take part, and only of brands that are in several ranges.
+    """
     names = rows.filter("brand <> ''").select("brand", "name").distinct()
-    columns = [f"n{s}" for s in range(1, window + 1)]
-    before, last = names, "name"
-    for c in columns:  # the row before the row before is the row before of its column
-        before, last = with_previous(before, ["brand"], ["name"], last, c), c
-    each = before.select("brand", F.col("name").alias("right_name"), F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.col(c).alias("left_name")) for s, c in enumerate(columns, 1)])).alias("x"))
-    return each.select("brand", "x.left_name", "right_name", "x.step").filter("left_name is not null")
+    parts = materialize(names.repartitionByRange("brand", "name").withColumn("_p", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("_p", "brand").orderBy("name")
+    before = F.array(*[F.struct(F.lit(s).alias("step"), F.lag("name", s).over(w).alias("left_name")) for s in range(1, window + 1)])
+    within = parts.select("brand", F.col("name").alias("right_name"), before.alias("x")).select("brand", "right_name", F.explode("x").alias("x"))
+    within = within.select("brand", "x.left_name", "right_name", "x.step").filter("left_name is not null")
+    # one row a brand and range
+    b = Window.partitionBy("brand")
+    sizes = parts.groupBy("brand", "_p").agg(F.count("*").alias("_size"))
+    spans = sizes.withColumn("_base", F.sum("_size").over(b.orderBy("_p")) - F.col("_size")).withColumn("_of", F.count("*").over(b)).filter("_of > 1").drop("_of")
+    edge = parts.join(spans, ["brand", "_p"]).withColumn("_n", F.row_number().over(w)).withColumn("_at", F.col("_base") + F.col("_n"))
+    last = edge.filter(F.col("_n") > F.col("_size") - window).select("brand", F.col("_p").alias("_from"), F.col("name").alias("left_name"), "_at", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("step"))
+    first = edge.filter(F.col("_n") <= window).select("brand", "_p", F.col("name").alias("right_name"), "_at")
+    across = last.withColumn("_at", F.col("_at") + F.col("step")).join(first, ["brand", "_at"]).filter("_from < _p")
+    return within.unionByName(across.select("brand", "left_name", "right_name", "step"))
 
 
 def set_similarity(rows: DataFrame, k: int = 5, share: float = 0.85) -> DataFrame:

@@ -326,6 +326,14 @@ def jn_blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.brand, a.name AS left_name, b.name AS right_name, CAST(b.k - a.k AS INTEGER) AS step FROM r a JOIN r b ON a.brand = b.brand AND b.k - a.k BETWEEN 1 AND 2"""
 )
 def jn_sorted_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.neighbours(resolution.named(listings(spark, sf_dir)), window=2)
+
+
+@query(
+    f"""WITH {_NAMED}, r AS (SELECT brand, name, row_number() OVER (PARTITION BY brand ORDER BY name) AS k FROM (SELECT DISTINCT brand, name FROM named WHERE brand <> ''))
+SELECT a.brand, a.name AS left_name, b.name AS right_name, CAST(b.k - a.k AS INTEGER) AS step FROM r a JOIN r b ON a.brand = b.brand AND b.k - a.k BETWEEN 1 AND 12"""
+)
+def jn_sorted_neighbours_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.neighbours(resolution.named(listings(spark, sf_dir)))
 
 

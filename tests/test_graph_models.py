@@ -67,6 +67,22 @@ def test_previous_rows_across_ranges(spark):
     assert got == want
 
 
+def test_neighbours_reach_twelve_names_over_ranges(spark):
+    rows = [(f"n{i:04d}", "big") for i in range(300)] + [(f"m{i}", f"b{i // 5}") for i in range(40)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted(tuple(x) for x in resolution.neighbours(spark.createDataFrame(rows, "name string, brand string")).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    by = {}
+    for n, b in sorted(rows):
+        by.setdefault(b, []).append(n)
+    assert got == sorted((b, x[i], x[i + s], s) for b, x in by.items() for i in range(len(x)) for s in range(1, 13) if i + s < len(x))
+
+
 def test_memory_and_cohorts(spark):
     train = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"), (None, "z")], "k string, label string")
     memory = models.key_memory(train.filter("k is not null"), "k", "label")
