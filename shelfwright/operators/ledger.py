@@ -1,7 +1,11 @@
-"""An append-only log of review events: deduplication, snapshots, conflicts and a hash chain."""
+"""An append-only log of review events: deduplication, snapshots, conflicts, content digests and a hash chain."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +48,41 @@ def eligibility(events: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def event_digests(events: DataFrame) -> DataFrame:
-    """(event_id, digest, previous): content digests of each target's events in order, with the digest of the one before."""
+    """(event_id, target, digest, previous): digests of the id, target, record, action and label of each target's events in order, with the digest of the one before.
+
+    No chain: a digest doesn't depend on the events before it; see hash_chain().
+    """
     d = deliveries(events)
     digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("event_id", "target", "record_id", "action", "label")]), 256)
     chain = d.withColumn("digest", digest).select("event_id", "target", "digest", "occurred_at")
     return with_previous(chain, ["target"], ["occurred_at", "event_id"], "digest", "previous").select("event_id", "target", "digest", "previous")
+
+
+def hash_chain(events: DataFrame) -> DataFrame:
+    """(event_id, target, seq, previous, digest): each target's events as they were received, chained by digests from 64 zeros on.
+
+    A digest covers the event's place, the digest before it and all columns of its first delivery, so a changed, removed or moved event
+    alters every later digest of its target. Columns are digested in parallel; the chain itself is sequential, and only digests are folded,
+    row by row, in one sorted task a target.
+    """
+    d = deliveries(events)
+    kinds = dict(d.dtypes)
+    plain = lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("string") if kinds[c].startswith("timestamp") else F.col(c).cast("string")
+    # lengths keep values apart; NULL has none
+    content = F.sha2(F.concat_ws(",", *[F.coalesce(F.concat(F.length(plain(c)).cast("string"), F.lit(":"), plain(c)), F.lit("-")) for c in sorted(events.columns)]), 256)
+    rows = d.select("event_id", "target", "received_at", content.alias("content")).repartition("target").sortWithinPartitions("target", "received_at", "event_id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seq, digest = "", 0, ""
+        for batch in batches:
+            out = []
+            for target, content in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if not seq or target != last:
+                    last, seq, digest = target, 0, "0" * 64
+                seq, previous = seq + 1, digest
+                digest = hashlib.sha256(f"{seq}|{previous}|{content}".encode()).hexdigest()
+                out.append((seq, previous, digest))
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True))], names=["event_id", "target", "seq", "previous", "digest"])
+
+    return rows.mapInArrow(fold, "event_id string, target string, seq long, previous string, digest string")

@@ -580,6 +580,22 @@ def led_digest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.event_digests(table(spark, sf_dir, "review_events"))
 
 
+_CHAINED = ", ".join(
+    f"coalesce(length({c}) || ':' || {c}, '-')"
+    for c in ["action", "entity_id", "event_id", "flags", "group_id", "label", "model_version", "epoch_us(occurred_at)::varchar", "ontology_version", "epoch_us(received_at)::varchar", "record_id", "source_system", "target"]
+)
+
+
+@query(
+    f"""WITH RECURSIVE {_EVENTS}, c AS (SELECT event_id, target, sha256(concat_ws(',', {_CHAINED})) AS content, row_number() OVER (PARTITION BY target ORDER BY received_at NULLS FIRST, event_id) AS seq FROM events_once),
+chain AS (SELECT event_id, target, seq, repeat('0', 64) AS previous, sha256('1|' || repeat('0', 64) || '|' || content) AS digest FROM c WHERE seq = 1
+  UNION ALL SELECT c.event_id, c.target, c.seq, h.digest, sha256(c.seq || '|' || h.digest || '|' || c.content) FROM chain h JOIN c ON c.target IS NOT DISTINCT FROM h.target AND c.seq = h.seq + 1)
+SELECT event_id, target, seq, previous, digest FROM chain"""
+)
+def led_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.hash_chain(table(spark, sf_dir, "review_events"))
+
+
 @query("SELECT date_trunc('hour', received_at) AS start, target, action, count(*) AS n FROM review_events WHERE received_at IS NOT NULL GROUP BY ALL")
 def st_action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.action_counts(table(spark, sf_dir, "review_events"))

@@ -92,6 +92,22 @@ def test_memory_and_cohorts(spark):
     assert got == {"a": ("seen", "x"), "b": ("seen", None), "c": ("unseen", None), None: ("missing", None)}
 
 
+def test_hash_chain_tells_every_change(spark):
+    rows = [(f"e{i}", "t" if i % 2 else None, f"r{i}", "correct", "x", f"flag{i}", i) for i in range(10)]
+
+    def digests(rows):
+        df = spark.createDataFrame(rows, "event_id string, target string, record_id string, action string, label string, flags string, t int")
+        got = ledger.hash_chain(df.select("*", F.timestamp_seconds("t").alias("occurred_at"), F.timestamp_seconds("t").alias("received_at")).drop("t")).collect()
+        assert all(x["previous"] == "0" * 64 for x in got if x["seq"] == 1) and {x["previous"] for x in got if x["seq"] > 1} <= {x["digest"] for x in got}
+        return {x["event_id"]: x["digest"] for x in got}
+
+    was = digests(rows)
+    for changed in (rows[:3] + [(*rows[3][:5], "other", 3)] + rows[4:], rows[:3] + rows[4:], rows[:3] + [(*rows[3][:6], 4)] + rows[4:]):
+        now = digests(changed)
+        assert {e for e in now if now[e] != was[e]} == {"e3", "e5", "e7", "e9"} & set(now)
+    assert digests(rows[::-1] + rows[:2]) == was and digests([]) == {}
+
+
 def test_empty_tables(spark):
     pred = spark.createDataFrame([], "prediction_id long, record_id string, target string, true_label string, predicted_label string, confidence double, model_version string, predicted_at timestamp")
     rows = evaluation.labelled(pred)
