@@ -1,19 +1,23 @@
 """Problem 3: listings of one product, written differently by different sellers, as one group.
 
-Method: seller-constrained assignment. Every listing is read into attributes (product line, ingredient, amount per serving, form, pack and
-flavour, in one unit and spelling); names are completed from the description and the contents. Listings are blocked by line and
-ingredient. Within a block, equal complete readings of different sellers are certain matches and become items; what a seller lists
-incompletely is scored against the items it agrees with and assigned by a maximum-weight matching, each seller's readings to different
-items; a match is kept only if every matching of that weight has it. All readings of an item agree with one complete reading, so matches
-are consistent around every cycle. Incomplete readings that two items fit equally well stay on their own. Those that fit none are assigned in
-the same way to the unions of readings that agree among themselves, if they know amount, form or pack.
-
-Deviation: seller pairs that share an item would be solved once for each pair; as equal complete readings match with full weight in all
-of them, each seller is solved once against the items, which is linear in the sellers. Incomplete readings of two sellers that several
-items fit are not matched with each other, as they may be different items.
-
-Scale: a map over the scan reads attributes; only readings are shuffled. Equal readings of a seller are one row before a block is gathered,
-so a block's size is bounded by its readings, not by its listings.
+Method: seller-constrained assignment over readings whose vocabulary is learned from all listings.
+
+Reading. Amount per serving, form and pack are parsed from units of measure. Which words name a product line, an active ingredient or a
+flavour is learned: a line is a word that one brand has nearly to itself; an ingredient is known by the phrase that stands before an amount in
+ProductContents, and the words of names that go with one such phrase stand for it; other identifying words (flavours) are those on which
+listings of one line, ingredient, amount, form and pack agree far more often than by chance (Fellegi-Sunter m and u, counted without
+listing pairs). Rare words within edits of a frequent one, above all of a line of the same brand, are taken for mistyped.
+
+Matching. Equal readings of one seller are a node. Nodes of different sellers in one block (line and ingredient) that differ in no known
+field are scored: each field in agreement weighs -log2 of its value's share of the block's nodes. For every pair of sellers and connected component of its scored pairs a
+maximum-weight matching is solved; a component of one pair is its own matching, the others are solved by shortest augmenting paths, and
+only matches that every matching of that weight contains are kept. Matches are merged where they are consistent around cycles: what a
+node lacks is filled in from its matches if they all agree in it, again and again until nothing changes; where they differ, none of
+them is followed, and the node stays a product of its own.
+
+Scale: a map over the scan parses; vocabularies are aggregations with map-side combine. Only distinct readings enter blocks; complete
+readings meet by equality of all fields, and the few incomplete ones meet their block. No block is gathered into a task: only components of
+several pairs leave SQL, each for one pair of sellers within one block.
 """
 
 from __future__ import annotations
@@ -21,86 +25,67 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright.llm.canonical import ACCENTED, PLAIN, pigeonhole_join
 from shelfwright.session import materialize
 
-#: How the ingredients are written.
-INGREDIENTS = {
-    "vitamin c": r"vit(?:amin)?[ -]?c\b|ascorbic", "vitamin k2": r"\bk2\b|\bmk-?7|menaquinone", "folate": r"fola|folic", "coenzyme q10": r"q-?10|coenzyme|ubiqui",
-    "zinc": r"\bzinc\b", "valerian": r"valerian", "calcium": r"calcium", "theanine": r"theanine", "creatine": r"creatin", "flaxseed": r"flax|linseed",
-    "spirulina": r"spirulina", "melatonin": r"melatonin", "glucosamine": r"glucosamin", "rhodiola": r"rhodiola", "elderberry": r"elderberry|sambucus",
-    "collagen": r"collagen", "omega 3": r"omega|fish oil|\bepa\b", "probiotic": r"probiotic|live culture", "cranberry": r"\bcran", "milk thistle": r"milk[ -]?th|thistle|silymarin",
-    "lysine": r"lysine", "vitamin b12": r"\bb-?12\b|cobalamin", "pea protein": r"\bpeas?\b", "garlic": r"garlic|allium", "selenium": r"selen", "green tea": r"green[ -]tea|camellia",
-    "magnesium": r"magnesium|\bmag\b", "psyllium": r"psyllium|ispaghula", "ashwagandha": r"ashwagandha|withania", "turmeric": r"turmeric|curcum", "biotin": r"biotin|\bb7\b", "iron": r"\biron\b",
-}
-#: Forms, flavours and the words of titles that name neither brand nor line.
-FORMS = {
-    "gummy": r"gumm(?:y|ies)", "capsule": r"cap(?:sule)?s\b|\bcapsule\b", "softgel": r"soft ?gels?\b", "tablet": r"tab(?:let)?s\b|\btablet\b", "lozenge": r"lozenges?\b",
-    "powder": r"(?:drink|fine) powder|\bpowder(?= ?\(?\d|$)|\d ?(?:g|kg|oz|grams)\)? powder|\bpowder\b", "liquid": r"liquid|tincture",
-}
-FLAVOURS = {"citrus": r"citrus", "vanilla": r"vanilla", "mint": r"\bmint", "berry": r"(?<!sambucus )\bberry", "peach": r"peach"}
-TITLE_WORDS = frozenset(
-    "mg ct free flavor g milligrams powder berry citrus drops flavoured peach vanilla gummies liquid count x softgels mint tablets lozenges lozenge extract of capsules caps mcg ml oz chewable l root tincture "
-    "gummy chews gel oil soft gels doctor formulated easy to made in small swallow batches new for men women all shipping day support coated formula pack advanced top rated look lab fast halal verified acting "
-    "third party premium tested may vary non gmo soy packaging tabs clean label gluten vegan fine drink sugar size best value high offer extra potency seasonal family no fillers strength bottle travel keto "
-    "friendly minty veggie fl vegetable zesty creamy natural ripe cool kg grams blend from as and the with sealed hot leaf acid seed concentrate husk hcl tea green peptides pure sleep aid gentle organic algae "
-    "culture live citrate picolinate bisglycinate glycinate monohydrate mono micronized hydrolyzed hydrolysate black blue bone rosea rose serving daily pcs original size xl item stock deal sale amp "
-    "thistle sativum allium odorless curcuma fiber fibre from peas algal vitamin vit zinc iron calcium magnesium selenium protein yellow pea coq co q b c d k sulfate complex supplement capsule tablet vegetarian unflavored natural piña pina crème creme smooth café cafe édition edition grosse größe".split()
-)
-_UNIT = {"mcg": 1, "µg": 1, "μg": 1, "ug": 1, "mg": 1000, "milligrams": 1000, "milligram": 1000}
-_AMOUNT = re.compile(r"(?<![\w.])(\d[\d,]*(?:\.\d+)?)[ -]?(mg|mcg|µg|μg|ug|milligrams?|g)\b(?! ?\)? ?(?:drink |fine )?powder)", re.I)
-_COUNT = re.compile(r"(?<![\w.,])(\d{2,3})[ -]?(?:ct|count|pcs)\b|\bx ?(\d{2,3})\b|(?<![\w.,-])(\d{2,3}) (?!mg|mcg|milli|[gl]\b|kg|µg|ug|ml|oz|fl)(?=(?:[a-z]+ ){0,2}?(?:gumm|cap|soft ?gel|tab|lozenge|veg|chew|coated|gel))", re.I)
-_WEIGHT = re.compile(r"(?<![\w.,])(\d+(?:\.\d+)?)[ -]?(kg|grams?|g|oz)\b", re.I)
-_VOLUME = re.compile(r"(?<![\w.,])(\d+(?:\.\d+)?)[ -]?(ml|l|fl\.? oz)\b", re.I)
+#: Dosage forms as units of a count, weight or volume, and the spellings of units.
+_FORM = re.compile(r"(?P<gummy>gumm(?:y|ies))|(?P<softgel>\bsoft ?gels?\b)|(?P<capsule>\bcap(?:sule)?s?\b)|(?P<tablet>\btab(?:let)?s?\b)|(?P<lozenge>\blozenges?\b)|(?P<powder>\bpowder\b)|(?P<liquid>\bliquid|\btincture)")
+_UNIT_WORDS = frozenset("gummy gummies soft gel gels softgel softgels cap caps capsule capsules tab tabs tablet tablets lozenge lozenges powder liquid tincture mg mcg ug ml kg oz fl gram grams milligram milligrams ct count pcs".split())
+_MICROGRAMS = {"mcg": 1, "µg": 1, "μg": 1, "ug": 1, "mg": 1000, "milligrams": 1000, "milligram": 1000, "g": 1_000_000}
+_AMOUNT = re.compile(r"(?<![\w.])(\d[\d,]*(?:\.\d+)?)[ -]?(mg|mcg|µg|μg|ug|milligrams?|g)\b(?! ?\)? ?(?:drink |fine )?powder)")
+_COUNT = re.compile(r"(?<![\w.,])(\d{2,3})[ -]?(?:ct|count|pcs)\b|\bx ?(\d{2,3})\b|(?<![\w.,-])(\d{2,3}) (?!mg|mcg|milli|[gl]\b|kg|µg|ug|ml|oz|fl)(?=(?:[a-z]+ ){0,2}?(?:gumm|cap|soft ?gel|tab|lozenge|veg|chew|coated|gel))")
+_WEIGHT = re.compile(r"(?<![\w.,])(\d+(?:\.\d+)?)[ -]?(kg|grams?|g|oz)\b")
+_VOLUME = re.compile(r"(?<![\w.,])(\d+(?:\.\d+)?)[ -]?(ml|l|fl\.? oz)\b")
+#: The phrase before the first amount of a list of contents.
+_PHRASE = re.compile(r"\s*([^()]{2,80}?)\s*\(\s*\d[\d.,]*[ -]?(?:mg|mcg|µg|μg|ug|g)\b")
 _FOLD = str.maketrans(ACCENTED, PLAIN)
-_WORD = re.compile(r"[a-z]{5,}")
-_FLAT = re.compile(r"<[^<>]*>")
+_TAG = re.compile(r"<[^<>]*>")
+_TOKEN = re.compile(r"[^\W_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n|•")
 
-
-def _fold(text: str) -> str:
-    return html.unescape(_FLAT.sub(" ", text)).lower().replace("â\x80\x99", "'").replace("â€™", "'").translate(_FOLD)
+FIELDS = ("amount", "form", "pack", "flavour")
+CONCENTRATED = 0.7  # share of a word's listings that one brand must have for it to name a line
+PURE, SUPPORT = 0.9, 3  # share and number of the listings of one ingredient among those that have a word
+LIFT, PAIRS = 2.0, 8  # how much more often than by chance listings must agree on an identifying word, and in how many pairs
 
 
-def _first(table: dict[str, re.Pattern], text: str) -> str | None:
-    found = [(m.start(), k) for k, p in table.items() if (m := p.search(text))]
-    return min(found)[1] if found else None
+def _fold(text: str) -> str:
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    text = text.lower()
+    return text if text.isascii() else text.replace("â\x80\x99", "'").replace("â€™", "'").translate(_FOLD)
 
 
-_ING = {k: re.compile(v) for k, v in INGREDIENTS.items()}
-_ANY = re.compile("|".join(INGREDIENTS.values()))
-#: Words by which an ingredient that no pattern reads is known when it is mistyped.
-SPELLINGS = (
-    "vitamin ascorbic menaquinone folate folic coenzyme ubiquinol ubiquinone valerian calcium theanine creatine flaxseed linseed spirulina melatonin glucosamine rhodiola elderberry sambucus collagen omega "
-    "probiotic probiotics cranberry thistle silymarin lysine cobalamin methylcobalamin cyanocobalamin protein garlic allium selenium selenomethionine green camellia magnesium psyllium ispaghula ashwagandha "
-    "withania turmeric curcumin curcuma biotin"
-).split()
-_FORM = {k: re.compile(v) for k, v in FORMS.items()}
-_FLAV = {k: re.compile(v) for k, v in FLAVOURS.items()}
+def read_form(text: str) -> str | None:
+    """The dosage form that is named first."""
+    m = _FORM.search(text)
+    return m.lastgroup if m else None
 
 
 def read_pack(text: str, form: str | None) -> str | None:
     """Count, weight or volume of a pack: '60 ct', '250 g', '500 ml'; ounces become the nearest ten grams or millilitres."""
     if form == "powder":
         for m in _WEIGHT.finditer(text):
-            n, u = float(m[1]), m[2].lower()
+            n, u = float(m[1]), m[2]
             g = n * 1000 if u == "kg" else n * 28.35 if u == "oz" else n
             if g >= 50:
                 return f"{round(g / 10) * 10} g"
     elif form == "liquid":
         for m in _VOLUME.finditer(text):
-            n, u = float(m[1]), m[2].lower()
+            n, u = float(m[1]), m[2]
             ml = n * 1000 if u == "l" else n * 29.57 if "fl" in u else n
             if ml >= 20:
                 return f"{round(ml / 10) * 10} ml"
-    if (m := _COUNT.search(text)) and form not in ("powder", "liquid"):
+    elif m := _COUNT.search(text):
         return f"{int(m[1] or m[2] or m[3])} ct"
     return None
 
@@ -108,134 +93,267 @@ def read_pack(text: str, form: str | None) -> str | None:
 def read_amount(text: str, form: str | None) -> int | None:
     """Micrograms per serving; a weight that is the pack of a powder is none."""
     for m in _AMOUNT.finditer(text):
-        n, u = float(m[1].replace(",", "")), m[2].lower()
-        if u == "g":
-            around = text[max(0, m.start() - 14) : m.end() + 14]
-            if form == "powder" and (n >= 50 or "powder" in around and n >= 50):
-                continue
-            return round(n * 1_000_000)
-        return round(n * _UNIT[u])
+        n, u = float(m[1].replace(",", "")), m[2]
+        if u == "g" and form == "powder" and n >= 50:
+            continue
+        return round(n * _MICROGRAMS[u])
     return None
 
 
-def _edits(a: str, b: str) -> int:
-    """Edits from a to b; two letters that changed places are one."""
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                row[j] = min(row[j], rows[-2][j - 2] + 1)
-        rows.append(row)
-    return rows[-1][-1]
-
-
-def _spelled(text: str) -> str:
-    """text with mistyped words of ingredients put right: the nearest spelling within one edit below 10 letters, two from there; ties stay."""
-
-    def one(m: re.Match) -> str:
-        w = m[0]
-        if w in TITLE_WORDS:
-            return w
-        near = sorted((d, s) for s in SPELLINGS if abs(len(s) - len(w)) <= 2 and (d := _edits(w, s)) <= (1 if len(s) < 10 else 2))
-        return near[0][1] if near and (len(near) == 1 or near[0][0] < near[1][0]) else w
-
-    return _WORD.sub(one, text)
-
-
-@lru_cache(1 << 16)
-def _is_ingredient(word: str) -> bool:
-    """Whether a word names an ingredient: from its start, or by six letters or more within it ('methylfolate'), so that a line such as 'claegeflax' is none."""
-    return any(m.start() == 0 or len(m[0]) > 5 for m in _ANY.finditer(word)) or any(len(s) > 5 and s in word for s in SPELLINGS)
-
-
-def read_listing(name: str, description: str, contents: str) -> tuple[str | None, int | None, str | None, str | None, str | None]:
-    """(ingredient, amount, form, pack, flavour) of a listing; what the name lacks comes from contents and description."""
-    n, d, c = _fold(name), _fold(description), _fold(contents)
-    form = _first(_FORM, n)
-    facts = " . ".join(s for s in re.split(r"(?<=[.!?])\s+|\n|•", d) if re.search(r"\d", s) and ("serving" in s or "contents" in s or "supplied" in s or "each" in s or "contains" in s or "pack holds" in s))
-    form = form or _first(_FORM, facts)
-    amount = read_amount(n, form) or read_amount(c, form) or read_amount(facts, form)
-    pack = read_pack(n, form) or read_pack(facts, form)
-    flavour = _first(_FLAV, n) or _first(_FLAV, facts)
-    ingredient = _first(_ING, n) or _first(_ING, c) or _first(_ING, facts) or _first(_ING, _spelled(n)) or _first(_ING, _spelled(c))
-    return ingredient, amount, form, pack, flavour
+def facts(text: str) -> str:
+    """The sentences of a description that give a number."""
+    return " . ".join(s for s in _SENTENCE.split(text) if any(c.isdigit() for c in s)) if any(c.isdigit() for c in text) else ""
+
+
+def quantities(name: str, description: str, contents: str) -> tuple[int | None, str | None, str | None, str]:
+    """(amount, form, pack, facts) of a listing with folded name and contents; what the name lacks comes from the contents and from the description's facts, which are '' if not looked at."""
+    form = read_form(name)
+    amount, pack = read_amount(name, form), read_pack(name, form)
+    said = ""
+    if amount is None or form is None or pack is None:
+        said = facts(_fold(description))
+        form = form or read_form(said)
+        amount = amount or read_amount(name, form) or read_amount(contents, form) or read_amount(said, form)
+        pack = pack or read_pack(name, form) or read_pack(said, form)
+    return amount, form, pack, said
+
+
+def terms(text: str) -> tuple[list[str], list[str]]:
+    """The distinct words of three letters or more that are no units, and the other terms: words with digits, and a short word or number with its neighbour."""
+    words, more, before = {}, {}, ""
+    for t in _TOKEN.findall(text):
+        if t in _UNIT_WORDS or t[0].isdigit() and (len(t) > 2 or not t.isdigit()):
+            before = ""
+            continue
+        if not t.isalpha():
+            if not t[0].isdigit():
+                more[t] = None
+        elif len(t) > 2:
+            words[t] = None
+        if before and (len(t) < 4 or len(before) < 4):
+            more[f"{before} {t}"] = None
+        before = t
+    return list(words), list(more)
 
 
 def readings(listings: DataFrame) -> DataFrame:
-    """(record_id, seller, ingredient, amount, form, pack, flavour, words, said, brands): words are those of the name that may be the product line, said those of the description where the name has none, brands those of its brand fields."""
+    """(record_id, seller, amount, form, pack, words, terms, said, brands, phrase): words and terms are those of the name without its brand,
+    said those of the description's facts where the name lacks a quantity, phrase names the ingredient in the contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.string())] * 4, pa.string())
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(2, 7)]
             out = []
-            for name, desc, contents, b1, b2 in zip(*cols, strict=True):
-                got = read_listing(name or "", desc or "", contents or "")
-                own = set(_WORD.findall(_fold(f"{b1 or ''} {b2 or ''}")))
-                may = lambda text: [w for w in sorted(set(_WORD.findall(_fold(text))) - own - TITLE_WORDS) if not _is_ingredient(w)]  # noqa: B023, E731
-                new = may(name or "")
-                out.append((*got, new, [] if new else may(desc or ""), sorted(own)))
+            for name, desc, contents, b1, b2 in zip(*[batch.column(i).to_pylist() for i in range(2, 7)], strict=True):
+                n, c = _fold(name or ""), _fold(contents or "")
+                amount, form, pack, told = quantities(n, desc or "", c)
+                own = set(_TOKEN.findall(_fold(f"{b1 or ''} {b2 or ''}")))
+                words, more = terms(n)
+                words = [w for w in words if w not in own]
+                said = [w for w in terms(told)[0] if w not in own] if told else []
+                m = _PHRASE.match(c)
+                phrase = " ".join(_TOKEN.findall(m[1])) if m else None
+                out.append((amount, form, pack, words, more, said, [w for w in own if len(w) > 2 and w.isalpha()], phrase or None))
             a = list(zip(*out, strict=True)) or [()] * 8
-            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.list_(pa.string())] * 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(x), t) for x, t in zip(a, types, strict=True))], names=["record_id", "seller", "ingredient", "amount", "form", "pack", "flavour", "words", "said", "brands"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(list(x), t) for x, t in zip(a, types, strict=True))],
+                names=["record_id", "seller", "amount", "form", "pack", "words", "terms", "said", "brands", "phrase"],
+            )
 
     given = F.coalesce("ProductName", "ProductDescription", "ProductContents").isNotNull()
-    text = listings.filter(F.col("record_id").isNotNull() & given).select("record_id", F.lower(F.trim("Retailer")).alias("seller"), "ProductName", "ProductDescription", "ProductContents", "ProductBrand", "Brand")
-    return text.mapInArrow(run, "record_id string, seller string, ingredient string, amount long, form string, pack string, flavour string, words array<string>, said array<string>, brands array<string>")
+    text = listings.filter(F.col("record_id").isNotNull() & given).select("record_id", F.coalesce(F.lower(F.trim("Retailer")), F.lit("")).alias("seller"), "ProductName", "ProductDescription", "ProductContents", "ProductBrand", "Brand")
+    lists = ", ".join(f"{c} array<string>" for c in ("words", "terms", "said", "brands"))
+    return text.mapInArrow(run, f"record_id string, seller string, amount long, form string, pack string, {lists}, phrase string")
 
 
-def with_lines(read: DataFrame) -> DataFrame:
-    """read with the column line: of the words that may be it, the one that most listings have; a spelling goes to one within edits that is five times as frequent.
+def vocabulary(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What terms stand for: (term, line, n_line, top, ingredient, n_ingredient), and the spellings (term, word) of mistyped words.
 
-    Where the name has no such word, it is the one word of the description that is the line of listings with the same ingredient and a
-    brand word in common. Where the ingredient is unread, it is that of the listings with this line and a brand word in common, if they
-    have one only, else '?' with the name's next word. What is still unread is NULL.
+    line is set for words that name a line (or are within edits of one of the same brand), top is the brand word that has it; ingredient is the
+    phrase that goes with a term.
     """
-    each = read.select("record_id", "ingredient", F.explode("words").alias("word"))
-    brands = read.select(F.explode("brands").alias("word")).groupBy("word").agg(F.count("*").alias("n_brand"))
-    known = each.groupBy("word").agg(F.count("*").alias("n")).join(brands, "word", "left").fillna(0, ["n_brand"])
+    branded = read.select(F.explode("words").alias("term"), "brands").select("term", F.posexplode_outer("brands").alias("at", "brand"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    per_brand = branded.groupBy("term", "brand").agg(F.count("*").alias("nb"), F.count_if(first).alias("n"), F.count_if(first & F.col("brand").isNotNull()).alias("known"))
+    known = F.when(F.col("brand").isNotNull(), F.col("nb"))
+    words = per_brand.groupBy("term").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.max(known).alias("nb"), F.max_by("brand", F.struct(known, "brand")).alias("top"))
+    as_brand = read.select(F.explode("brands").alias("term")).groupBy("term").agg(F.count("*").alias("n_brand"))
     # a word that is a brand more often than not is one here, too
-    usual = materialize(known.filter("n_brand < n").select("word", "n"), "words")
-    often = usual.filter("n >= 4").select(F.col("word").alias("ref_key"), "n")
-    near = pigeonhole_join(usual.select(F.col("word").alias("key")), often).join(often, "ref_key")
-    near = near.join(usual.select(F.col("word").alias("key"), F.col("n").alias("own")), "key").filter("own * 5 <= n")
-    fixed = near.groupBy("key").agg(F.max_by("ref_key", F.struct(-F.col("distance"), F.col("n"), "ref_key")).alias("to"), F.max("n").alias("to_n"))
-    spelled = materialize(usual.join(fixed, usual.word == fixed.key, "left").select("word", F.coalesce("to", "word").alias("line"), F.greatest("n", F.coalesce("to_n", F.lit(0))).alias("n")), "spelled")
-    best = each.join(spelled, "word").groupBy("record_id").agg(F.max_by("line", F.struct("n", "line")).alias("line"))
-    out = materialize(read.drop("words").join(best, "record_id", "left"), "lines")
-    whole = out.filter("line is not null and ingredient is not null")
-    rest = out.filter("line is null or ingredient is null")
-    lines = whole.select("line", "ingredient", F.explode("brands").alias("brand")).distinct()
-    lost = rest.filter("line is null").select("record_id", "ingredient", F.explode("brands").alias("brand"), "said")
-    lost = lost.select("record_id", "ingredient", "brand", F.explode("said").alias("line")).join(lines, ["line", "ingredient", "brand"])
-    lost = lost.groupBy("record_id").agg(F.min("line").alias("found_line"), F.max("line").alias("last")).filter("found_line = last").drop("last")
-    unread = rest.filter("ingredient is null").select("record_id", "line", F.explode("brands").alias("brand")).join(lines, ["line", "brand"])
-    unread = unread.groupBy("record_id").agg(F.min("ingredient").alias("found"), F.max("ingredient").alias("last")).filter("found = last").drop("last")
-    second = each.filter("ingredient is null").join(spelled, "word").groupBy("record_id").agg(F.sort_array(F.collect_set(F.struct("n", "line")), asc=False).alias("b"))
-    second = second.select("record_id", F.concat(F.lit("?"), F.try_element_at("b", F.lit(2))["line"]).alias("second"))
-    rest = rest.join(lost, "record_id", "left").join(unread, "record_id", "left").join(second, "record_id", "left")
-    rest = rest.withColumn("ingredient", F.coalesce("ingredient", "found", "second")).withColumn("line", F.coalesce("line", "found_line"))
-    return whole.drop("said", "brands").unionByName(materialize(rest.drop("said", "brands", "second", "found", "found_line"), "mended"))
+    words = words.join(as_brand, "term", "left").filter("n_brand is null or n_brand < n").drop("n_brand")
+    is_line = (F.col("known") == 0) | (F.col("nb") >= CONCENTRATED * F.col("known"))
+    words = materialize(words.select("term", "n", "top", is_line.alias("is_line")), "words")
+    # ingredients
+    beside = read.filter("phrase is not null").select("phrase", F.explode(F.concat("words", "terms")).alias("term")).groupBy("term", "phrase").agg(F.count("*").alias("n"))
+    pure = beside.groupBy("term").agg(F.max("n").alias("n_ingredient"), F.max_by("phrase", F.struct("n", "phrase")).alias("ingredient"), F.sum("n").alias("all")).filter(f"n_ingredient >= {SUPPORT} and n_ingredient >= {PURE} * all").drop("all")
+    pure = pure.join(words.filter("is_line").select("term"), "term", "left_anti").join(as_brand.filter(f"n_brand >= {SUPPORT}").select("term"), "term", "left_anti")
+    # mistyped words
+    often = words.filter("n > 1").select(F.col("term").alias("ref_key"), F.col("n").alias("n_ref"), F.col("top").alias("top_ref"), F.col("is_line").alias("line_ref"))
+    near = pigeonhole_join(words.select(F.col("term").alias("key")), often.select("ref_key")).filter("distance > 0")
+    near = near.join(often, "ref_key").join(words.select(F.col("term").alias("key"), "n", "top"), "key")
+    near = near.filter("n * 5 <= n_ref or (line_ref and top = top_ref and n * 2 <= n_ref)")
+    to = near.groupBy("key").agg(F.max_by("ref_key", F.struct((F.col("line_ref") & (F.col("top") == F.col("top_ref"))).alias("own"), -F.col("distance"), "n_ref", "ref_key")).alias("word"))
+    spelled = materialize(to.select(F.col("key").alias("term"), "word"), "spelled")
+    right = words.join(spelled, "term", "left").select("term", F.coalesce("word", "term").alias("word"))
+    lines = words.filter("is_line").select(F.col("term").alias("word"), F.col("term").alias("line"), F.col("n").alias("n_line"), "top")
+    meant = right.join(lines, "word", "left").join(pure.withColumnRenamed("term", "word"), "word", "left").filter("line is not null or ingredient is not null").drop("word")
+    others = pure.join(words.select("term"), "term", "left_anti").select("term", F.lit(None).cast("string").alias("line"), F.lit(None).cast("long").alias("n_line"), F.lit(None).cast("string").alias("top"), "ingredient", "n_ingredient")
+    return materialize(meant.unionByName(others), "vocabulary"), spelled
+
+
+def with_lines(read: DataFrame, known: DataFrame, listings: DataFrame) -> DataFrame:
+    """read with line and ingredient; NULL where they can't be told.
+
+    The line is the most frequent one that the name has, else (or where that word mostly stands beside another line) the only one of the
+    description whose brand is the listing's. The ingredient is
+    that of the name's terms, else the phrase of the contents, else that of the description (of its facts first), else the only one of the line.
+    """
+    best = lambda what, n: F.max_by(what, F.when(F.col(what).isNotNull(), F.struct(n, what)))
+    told = read.select("record_id", F.explode(F.concat("words", "terms")).alias("term")).join(known, "term")
+    told = told.groupBy("record_id").agg(best("line", "n_line").alias("line"), best("ingredient", "n_ingredient").alias("ingredient"))
+    out = materialize(read.join(told, "record_id", "left").withColumn("ingredient", F.coalesce("ingredient", "phrase")).drop("phrase", "terms"), "lines")
+    # a word that mostly stands beside a line is none, unless nothing else tells
+    sizes = known.filter("line = term").select("line", "n_line")
+    weak = out.filter("line is not null").groupBy("line").agg(F.count("*").alias("picked")).join(sizes, "line").filter("picked * 2 <= n_line").select("line", F.lit(True).alias("weak"))
+    marked = out.join(materialize(weak, "weak"), "line", "left").select(*out.columns, "weak")
+    settled = F.col("line").isNotNull() & F.col("ingredient").isNotNull() & F.col("weak").isNull()
+    rest = marked.filter(~settled)
+    texts = listings.filter("ProductDescription is not null").select("record_id", F.split(F.translate(F.lower("ProductDescription"), ACCENTED, PLAIN), r"[^\p{L}]+").alias("term"))
+    said = rest.select("record_id", "brands", F.coalesce("said", F.array().cast("array<string>")).alias("said")).join(texts, "record_id")
+    said = said.select("record_id", "brands", "said", F.explode(F.array_distinct("term")).alias("term")).join(known, "term")
+    in_facts = F.when(F.col("ingredient").isNotNull(), F.struct(F.array_contains("said", F.col("term")).alias("f"), "n_ingredient", "ingredient"))
+    said = said.groupBy("record_id").agg(F.collect_set(F.when(F.array_contains("brands", F.col("top")), F.col("line"))).alias("lines"), F.max_by("ingredient", in_facts).alias("said_ingredient"))
+    only = out.filter("line is not null and ingredient is not null").groupBy("line").agg(F.min("ingredient").alias("least"), F.max("ingredient").alias("most")).filter("least = most")
+    rest = rest.join(said.select("record_id", F.when(F.size("lines") == 1, F.col("lines")[0]).alias("said_line"), "said_ingredient"), "record_id", "left")
+    rest = rest.withColumn("line", F.coalesce(F.when(F.col("weak").isNull(), F.col("line")), "said_line", "line")).withColumn("ingredient", F.coalesce("ingredient", "said_ingredient"))
+    rest = rest.join(only.select("line", F.col("least").alias("only")), "line", "left").withColumn("ingredient", F.coalesce("ingredient", "only"))
+    return marked.filter(settled).select(out.columns).unionByName(materialize(rest.select(out.columns), "mended"))
+
+
+def identifying_words(read: DataFrame, known: DataFrame, spelled: DataFrame) -> DataFrame:
+    """(term, flavour, n, explains): words, neither lines nor ingredients, on which listings that agree in all else agree LIFT times as often as by chance.
+
+    Words that one of these nearly always goes with ('ripe' with 'peach'), or that only lengthen it ('minty'), stand for it. A term of an
+    ingredient that never comes without one of these explains it ('sambucus' a 'berry'). Copies of a name count once, pairs are counted from the
+    groups' counts.
+    """
+    whole = read.filter("line is not null and amount is not null and form is not null and pack is not null")
+    g = F.xxhash64("line", F.coalesce("ingredient", F.lit("")), "amount", "form", "pack")
+    names = whole.groupBy(g.alias("g"), F.xxhash64("words").alias("h")).agg(F.first("words").alias("words"), F.first("form").alias("form"), F.first(F.coalesce("ingredient", F.lit(""))).alias("ingredient"))
+    names = materialize(names, "names")
+    sizes = names.groupBy("g").agg(F.count("*").alias("size"))
+    counts = names.select("g", "form", "ingredient", F.explode("words").alias("term")).groupBy("g", "form", "ingredient", "term").agg(F.count("*").alias("k"))
+    k, size = F.col("k"), F.col("size")
+    cells = counts.join(sizes, "g").groupBy("form", "ingredient", "term").agg(F.sum("k").alias("n"), F.sum(k * (k - 1)).alias("pairs"), F.sum(k * (size - 1)).alias("base"))
+    cells = materialize(cells, "cells")
+    often = cells.groupBy("term").agg(F.sum("pairs").alias("all")).filter(f"all >= {PAIRS}").select("term").join(known.select("term"), "term", "left_anti")
+    cells = cells.join(often, "term")
+    # the chance that a listing of this form, or of this ingredient, has the word
+    share = lambda c: cells.groupBy(c, "term").agg(F.sum("n").alias("nc")).join(names.groupBy(c).agg(F.count("*").alias("of")), c).select(c, "term", (F.col("nc") / F.col("of")).alias(f"by_{c}"))
+    stats = cells.join(share("form"), ["form", "term"]).join(share("ingredient"), ["ingredient", "term"])
+    stats = stats.groupBy("term").agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs"), F.sum(F.col("base") * F.greatest("by_form", "by_ingredient")).alias("chance"))
+    found = materialize(stats.filter(f"pairs >= {LIFT} * chance").select("term", "n"), "identifying")
+    # what goes with what; a listing has few identifying words
+    own = names.select("g", "h", F.explode("words").alias("term")).join(found.select("term"), "term").groupBy("g", "h").agg(F.collect_set("term").alias("ws"))
+    both = own.filter("size(ws) > 1").select(F.explode("ws").alias("term"), "ws").select("term", F.explode("ws").alias("other")).filter("term <> other").groupBy("term", "other").agg(F.count("*").alias("c"))
+    other = found.select(F.col("term").alias("other"), F.col("n").alias("n_other"))
+    beside = both.join(found, "term").join(other, "other").filter("c >= 0.8 * n and n_other > n").select("term", "other", "n_other")
+    stem = found.select("term", "n", F.explode(F.array(*[F.expr(f"left(term, length(term) - {i})") for i in (1, 2)])).alias("other")).filter("length(other) > 3").join(other, "other").select("term", "other", "n_other")
+    up = beside.unionByName(stem).groupBy("term").agg(F.max_by("other", F.struct("n_other", "other")).alias("up"))
+    twice = up.join(up.select(F.col("term").alias("up"), F.col("up").alias("top")), "up", "left").select("term", F.coalesce("top", "up").alias("up"))
+    named = found.join(twice, "term", "left").select("term", F.coalesce("up", "term").alias("flavour"), "n")
+    typed = spelled.join(named.withColumnRenamed("term", "word"), "word").select("term", "flavour", "n").join(found.select("term"), "term", "left_anti")
+    said = names.select("g", "h", F.explode("words").alias("term")).join(known.filter("ingredient is not null").select("term"), "term")
+    total = said.groupBy("term").agg(F.count("*").alias("all"))
+    together = said.join(own, ["g", "h"]).select("term", F.explode("ws").alias("explains")).groupBy("term", "explains").agg(F.count("*").alias("c"))
+    explained = together.join(total, "term").filter(f"c >= 0.95 * all and c >= {PAIRS}").select("term", F.lit(None).cast("string").alias("flavour"), F.lit(None).cast("long").alias("n"), "explains")
+    # mistyped spellings explain as the word does
+    explained = explained.unionByName(spelled.join(explained.withColumnRenamed("term", "word"), "word").select("term", "flavour", "n", "explains"))
+    return materialize(named.unionByName(typed).withColumn("explains", F.lit(None).cast("string")).unionByName(explained), "flavours")
+
+
+def with_flavours(read: DataFrame, flavours: DataFrame) -> DataFrame:
+    """(record_id, seller, line, ingredient, amount, form, pack, flavour): flavour is the most frequent identifying word of the name that nothing explains, else of the description's facts."""
+
+    def of(words: str, name: str) -> DataFrame:
+        found = read.select("record_id", F.explode(words).alias("term")).join(flavours, "term")
+        sets = found.groupBy("record_id").agg(F.collect_set(F.when(F.col("flavour").isNotNull(), F.struct("n", "flavour"))).alias("fs"), F.collect_set("explains").alias("ex"))
+        return sets.select("record_id", F.array_max(F.filter("fs", lambda x: ~F.array_contains("ex", x["flavour"])))["flavour"].alias(name))
+
+    own = read.join(of("words", "flavour"), "record_id", "left").join(of("said", "said_flavour"), "record_id", "left")
+    return own.select("record_id", "seller", "line", F.coalesce("ingredient", F.lit("")).alias("ingredient"), F.col("amount").cast("double").alias("amount"), "form", "pack", F.coalesce("flavour", "said_flavour").alias("flavour"))
+
+
+def nodes_of(read: DataFrame) -> DataFrame:
+    """(node, line, ingredient, seller, fields, item, open): the distinct readings of each seller; open ones lack a field.
+
+    A reading lacks its flavour only where others with the same other fields have one. item is one number for equal readings of all sellers.
+    """
+    each = read.select("node", "line", "ingredient", "seller", *FIELDS).distinct()
+    same = ["line", "ingredient", "amount", "form", "pack"]
+    known = each.filter("flavour is not null").select(*same).distinct().withColumn("flavoured", F.lit(True))
+    lacks = F.col("amount").isNull() | F.col("form").isNull() | F.col("pack").isNull()
+    out = each.join(known, same, "left").withColumn("open", lacks | (F.col("flavour").isNull() & F.col("flavoured").isNotNull())).drop("flavoured")
+    return materialize(out.withColumn("item", _number("line", "ingredient", *FIELDS)), "nodes")
+
+
+def _number(*columns: str) -> Column:
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+
+
+def field_weights(nodes: DataFrame) -> dict[str, float]:
+    """-log2 of the chance that two readings agree in a field."""
+    each = nodes.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in FIELDS])).alias("x")).select("x.*").filter("value is not null")
+    counts = each.groupBy("field", "value").agg(F.count("*").alias("n"))
+    got = counts.groupBy("field").agg((F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2))).alias("u")).collect()  # one row a field
+    known = {r["field"]: r["u"] for r in got}
+    return {f: max(0.1, float(-np.log2(known.get(f, 1.0)))) for f in FIELDS}
+
+
+def scored_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, a_seller, b_seller, line, ingredient, weight) of nodes of different sellers in one block that differ in no known field, and
+    those of them (and of one seller, weight 0) with an open node a: with b, b's item and whether b is open, and b's fields.
+
+    Complete nodes meet by equality, open ones meet all nodes of their block.
+    """
+    weights = field_weights(nodes)
+    of = lambda df, x: df.select("line", "ingredient", *[F.col(c).alias(x + c) for c in ("node", "seller", "item", "open", *FIELDS)])
+    full, lacking = nodes.filter("not open"), nodes.filter("open")
+    total = sum(F.when(F.col(f).isNotNull(), F.lit(weights[f])).otherwise(0.0) for f in FIELDS)
+    x = full.select("item", "line", "ingredient", F.col("node").alias("a"), F.col("seller").alias("a_seller"), total.alias("weight"))
+    equal = x.join(full.select("item", F.col("node").alias("b"), F.col("seller").alias("b_seller")), "item").filter("a_seller < b_seller")
+    agree = F.lit(True)
+    for f in FIELDS:
+        agree = agree & (F.col(f"a_{f}").isNull() | F.col(f"b_{f}").isNull() | (F.col(f"a_{f}") == F.col(f"b_{f}")))
+    shared = sum(F.when(F.col(f"a_{f}") == F.col(f"b_{f}"), F.lit(weights[f])).otherwise(0.0) for f in FIELDS)
+    loose = of(lacking, "a_").join(of(nodes, "b_"), ["line", "ingredient"]).filter((F.col("a_node") != F.col("b_node")) & agree)
+    loose = materialize(loose.withColumn("weight", F.when(F.col("a_seller") != F.col("b_seller"), shared).otherwise(0.0)), "loose")
+    return equal.select("a", "b", "a_seller", "b_seller", "line", "ingredient", "weight"), loose
 
 
 def matching(weight: np.ndarray) -> tuple[dict[int, int], float]:
     """A maximum-weight matching of rows to columns as {row: column}, and its weight; weights of 0 match nothing."""
-    turned = weight.shape[0] > weight.shape[1]
-    cost = -(weight.T if turned else weight)
-    n, m = cost.shape
-    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=int)
+    pairs, _, _ = _solve(weight)
+    kept = {r: c for r, c in sorted(pairs.items()) if r < weight.shape[0] and c < weight.shape[1] and weight[r, c] > 0}
+    return kept, float(sum(weight[r, c] for r, c in kept.items()))
+
+
+def _solve(weight: np.ndarray) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+    """A perfect matching of greatest weight in the square matrix that zeros fill up, and the matrix and its reduced costs."""
+    n = max(weight.shape)
+    cost = np.zeros((n, n))
+    cost[: weight.shape[0], : weight.shape[1]] = -weight
+    u, v, owner = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, dtype=int)
     for i in range(1, n + 1):
         owner[0], col = i, 0
-        slack, done, back = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool), np.zeros(m + 1, dtype=int)
+        slack, done, back = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=int)
         while owner[col]:
             done[col] = True
             row = owner[col]
-            open_ = np.nonzero(~done[1:])[0] + 1
-            reduced = cost[row - 1, open_ - 1] - u[row] - v[open_]
-            better = reduced < slack[open_]
-            slack[open_[better]], back[open_[better]] = reduced[better], col
-            nxt = open_[np.argmin(slack[open_])]
+            free = np.nonzero(~done[1:])[0] + 1
+            reduced = cost[row - 1, free - 1] - u[row] - v[free]
+            better = reduced < slack[free]
+            slack[free[better]], back[free[better]] = reduced[better], col
+            nxt = free[np.argmin(slack[free])]
             step = slack[nxt]
             u[owner[done]] += step
             v[done] -= step
@@ -244,12 +362,66 @@ def matching(weight: np.ndarray) -> tuple[dict[int, int], float]:
         while col:
             owner[col] = owner[back[col]]
             col = back[col]
-    pairs = {(int(j) - 1, int(owner[j]) - 1) if turned else (int(owner[j]) - 1, int(j) - 1) for j in range(1, m + 1) if owner[j]}
-    kept = {r: c for r, c in sorted(pairs) if weight[r, c] > 0}
-    return kept, float(sum(weight[r, c] for r, c in kept.items()))
+    return {int(owner[j]) - 1: j - 1 for j in range(1, n + 1)}, -cost, cost - u[1:, None] - v[None, 1:]
 
 
-FIELDS = ("amount", "form", "pack", "flavour")
+def certain_matches(weight: np.ndarray) -> dict[int, int]:
+    """The matches {row: column} that every maximum-weight matching has.
+
+    Other matchings of the greatest weight differ by cycles of tight cells, so a match is in all of them unless its row lies on such a cycle.
+    """
+    pairs, _, reduced = _solve(weight)
+    n = len(pairs)
+    col = np.array([pairs[r] for r in range(n)])
+    reach = np.abs(reduced)[:, col] < 1e-9
+    np.fill_diagonal(reach, False)
+    for _ in range(max(1, n.bit_length())):
+        reach = reach | (reach.astype(np.uint8) @ reach.astype(np.uint8) > 0)
+    return {r: int(col[r]) for r in range(weight.shape[0]) if col[r] < weight.shape[1] and weight[r, col[r]] > 0 and not reach[r, r]}
+
+
+def match_sellers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): the certain matches among the scored pairs of two sellers in one block, component by component."""
+    a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
+    rows, ra = np.unique(a, return_inverse=True)
+    cols, cb = np.unique(b, return_inverse=True)
+    label = np.arange(len(rows) + len(cols))
+    while True:  # the least label of each end
+        low = np.minimum(label[ra], label[len(rows) + cb])
+        new = label.copy()
+        np.minimum.at(new, ra, low)
+        np.minimum.at(new, len(rows) + cb, low)
+        if (new == label).all():
+            break
+        label = new
+    out = []
+    for k in np.unique(label[ra]):
+        inside = label[ra] == k
+        r, ri = np.unique(ra[inside], return_inverse=True)
+        c, ci = np.unique(cb[inside], return_inverse=True)
+        weight = np.zeros((len(r), len(c)))
+        weight[ri, ci] = pdf["weight"].to_numpy()[inside]
+        out += [(rows[r[i]], cols[c[j]]) for i, j in certain_matches(weight).items()]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def matches(equal: DataFrame, loose: DataFrame) -> DataFrame:
+    """(a, b): the certain matches of each pair of sellers, a being of the seller that comes first."""
+    cross = loose.filter("weight > 0")
+    turn = F.col("a_seller") > F.col("b_seller")
+    swap = lambda x, y, c: F.when(turn, F.col(y)).otherwise(F.col(x)).alias(c)
+    ends = [swap("a_node", "b_node", "a"), swap("b_node", "a_node", "b"), swap("a_seller", "b_seller", "sa"), swap("b_seller", "a_seller", "sb")]
+    cross = cross.select("line", "ingredient", *ends, "weight").distinct()
+    # pairs of equal readings are components of their own unless an open node of one seller may match the other's
+    touched = cross.select(F.col("a").alias("node"), F.col("sb").alias("other")).unionByName(cross.select(F.col("b").alias("node"), F.col("sa").alias("other"))).distinct()
+    touched = materialize(touched.withColumn("hit", F.lit(True)), "touched")
+    first = touched.select(F.col("node").alias("a"), F.col("other").alias("b_seller"), F.col("hit").alias("x"))
+    second = touched.select(F.col("node").alias("b"), F.col("other").alias("a_seller"), F.col("hit").alias("y"))
+    marked = equal.join(first, ["a", "b_seller"], "left").join(second, ["b", "a_seller"], "left")
+    lone = marked.filter("x is null and y is null").select("a", "b")
+    several = marked.filter("x is not null or y is not null").select("line", "ingredient", "a", "b", F.col("a_seller").alias("sa"), F.col("b_seller").alias("sb"), "weight")
+    solved = several.unionByName(cross.select(several.columns)).groupBy("sa", "sb", "line", "ingredient").applyInPandas(match_sellers, "a long, b long")
+    return lone.unionByName(solved)
 
 
 def agree(a: tuple, b: tuple) -> bool:
@@ -273,96 +445,66 @@ def _unions(owners: dict[tuple, set]) -> set[tuple]:
         left[whole] = left.get(whole, set()) | left.pop(pair[0]) | left.pop(pair[1])
 
 
-def _assign(keys: list[tuple], sellers: list, out: list, items: set[tuple], taken: dict[object, set], only: set[tuple] | None = None) -> None:
-    """Fill out with the item of each open reading (of `only`, if given) that has a certain one, seller by seller; taken: items that sellers list in full."""
-    fits = {k: [i for i in items if agree(k, i)] for k in set(keys) if k not in items or only}
-    by_seller: dict[object, list[int]] = {}
-    for i, o in enumerate(out):
-        if o is None and (only is None or keys[i] in only):
-            by_seller.setdefault(sellers[i], []).append(i)
-    for s, waiting in by_seller.items():
-        used = set(taken.get(s, ()))
-        for i in waiting:  # a reading that fits one item only is a repeated listing of it, whatever else the seller lists
-            if keys[i] in items or len(fits[keys[i]]) == 1:
-                out[i] = keys[i] if keys[i] in items else fits[keys[i]][0]
-                used.add(out[i])
-        rest = sorted((i for i in waiting if out[i] is None and fits[keys[i]]), key=lambda i: str(keys[i]))
-        free = sorted({x for i in rest for x in fits[keys[i]]} - used, key=str)
-        if rest and free:
-            weight = np.array([[1.0 + sum(u is not None and u == v for u, v in zip(keys[i], x, strict=True)) if x in fits[keys[i]] else 0.0 for x in free] for i in rest])
-            best, total = matching(weight)
-            for r, c in best.items():
-                without = weight.copy()
-                without[r, c] = 0.0
-                if matching(without)[1] < total - 1e-9:  # else another matching is as good
-                    out[rest[r]] = free[c]
-
-
-def assign_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The items of a block of distinct (seller, reading) rows: column item, a reading with all fields, a union of incomplete ones or the row's own.
-
-    A reading lacks flavour by right where no complete reading with the same other fields has one.
-    """
+def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(line, ingredient, item, united): the union that each of a block's distinct incomplete readings belongs to, if only one fits; two sellers are enough to tell sellers apart."""
     rows = pdf[list(FIELDS)].astype(object).where(pdf[list(FIELDS)].notna(), None)
     keys = list(rows.itertuples(index=False, name=None))
-    count: dict[tuple, int] = {}
-    for k, n in zip(keys, pdf["n"], strict=True):
-        count[k] = count.get(k, 0) + int(n)
-    whole = {k for k in count if None not in k[:3]}
-    # a reading without flavour is a product of its own unless exactly one flavour is known for its other fields
-    flavours: dict[tuple, set] = {}
-    for k in whole:
-        if k[3] is not None:
-            flavours.setdefault(k[:3], set()).add(k)
-    items = {k for k in whole if k[3] is not None or not flavours.get(k[:3])}
-    taken: dict[object, set] = {}
-    for s, k in zip(pdf["seller"], keys, strict=True):
-        if k in items:
-            taken.setdefault(s, set()).add(k)
-    out = [k if k in items else None for k in keys]
-    _assign(keys, list(pdf["seller"]), out, items, taken)
-    # what agrees with no complete reading is assigned to the unions of what agrees among itself
-    apart = {k for k, o in zip(keys, out, strict=True) if o is None and any(x is not None for x in k[:3]) and not any(agree(k, i) for i in items)}
-    owners: dict[tuple, set] = {}
-    for s, k in zip(pdf["seller"], keys, strict=True):
-        if k in apart:
-            owners.setdefault(k, set()).add(s)
-    _assign(keys, list(pdf["seller"]), out, _unions(owners), {}, apart)
-    names = []
-    for k, o in zip(keys, out, strict=True):
-        names.append("|".join("" if x is None else str(x) for x in (o or k)) + ("" if o else "?"))
-    return pdf.assign(item=names)
+    unions = _unions({k: {x, y} for k, x, y in zip(keys, pdf["first_seller"], pdf["last_seller"], strict=True)})
+    out = []
+    for k, line, ingredient, item in zip(keys, pdf["line"], pdf["ingredient"], pdf["item"], strict=True):
+        fits = [u for u in unions if agree(k, u)]
+        if len(fits) == 1:
+            out.append((line, ingredient, item, "|".join("" if x is None else str(x) for x in fits[0])))
+    return pd.DataFrame(out, columns=["line", "ingredient", "item", "united"])
+
+
+def assigned(nodes: DataFrame) -> DataFrame:
+    """(node, product): matches merged where they are consistent.
+
+    Matched complete nodes are one product, numbered by its least node. An open node joins the product of the complete nodes it may match if
+    that is one product, else of those it is matched with if that is one; else it stays on its own. Open nodes without a complete one are
+    united with those they agree with, if there is one way to, and if amount, form or pack is known.
+    """
+    equal, loose = scored_pairs(nodes)
+    matched = materialize(matches(equal, loose), "matches")
+    full = nodes.filter("not open").select("node")
+    both = matched.select("a", "b").unionByName(matched.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.join(full.select(F.col("node").alias("a")), "a").join(full.select(F.col("node").alias("b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+    settled = full.join(least, "node", "left").select("node", F.least("node", "least").alias("product"))
+    # cycles close: all complete nodes an open one may match, or is matched with, must be one item
+    fits = loose.filter("not b_open").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "b_item")
+    chosen = fits.join(both, ["a", "b"], "left_semi")
+    one = lambda df, name: df.groupBy("a").agg(F.min("b_item").alias("x"), F.max("b_item").alias("y")).select("a", F.when(F.col("x") == F.col("y"), F.col("x")).alias(name))
+    to = one(fits, "only").join(one(chosen, "match"), "a", "left").select(F.col("a").alias("node"), F.coalesce("only", "match").alias("item"))
+    lacking = nodes.filter("open").select("node", "line", "ingredient", "seller", *FIELDS, F.col("item").alias("own")).join(to.withColumn("fitted", F.lit(True)), "node", "left")
+    lacking = materialize(lacking, "lacking")
+    heads = settled.join(nodes.select("node", "item"), "node").groupBy("item").agg(F.min("product").alias("product"))
+    joined = lacking.filter("item is not null").select("node", "item").join(heads, "item").select("node", "product")
+    apart = lacking.filter("fitted is null and coalesce(cast(amount as string), form, pack) is not null")
+    distinct = apart.groupBy("line", "ingredient", *FIELDS, F.col("own").alias("item")).agg(F.min("seller").alias("first_seller"), F.max("seller").alias("last_seller"))
+    united = distinct.groupBy("line", "ingredient").applyInPandas(unite, "line string, ingredient string, item long, united string")
+    united = apart.join(united.select(F.col("item").alias("own"), _number("line", "ingredient", "united").alias("product")), "own").select("node", "product")
+    open_ = lacking.select("node").join(materialize(joined.unionByName(united), "joined"), "node", "left").select("node", F.coalesce("product", "node").alias("product"))
+    return settled.unionByName(open_)
 
 
 def product_groups(listings: DataFrame) -> DataFrame:
     """(record_id, product_id): every listing with its product; NULLs are read as empty texts.
 
-    A listing whose line or ingredient can't be read is a product of its own; one without name, description and contents is none.
-    Listings of one product_id are the same product, whoever sells them. Incomplete readings are products of their own for each seller and
-    reading if several items fit them alike, or if amount, form and pack are all unknown and no item fits. Repeated listings share their product; ties are broken by the order of the readings.
+    A listing whose line can't be read is a product of its own; one without name, description and contents is none. Listings of one
+    product_id are the same product, whoever sells them. Incomplete readings that several products fit alike, or of which neither amount, form nor
+    pack is known, are products of their own for each seller and reading. Repeated listings share their product; a missing seller is one seller.
     """
-    every = with_lines(materialize(readings(listings), "read"))
-    read = every.filter("line is not null and ingredient is not null")
-    rows = read.groupBy("line", "ingredient", "seller", *FIELDS).agg(F.count("*").alias("n"))
-    schema = "line string, ingredient string, seller string, amount double, form string, pack string, flavour string, n long, item string"
-    # blocks in which every reading is complete need no assignment
-    known = F.max("flavour").over(Window.partitionBy("line", "ingredient", "amount", "form", "pack"))
-    open_reading = F.col("amount").isNull() | F.col("form").isNull() | F.col("pack").isNull() | (F.col("flavour").isNull() & F.col("known").isNotNull())
-    rows = materialize(rows.withColumn("amount", F.col("amount").cast("double")).withColumn("known", known).withColumn("open", open_reading).drop("known"), "rows")
-    unsettled = rows.filter("open").select("line", "ingredient").distinct()
-    rest = rows.join(unsettled, ["line", "ingredient"], "left_anti").drop("open")
-    rest = rest.withColumn("item", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FIELDS]))
-    solved = rows.join(unsettled, ["line", "ingredient"], "left_semi").drop("open").groupBy("line", "ingredient").applyInPandas(assign_block, schema)
-    columns = ["line", "ingredient", "seller", *FIELDS, "n", "item"]
-    items = materialize(solved.select(columns).unionByName(rest.select(columns)), "items")
-    same = [read[c].eqNullSafe(items[c]) for c in ("seller", *FIELDS)]
-    on = (read["line"] == items["line"]) & (read["ingredient"] == items["ingredient"])
-    for s in same:
-        on = on & s
-    found = read.join(items, on).select(read["record_id"], read["line"], read["ingredient"], items["item"], read["seller"])
-    own = F.when(F.col("item").endswith("?"), F.coalesce("seller", F.lit(""))).otherwise(F.lit(""))
-    alone = every.filter("line is null or ingredient is null").select("record_id", F.sha2(F.concat(F.lit("unread|"), "record_id"), 256).alias("product_id"))
-    return found.select("record_id", F.sha2(F.concat_ws("|", "line", "ingredient", "item", own), 256).alias("product_id")).unionByName(alone)
+    read = materialize(readings(listings), "read")
+    known, spelled = vocabulary(read)
+    lines = with_lines(read, known, listings)
+    told = with_flavours(lines, identifying_words(lines, known, spelled)).withColumn("node", _number("line", "ingredient", "seller", *FIELDS))
+    told = materialize(told, "told")
+    whole = told.filter("line is not null")
+    products = assigned(nodes_of(whole))
+    found = whole.select("record_id", "node").join(products, "node").select("record_id", F.sha2(F.concat(F.lit("product|"), F.col("product").cast("string")), 256).alias("product_id"))
+    alone = told.filter("line is null").select("record_id", F.sha2(F.concat(F.lit("unread|"), "record_id"), 256).alias("product_id"))
+    return found.unionByName(alone)
 
 
 def product_pairs(listings: DataFrame) -> DataFrame:

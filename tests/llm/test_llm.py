@@ -278,13 +278,19 @@ def test_repair(spark):
 # --- 3: products ---
 
 
-def test_readings():
-    read = products.read_listing
-    assert read("Acme Hibarar CoQ10 100 MG 45 Gummy Chews Ripe Peach", "", "") == ("coenzyme q10", 100_000, "gummy", "45 ct", "peach")
-    assert read("8.8 oz Fine Powder 3,000 mg Megrahax minty Creatine Mono", "", "") == ("creatine", 3_000_000, "powder", "250 g", "mint")
-    assert read("Valeriana Extract 0.45g Capsules x 90", "", "") == ("valerian", 450_000, "capsule", "90 ct", None)
-    assert read("Hibarar", "You get 60-Count Softgels with 30 µg Vit B12 per serving.", "null") == ("vitamin b12", 30, "softgel", "60 ct", None)
-    assert read("", "", "") == (None, None, None, None, None)
+def test_quantities():
+    read = lambda n, d="", c="": products.quantities(products._fold(n), d, products._fold(c))[:3]
+    assert read("Acme Hibarar CoQ10 100 MG 45 Gummy Chews Ripe Peach") == (100_000, "gummy", "45 ct")
+    assert read("8.8 oz Fine Powder 3,000 mg Megrahax minty Creatine Mono") == (3_000_000, "powder", "250 g")
+    assert read("Valeriana Extract 0.45g Capsules x 90") == (450_000, "capsule", "90 ct")
+    assert read("Hibarar", "You get 60-Count Softgels with 30 µg Vit B12 per serving.", "null") == (30, "softgel", "60 ct")
+    assert read("Hibarar 120 coated tabs", "", "Zinc Picolinate (15 mg), husk powder") == (15_000, "tablet", "120 ct")
+    assert read("") == (None, None, None)
+
+
+def test_terms():
+    words, more = products.terms("vitamin-c 500 mg x 60 capsules b-12 omega 3 coq10")
+    assert words == ["vitamin", "omega"] and {"vitamin c", "b 12", "omega 3", "coq10"} <= set(more) and not any("mg" in t or "500" in t for t in more)
 
 
 def test_matching_equals_brute_force():
@@ -316,24 +322,82 @@ def test_products_with_mistyped_unknown_or_missing_words(spark):
     got = {r["record_id"]: r["product_id"] for r in products.product_groups(df).collect()}
     assert set(got) == set("abcdefghijk") and got["a"] == got["b"] == got["c"] == got["d"] and got["f"] == got["g"] and got["j"] == got["k"]
     assert len(set(got.values())) == 6 and got["h"] != got["i"]
-    assert not products._is_ingredient("claegeflax") and products._is_ingredient("methylfolate")
 
 
-def test_incomplete_readings_meet_without_a_complete_one():
-    import pandas as pd
+def test_certain_matches_equal_brute_force():
+    r = np.random.default_rng(11)
+    for _ in range(150):
+        w = r.integers(0, 4, size=(r.integers(1, 5), r.integers(1, 5))).astype(float)
+        n = max(w.shape)
+        big = np.zeros((n, n))
+        big[: w.shape[0], : w.shape[1]] = w
+        totals = {p: sum(big[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n))}
+        best = [{(i, p[i]) for i in range(n) if big[i, p[i]] > 0} for p, t in totals.items() if t == max(totals.values())]
+        assert set(products.certain_matches(w).items()) == set.intersection(*best)
+
+
+def items(spark, *rows):
+    """The product of each (seller, amount, form, pack, flavour) of one block, in order."""
+    df = spark.createDataFrame([(i, "l", "x", *r) for i, r in enumerate(rows)], "i int, line string, ingredient string, seller string, amount double, form string, pack string, flavour string")
+    df = df.withColumn("node", products._number("line", "ingredient", "seller", *products.FIELDS))
+    return [r["product"] for r in df.join(products.assigned(products.nodes_of(df)), "node").orderBy("i").collect()]
 
-    def items(*rows):
-        return list(products.assign_block(pd.DataFrame([(s, *k, 1) for s, *k in rows], columns=["seller", *products.FIELDS, "n"]))["item"])
 
-    a, b = items(("s1", 500.0, "capsule", None, None), ("s2", 500.0, "capsule", None, None))
-    assert a == b and not a.endswith("?")
-    a, b, c, d = items(("s1", 500.0, "capsule", None, None), ("s2", 500.0, None, "60 ct", None), ("s3", 500.0, None, None, None), ("s4", 250.0, None, None, None))
+def test_incomplete_readings_meet_without_a_complete_one(spark):
+    a, b = items(spark, ("s1", 500.0, "capsule", None, None), ("s2", 500.0, "capsule", None, None))
+    assert a == b
+    a, b, c, d = items(spark, ("s1", 500.0, "capsule", None, None), ("s2", 500.0, None, "60 ct", None), ("s3", 500.0, None, None, None), ("s4", 250.0, None, None, None))
     assert a == b == c != d  # the union of the first two, which the third one agrees with
-    a, b, c = items(("s1", 500.0, "capsule", None, None), ("s2", 500.0, "tablet", None, None), ("s3", 500.0, None, None, None))
-    assert len({a, b, c}) == 3 and c.endswith("?")  # fits both alike
-    a, b = items(("s1", 500.0, "capsule", None, None), ("s1", 500.0, None, "60 ct", None))
+    assert len(set(items(spark, ("s1", 500.0, "capsule", None, None), ("s2", 500.0, "tablet", None, None), ("s3", 500.0, None, None, None)))) == 3  # the third fits both alike
+    a, b = items(spark, ("s1", 500.0, "capsule", None, None), ("s1", 500.0, None, "60 ct", None))
     assert a != b  # one seller's own
-    assert all(x.endswith("?") for x in items(("s1", None, None, None, "mint"), ("s2", None, None, None, "mint")))
+    assert len(set(items(spark, ("s1", None, None, None, "mint"), ("s2", None, None, None, "mint")))) == 2
+
+
+def test_sellers_constrain_matches(spark):
+    full = lambda s, n: (s, 500.0, "capsule", f"{n} ct", None)
+    got = items(spark, full("s1", 60), ("s1", 500.0, "capsule", None, None), full("s2", 60), full("s2", 90))
+    assert got[0] == got[2] and got[1] == got[3] != got[0]  # s1 lists 60 itself, so its open listing is the other one of s2
+    got = items(spark, ("s1", 500.0, "capsule", None, None), full("s2", 60), full("s2", 90), full("s3", 60))
+    assert got[1] == got[3] != got[2] and got[0] == got[1]  # only s3 tells
+    got = items(spark, ("s1", 500.0, "capsule", None, None), full("s2", 60), full("s3", 90))
+    assert len(set(got)) == 3  # matches that contradict each other around the cycle
+    got = items(spark, *[(f"s{i}", 500.0, "capsule", "60 ct", None) for i in range(6)], *[(f"s{i}", 500.0, "capsule", "60 ct", f) for i, f in ((1, "mint"), (2, "peach"))])
+    assert got[1] == got[7] != got[6] == got[2]  # s1 lists mint itself, so what it lists without flavour is peach; and the other way round
+    assert len({got[0], got[3], got[4], got[5], got[6], got[7]}) == 6  # nothing tells which of the two these are
+    got = items(spark, ("s1", 500.0, "gummy", "60 ct", None), ("s2", 500.0, "gummy", "60 ct", "mint"), ("s3", 500.0, "gummy", "60 ct", "mint"))
+    assert len(set(got)) == 1
+
+
+def test_vocabulary_is_learned(spark):
+    """Ingredients, flavours and lines that no list has, from listings alone."""
+    r = random.Random(12)
+    ingredients = {"quzzine": ["Quzzine", "Zylo Root", "Zylorum"], "brontex oil": ["Brontex Oil", "Brontexol"]}
+    flavours, noise = [["Tarrel", "tarrelly"], ["Womberry flavour"], ["Ginnop"]], ["Great Value", "New", "Vegan", "Fresh Look", "Top"]
+    rows, truth = [], {}
+    for b in range(8):
+        for line in range(3):
+            brand, name = f"{'abcdefgh'[b] * 2}irbrand", f"{'pqrstuvw'[b]}o{'xyz'[line]}alime"
+            for k in range(4):
+                ing, flavour = r.choice(sorted(ingredients)), r.randrange(3)
+                amount, count = r.choice([100, 250]), r.choice([30, 60, 90])
+                for s in range(5):
+                    i = f"{len(rows):05d}"
+                    parts = [brand, name, r.choice(ingredients[ing]), r.choice([f"{amount} mg", f"{amount / 1000} g"]), r.choice([f"{count} gummies", f"Gummies x {count}"]), r.choice(flavours[flavour]), r.choice(noise)]
+                    r.shuffle(parts)
+                    rows.append((i, f"seller {s}", " | ".join(parts), None, brand, f"{ing.title()} ({amount} mg), peel" if r.random() < 0.5 else None))
+                    truth[i] = (name, ing, amount, count, flavour)
+    df = spark.createDataFrame(rows, "record_id string, Retailer string, ProductName string, ProductDescription string, Brand string, ProductContents string").withColumn("ProductBrand", F.lit(None).cast("string"))
+    got = {x["record_id"]: x["product_id"] for x in products.product_groups(df).collect()}
+    pairs = lambda of: {(a, b) for a, b in itertools.combinations(sorted(truth), 2) if of[a] == of[b]}
+    want, found = pairs(truth), pairs(got)
+    assert len(want & found) >= 0.97 * len(want) and len(want & found) >= 0.97 * len(found)
+
+
+def test_unlisted_words_and_short_lines(spark):
+    df = as_listings(spark, [("a", "s1", "Echinacea 400 mg 60 capsules", "", None), ("b", "s2", "Echinacea 0.4 g 60 caps", "", None), ("c", "s1", "Zyn Zinc 25 mg 30 tablets", "", None), ("d", "s2", "Zyn Zinc 25 mg 30 tablets", "", None), ("e", "s3", "Цинк Актив 25 mg 30 tablets", "", None), ("f", "s4", "Цинк Актив 25 mg 30 tabs", "", None)])
+    got = {r["record_id"]: r["product_id"] for r in products.product_groups(df).collect()}
+    assert got["a"] == got["b"] and got["c"] == got["d"] and got["e"] == got["f"] and len(set(got.values())) == 3
 
 
 def test_products(spark):
