@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.llm.canonical import ACCENTED, PLAIN, pigeonhole_join
@@ -48,6 +48,7 @@ _PHRASE = re.compile(r"\s*([^()]{2,80}?)\s*\(\s*\d[\d.,]*[ -]?(?:mg|mcg|µg|μg|
 _FOLD = str.maketrans(ACCENTED, PLAIN)
 _TAG = re.compile(r"<[^<>]*>")
 _TOKEN = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n|•")
 
 FIELDS = ("amount", "form", "pack", "flavour")
@@ -102,7 +103,7 @@ def read_amount(text: str, form: str | None) -> int | None:
 
 def facts(text: str) -> str:
     """The sentences of a description that give a number."""
-    return " . ".join(s for s in _SENTENCE.split(text) if any(c.isdigit() for c in s)) if any(c.isdigit() for c in text) else ""
+    return " . ".join(s for s in _SENTENCE.split(text) if _DIGIT.search(s)) if _DIGIT.search(text) else ""
 
 
 def quantities(name: str, description: str, contents: str) -> tuple[int | None, str | None, str | None, str]:
@@ -166,62 +167,79 @@ def readings(listings: DataFrame) -> DataFrame:
     return text.mapInArrow(run, f"record_id string, seller string, amount long, form string, pack string, {lists}, phrase string")
 
 
-def vocabulary(read: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What terms stand for: (term, line, n_line, top, ingredient, n_ingredient), and the spellings (term, word) of mistyped words.
+def _brand_number(brand: Column) -> Column:
+    """A word of a brand as a number of 32 bits, which only has to tell a listing's own brand words from others."""
+    return F.xxhash64(brand).bitwiseAND(F.lit((1 << 32) - 1))
 
-    line is set for words that name a line (or are within edits of one of the same brand), top is the brand word that has it; ingredient is the
-    phrase that goes with a term.
+
+def vocabulary(read: DataFrame) -> DataFrame:
+    """What terms stand for: (term, line, n_line, top, ingredient, n_ingredient, word); mistyped words stand for what they were meant to be.
+
+    line is a word that one brand has nearly to itself, top the number of its brand word; ingredient is the phrase that goes with a term; word, where both are
+    missing, is a word of PAIRS listings or more.
     """
     branded = read.select(F.explode("words").alias("term"), "brands").select("term", F.posexplode_outer("brands").alias("at", "brand"))
     first = F.coalesce(F.col("at"), F.lit(0)) == 0
     per_brand = branded.groupBy("term", "brand").agg(F.count("*").alias("nb"), F.count_if(first).alias("n"), F.count_if(first & F.col("brand").isNotNull()).alias("known"))
     known = F.when(F.col("brand").isNotNull(), F.col("nb"))
-    words = per_brand.groupBy("term").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.max(known).alias("nb"), F.max_by("brand", F.struct(known, "brand")).alias("top"))
+    # count and brand in one number, so that the greatest is found without strings
+    packed = per_brand.groupBy("term").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.max(F.shiftleft(known, 32).bitwiseOR(_brand_number(F.col("brand")))).alias("p"))
+    words = packed.select("term", "n", "known", F.shiftright("p", 32).alias("nb"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).alias("top"))
     as_brand = read.select(F.explode("brands").alias("term")).groupBy("term").agg(F.count("*").alias("n_brand"))
     # a word that is a brand more often than not is one here, too
-    words = words.join(as_brand, "term", "left").filter("n_brand is null or n_brand < n").drop("n_brand")
+    words = words.join(as_brand, "term", "left").filter("n_brand is null or n_brand < n")
     is_line = (F.col("known") == 0) | (F.col("nb") >= CONCENTRATED * F.col("known"))
-    words = materialize(words.select("term", "n", "top", is_line.alias("is_line")), "words")
+    words = materialize(words.select("term", "n", "top", is_line.alias("is_line"), (F.coalesce("n_brand", F.lit(0)) >= SUPPORT).alias("is_brand")), "words")
     # ingredients
     beside = read.filter("phrase is not null").select("phrase", F.explode(F.concat("words", "terms")).alias("term")).groupBy("term", "phrase").agg(F.count("*").alias("n"))
     pure = beside.groupBy("term").agg(F.max("n").alias("n_ingredient"), F.max_by("phrase", F.struct("n", "phrase")).alias("ingredient"), F.sum("n").alias("all")).filter(f"n_ingredient >= {SUPPORT} and n_ingredient >= {PURE} * all").drop("all")
-    pure = pure.join(words.filter("is_line").select("term"), "term", "left_anti").join(as_brand.filter(f"n_brand >= {SUPPORT}").select("term"), "term", "left_anti")
+    pure = materialize(pure.join(words.filter("is_line or is_brand").select("term"), "term", "left_anti"), "pure")
     # mistyped words
     often = words.filter("n > 1").select(F.col("term").alias("ref_key"), F.col("n").alias("n_ref"), F.col("top").alias("top_ref"), F.col("is_line").alias("line_ref"))
     near = pigeonhole_join(words.select(F.col("term").alias("key")), often.select("ref_key")).filter("distance > 0")
     near = near.join(often, "ref_key").join(words.select(F.col("term").alias("key"), "n", "top"), "key")
     near = near.filter("n * 5 <= n_ref or (line_ref and top = top_ref and n * 2 <= n_ref)")
     to = near.groupBy("key").agg(F.max_by("ref_key", F.struct((F.col("line_ref") & (F.col("top") == F.col("top_ref"))).alias("own"), -F.col("distance"), "n_ref", "ref_key")).alias("word"))
-    spelled = materialize(to.select(F.col("key").alias("term"), "word"), "spelled")
-    right = words.join(spelled, "term", "left").select("term", F.coalesce("word", "term").alias("word"))
-    lines = words.filter("is_line").select(F.col("term").alias("word"), F.col("term").alias("line"), F.col("n").alias("n_line"), "top")
-    meant = right.join(lines, "word", "left").join(pure.withColumnRenamed("term", "word"), "word", "left").filter("line is not null or ingredient is not null").drop("word")
-    others = pure.join(words.select("term"), "term", "left_anti").select("term", F.lit(None).cast("string").alias("line"), F.lit(None).cast("long").alias("n_line"), F.lit(None).cast("string").alias("top"), "ingredient", "n_ingredient")
-    return materialize(meant.unionByName(others), "vocabulary"), spelled
+    right = words.select("term").join(to.select(F.col("key").alias("term"), "word"), "term", "left").select("term", F.coalesce("word", "term").alias("word"))
+    stands = words.select(F.col("term").alias("word"), "n", "is_line", "top").join(pure.withColumnRenamed("term", "word"), "word", "left")
+    meant = right.join(stands, "word").filter(f"is_line or ingredient is not null or n >= {PAIRS}")
+    neither = ~F.col("is_line") & F.col("ingredient").isNull()
+    meant = meant.select("term", F.when(F.col("is_line"), F.col("word")).alias("line"), F.when(F.col("is_line"), F.col("n")).alias("n_line"), "top", "ingredient", "n_ingredient", F.when(neither, F.col("word")).alias("word"))
+    others = pure.filter(~F.col("term").rlike(r"^\p{L}{3,}$"))
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    others = others.select("term", nothing("string", "line"), nothing("long", "n_line"), nothing("long", "top"), "ingredient", "n_ingredient", nothing("string", "word"))
+    return materialize(meant.unionByName(others), "vocabulary")
 
 
 def with_lines(read: DataFrame, known: DataFrame, listings: DataFrame) -> DataFrame:
-    """read with line and ingredient; NULL where they can't be told.
+    """(row, record_id, seller, line, ingredient, amount, form, pack, name, marks, said_marks): line and ingredient are NULL where they can't be told.
 
     The line is the most frequent one that the name has, else (or where that word mostly stands beside another line) the only one of the
-    description whose brand is the listing's. The ingredient is
-    that of the name's terms, else the phrase of the contents, else that of the description (of its facts first), else the only one of the line.
+    description whose brand is the listing's. The ingredient is that of the name's terms, else the phrase of the contents, else that of the
+    description (of its facts first), else the only one of the line. marks has the name's frequent other words and, after an equals sign, terms of
+    ingredients, said_marks those of the facts; name is a number for the name's text.
     """
-    best = lambda what, n: F.max_by(what, F.when(F.col(what).isNotNull(), F.struct(n, what)))
-    told = read.select("record_id", F.explode(F.concat("words", "terms")).alias("term")).join(known, "term")
-    told = told.groupBy("record_id").agg(best("line", "n_line").alias("line"), best("ingredient", "n_ingredient").alias("ingredient"))
-    out = materialize(read.join(told, "record_id", "left").withColumn("ingredient", F.coalesce("ingredient", "phrase")).drop("phrase", "terms"), "lines")
+    best = lambda what, n, when: F.max_by(what, F.when(F.col(what).isNotNull() & when, F.struct(n, what)))
+    own = F.col("at") < F.col("n_own")
+    told = read.select("row", (F.size("words") + F.size("terms")).alias("n_own"), F.posexplode(F.concat("words", "terms", "said")).alias("at", "term")).join(known, "term")
+    marks = F.coalesce("word", F.when(F.col("ingredient").isNotNull(), F.concat(F.lit("="), "term")))
+    told = told.groupBy("row").agg(
+        best("line", "n_line", own).alias("line"), best("ingredient", "n_ingredient", own).alias("ingredient"), best("ingredient", "n_ingredient", ~own).alias("facts_ingredient"),
+        F.collect_set(F.when(own, marks)).alias("marks"), F.collect_set(F.when(~own, marks)).alias("said_marks"),
+    )
+    columns = ["row", "record_id", "seller", "amount", "form", "pack", "brands", "phrase", F.xxhash64("words").alias("name")]
+    out = read.select(*columns).join(told, "row", "left").withColumn("ingredient", F.coalesce("ingredient", "phrase", "facts_ingredient")).drop("phrase", "facts_ingredient")
+    out = materialize(out, "lines")
     # a word that mostly stands beside a line is none, unless nothing else tells
     sizes = known.filter("line = term").select("line", "n_line")
     weak = out.filter("line is not null").groupBy("line").agg(F.count("*").alias("picked")).join(sizes, "line").filter("picked * 2 <= n_line").select("line", F.lit(True).alias("weak"))
     marked = out.join(materialize(weak, "weak"), "line", "left").select(*out.columns, "weak")
     settled = F.col("line").isNotNull() & F.col("ingredient").isNotNull() & F.col("weak").isNull()
-    rest = marked.filter(~settled)
-    texts = listings.filter("ProductDescription is not null").select("record_id", F.split(F.translate(F.lower("ProductDescription"), ACCENTED, PLAIN), r"[^\p{L}]+").alias("term"))
-    said = rest.select("record_id", "brands", F.coalesce("said", F.array().cast("array<string>")).alias("said")).join(texts, "record_id")
-    said = said.select("record_id", "brands", "said", F.explode(F.array_distinct("term")).alias("term")).join(known, "term")
-    in_facts = F.when(F.col("ingredient").isNotNull(), F.struct(F.array_contains("said", F.col("term")).alias("f"), "n_ingredient", "ingredient"))
-    said = said.groupBy("record_id").agg(F.collect_set(F.when(F.array_contains("brands", F.col("top")), F.col("line"))).alias("lines"), F.max_by("ingredient", in_facts).alias("said_ingredient"))
+    rest = materialize(marked.filter(~settled).withColumn("h", F.xxhash64("record_id")), "rest")
+    texts = listings.filter("ProductDescription is not null").withColumn("h", F.xxhash64("record_id")).join(rest.select("h"), "h", "left_semi")
+    texts = texts.select("record_id", F.split(F.translate(F.lower("ProductDescription"), ACCENTED, PLAIN), r"[^\p{L}]+").alias("term"))
+    said = rest.select("record_id", "brands").join(texts, "record_id").select("record_id", "brands", F.explode(F.array_distinct("term")).alias("term")).join(known, "term")
+    said = said.groupBy("record_id").agg(F.collect_set(F.when(F.array_contains(F.transform("brands", _brand_number), F.col("top")), F.col("line"))).alias("lines"), best("ingredient", "n_ingredient", F.lit(True)).alias("said_ingredient"))
     only = out.filter("line is not null and ingredient is not null").groupBy("line").agg(F.min("ingredient").alias("least"), F.max("ingredient").alias("most")).filter("least = most")
     rest = rest.join(said.select("record_id", F.when(F.size("lines") == 1, F.col("lines")[0]).alias("said_line"), "said_ingredient"), "record_id", "left")
     rest = rest.withColumn("line", F.coalesce(F.when(F.col("weak").isNull(), F.col("line")), "said_line", "line")).withColumn("ingredient", F.coalesce("ingredient", "said_ingredient"))
@@ -229,8 +247,8 @@ def with_lines(read: DataFrame, known: DataFrame, listings: DataFrame) -> DataFr
     return marked.filter(settled).select(out.columns).unionByName(materialize(rest.select(out.columns), "mended"))
 
 
-def identifying_words(read: DataFrame, known: DataFrame, spelled: DataFrame) -> DataFrame:
-    """(term, flavour, n, explains): words, neither lines nor ingredients, on which listings that agree in all else agree LIFT times as often as by chance.
+def identifying_words(read: DataFrame) -> DataFrame:
+    """(mark, flavour, n, explains): words, neither lines nor ingredients, on which listings that agree in all else agree LIFT times as often as by chance.
 
     Words that one of these nearly always goes with ('ripe' with 'peach'), or that only lengthen it ('minty'), stand for it. A term of an
     ingredient that never comes without one of these explains it ('sambucus' a 'berry'). Copies of a name count once, pairs are counted from the
@@ -238,49 +256,43 @@ def identifying_words(read: DataFrame, known: DataFrame, spelled: DataFrame) ->
     """
     whole = read.filter("line is not null and amount is not null and form is not null and pack is not null")
     g = F.xxhash64("line", F.coalesce("ingredient", F.lit("")), "amount", "form", "pack")
-    names = whole.groupBy(g.alias("g"), F.xxhash64("words").alias("h")).agg(F.first("words").alias("words"), F.first("form").alias("form"), F.first(F.coalesce("ingredient", F.lit(""))).alias("ingredient"))
-    names = materialize(names, "names")
+    names = materialize(whole.select(g.alias("g"), "name", "form", F.coalesce("ingredient", F.lit("")).alias("ingredient"), F.array_sort(F.coalesce("marks", F.array().cast("array<string>"))).alias("marks")).distinct(), "names")
     sizes = names.groupBy("g").agg(F.count("*").alias("size"))
-    counts = names.select("g", "form", "ingredient", F.explode("words").alias("term")).groupBy("g", "form", "ingredient", "term").agg(F.count("*").alias("k"))
+    term = F.filter("marks", lambda x: ~F.startswith(x, F.lit("=")))
+    counts = names.select("g", "form", "ingredient", F.explode(term).alias("mark")).groupBy("g", "form", "ingredient", "mark").agg(F.count("*").alias("k"))
     k, size = F.col("k"), F.col("size")
-    cells = counts.join(sizes, "g").groupBy("form", "ingredient", "term").agg(F.sum("k").alias("n"), F.sum(k * (k - 1)).alias("pairs"), F.sum(k * (size - 1)).alias("base"))
+    cells = counts.join(sizes, "g").groupBy("form", "ingredient", "mark").agg(F.sum("k").alias("n"), F.sum(k * (k - 1)).alias("pairs"), F.sum(k * (size - 1)).alias("base"))
     cells = materialize(cells, "cells")
-    often = cells.groupBy("term").agg(F.sum("pairs").alias("all")).filter(f"all >= {PAIRS}").select("term").join(known.select("term"), "term", "left_anti")
-    cells = cells.join(often, "term")
     # the chance that a listing of this form, or of this ingredient, has the word
-    share = lambda c: cells.groupBy(c, "term").agg(F.sum("n").alias("nc")).join(names.groupBy(c).agg(F.count("*").alias("of")), c).select(c, "term", (F.col("nc") / F.col("of")).alias(f"by_{c}"))
-    stats = cells.join(share("form"), ["form", "term"]).join(share("ingredient"), ["ingredient", "term"])
-    stats = stats.groupBy("term").agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs"), F.sum(F.col("base") * F.greatest("by_form", "by_ingredient")).alias("chance"))
-    found = materialize(stats.filter(f"pairs >= {LIFT} * chance").select("term", "n"), "identifying")
-    # what goes with what; a listing has few identifying words
-    own = names.select("g", "h", F.explode("words").alias("term")).join(found.select("term"), "term").groupBy("g", "h").agg(F.collect_set("term").alias("ws"))
-    both = own.filter("size(ws) > 1").select(F.explode("ws").alias("term"), "ws").select("term", F.explode("ws").alias("other")).filter("term <> other").groupBy("term", "other").agg(F.count("*").alias("c"))
-    other = found.select(F.col("term").alias("other"), F.col("n").alias("n_other"))
-    beside = both.join(found, "term").join(other, "other").filter("c >= 0.8 * n and n_other > n").select("term", "other", "n_other")
-    stem = found.select("term", "n", F.explode(F.array(*[F.expr(f"left(term, length(term) - {i})") for i in (1, 2)])).alias("other")).filter("length(other) > 3").join(other, "other").select("term", "other", "n_other")
-    up = beside.unionByName(stem).groupBy("term").agg(F.max_by("other", F.struct("n_other", "other")).alias("up"))
-    twice = up.join(up.select(F.col("term").alias("up"), F.col("up").alias("top")), "up", "left").select("term", F.coalesce("top", "up").alias("up"))
-    named = found.join(twice, "term", "left").select("term", F.coalesce("up", "term").alias("flavour"), "n")
-    typed = spelled.join(named.withColumnRenamed("term", "word"), "word").select("term", "flavour", "n").join(found.select("term"), "term", "left_anti")
-    said = names.select("g", "h", F.explode("words").alias("term")).join(known.filter("ingredient is not null").select("term"), "term")
-    total = said.groupBy("term").agg(F.count("*").alias("all"))
-    together = said.join(own, ["g", "h"]).select("term", F.explode("ws").alias("explains")).groupBy("term", "explains").agg(F.count("*").alias("c"))
-    explained = together.join(total, "term").filter(f"c >= 0.95 * all and c >= {PAIRS}").select("term", F.lit(None).cast("string").alias("flavour"), F.lit(None).cast("long").alias("n"), "explains")
-    # mistyped spellings explain as the word does
-    explained = explained.unionByName(spelled.join(explained.withColumnRenamed("term", "word"), "word").select("term", "flavour", "n", "explains"))
-    return materialize(named.unionByName(typed).withColumn("explains", F.lit(None).cast("string")).unionByName(explained), "flavours")
+    share = lambda c: cells.groupBy(c, "mark").agg(F.sum("n").alias("nc")).join(names.groupBy(c).agg(F.count("*").alias("of")), c).select(c, "mark", (F.col("nc") / F.col("of")).alias(f"by_{c}"))
+    stats = cells.join(share("form"), ["form", "mark"]).join(share("ingredient"), ["ingredient", "mark"])
+    stats = stats.groupBy("mark").agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs"), F.sum(F.col("base") * F.greatest("by_form", "by_ingredient")).alias("chance"))
+    found = materialize(stats.filter(f"pairs >= {PAIRS} and pairs >= {LIFT} * chance").select("mark", "n"), "identifying")
+    # what goes with what; a listing has few identifying words and terms of ingredients
+    each = names.select("g", "name", F.explode("marks").alias("mark")).join(found.withColumn("hit", F.lit(True)), "mark", "left").filter("hit or startswith(mark, '=')")
+    own = each.groupBy("g", "name").agg(F.collect_set("mark").alias("all"), F.collect_set(F.when(F.col("hit"), F.col("mark"))).alias("ws"))
+    both = materialize(own.select(F.explode("all").alias("mark"), "ws").select("mark", F.explode_outer("ws").alias("other")).groupBy("mark", "other").agg(F.count("*").alias("c")), "beside")
+    other = found.select(F.col("mark").alias("other"), F.col("n").alias("n_other"))
+    beside = both.filter("mark <> other").join(found, "mark").join(other, "other").filter("c >= 0.8 * n and n_other > n").select("mark", "other", "n_other")
+    stem = found.select("mark", F.explode(F.array(*[F.expr(f"left(mark, length(mark) - {i})") for i in (1, 2)])).alias("other")).filter("length(other) > 3").join(other, "other").select("mark", "other", "n_other")
+    up = beside.unionByName(stem).groupBy("mark").agg(F.max_by("other", F.struct("n_other", "other")).alias("up"))
+    twice = up.join(up.select(F.col("mark").alias("up"), F.col("up").alias("top")), "up", "left").select("mark", F.coalesce("top", "up").alias("up"))
+    named = found.join(twice, "mark", "left").select("mark", F.coalesce("up", "mark").alias("flavour"), "n", F.lit(None).cast("string").alias("explains"))
+    terms_ = names.select(F.explode("marks").alias("mark")).filter("startswith(mark, '=')").groupBy("mark").agg(F.count("*").alias("all"))
+    explained = both.filter("startswith(mark, '=')").join(terms_, "mark").filter(f"c >= 0.95 * all and c >= {PAIRS}")
+    explained = explained.select("mark", F.lit(None).cast("string").alias("flavour"), F.lit(None).cast("long").alias("n"), F.col("other").alias("explains"))
+    return materialize(named.unionByName(explained), "flavours")
 
 
 def with_flavours(read: DataFrame, flavours: DataFrame) -> DataFrame:
     """(record_id, seller, line, ingredient, amount, form, pack, flavour): flavour is the most frequent identifying word of the name that nothing explains, else of the description's facts."""
-
-    def of(words: str, name: str) -> DataFrame:
-        found = read.select("record_id", F.explode(words).alias("term")).join(flavours, "term")
-        sets = found.groupBy("record_id").agg(F.collect_set(F.when(F.col("flavour").isNotNull(), F.struct("n", "flavour"))).alias("fs"), F.collect_set("explains").alias("ex"))
-        return sets.select("record_id", F.array_max(F.filter("fs", lambda x: ~F.array_contains("ex", x["flavour"])))["flavour"].alias(name))
-
-    own = read.join(of("words", "flavour"), "record_id", "left").join(of("said", "said_flavour"), "record_id", "left")
-    return own.select("record_id", "seller", "line", F.coalesce("ingredient", F.lit("")).alias("ingredient"), F.col("amount").cast("double").alias("amount"), "form", "pack", F.coalesce("flavour", "said_flavour").alias("flavour"))
+    own = F.col("at") < F.col("n_own")
+    each = read.select("row", F.size("marks").alias("n_own"), F.posexplode(F.concat("marks", "said_marks")).alias("at", "mark")).join(flavours, "mark")
+    of = lambda when: F.collect_set(F.when(F.col("flavour").isNotNull() & when, F.struct("n", "flavour")))
+    sets = each.groupBy("row").agg(of(own).alias("fs"), of(~own).alias("said"), F.collect_set(F.when(own, F.col("explains"))).alias("ex"))
+    top = lambda c: F.array_max(F.filter(c, lambda x: ~F.array_contains("ex", x["flavour"])))["flavour"]
+    out = read.join(sets.select("row", F.coalesce(top("fs"), top("said")).alias("flavour")), "row", "left")
+    return out.select("record_id", "seller", "line", F.coalesce("ingredient", F.lit("")).alias("ingredient"), F.col("amount").cast("double").alias("amount"), "form", "pack", "flavour")
 
 
 def nodes_of(read: DataFrame) -> DataFrame:
@@ -290,9 +302,10 @@ def nodes_of(read: DataFrame) -> DataFrame:
     """
     each = read.select("node", "line", "ingredient", "seller", *FIELDS).distinct()
     same = ["line", "ingredient", "amount", "form", "pack"]
-    known = each.filter("flavour is not null").select(*same).distinct().withColumn("flavoured", F.lit(True))
+    each = each.withColumn("base", _number(*same))
+    known = each.filter("flavour is not null").select("base").distinct().withColumn("flavoured", F.lit(True))
     lacks = F.col("amount").isNull() | F.col("form").isNull() | F.col("pack").isNull()
-    out = each.join(known, same, "left").withColumn("open", lacks | (F.col("flavour").isNull() & F.col("flavoured").isNotNull())).drop("flavoured")
+    out = each.join(known, "base", "left").withColumn("open", lacks | (F.col("flavour").isNull() & F.col("flavoured").isNotNull())).drop("flavoured", "base")
     return materialize(out.withColumn("item", _number("line", "ingredient", *FIELDS)), "nodes")
 
 
@@ -420,8 +433,11 @@ def matches(equal: DataFrame, loose: DataFrame) -> DataFrame:
     marked = equal.join(first, ["a", "b_seller"], "left").join(second, ["b", "a_seller"], "left")
     lone = marked.filter("x is null and y is null").select("a", "b")
     several = marked.filter("x is not null or y is not null").select("line", "ingredient", "a", "b", F.col("a_seller").alias("sa"), F.col("b_seller").alias("sb"), "weight")
-    solved = several.unionByName(cross.select(several.columns)).groupBy("sa", "sb", "line", "ingredient").applyInPandas(match_sellers, "a long, b long")
-    return lone.unionByName(solved)
+    several = several.unionByName(cross.select(several.columns))
+    at_a, at_b = F.count("*").over(Window.partitionBy("a", "sb")), F.count("*").over(Window.partitionBy("b", "sa"))
+    several = materialize(several.withColumn("single", (at_a == 1) & (at_b == 1)), "several")
+    solved = several.filter("not single").groupBy("sa", "sb", "line", "ingredient").applyInPandas(match_sellers, "a long, b long")
+    return lone.unionByName(several.filter("single").select("a", "b")).unionByName(solved)
 
 
 def agree(a: tuple, b: tuple) -> bool:
@@ -484,10 +500,20 @@ def assigned(nodes: DataFrame) -> DataFrame:
     distinct = apart.groupBy("line", "ingredient", *FIELDS, F.col("own").alias("item")).agg(F.min("seller").alias("first_seller"), F.max("seller").alias("last_seller"))
     united = distinct.groupBy("line", "ingredient").applyInPandas(unite, "line string, ingredient string, item long, united string")
     united = apart.join(united.select(F.col("item").alias("own"), _number("line", "ingredient", "united").alias("product")), "own").select("node", "product")
-    open_ = lacking.select("node").join(materialize(joined.unionByName(united), "joined"), "node", "left").select("node", F.coalesce("product", "node").alias("product"))
+    open_ = lacking.select("node").join(joined.unionByName(united), "node", "left").select("node", F.coalesce("product", "node").alias("product"))
     return settled.unionByName(open_)
 
 
+def _products(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(record_id, product) of the listings with a line, and (record_id) of those without."""
+    read = materialize(readings(listings).withColumn("row", F.monotonically_increasing_id()), "read")
+    lines = with_lines(read, vocabulary(read), listings)
+    told = materialize(with_flavours(lines, identifying_words(lines)).withColumn("node", _number("line", "ingredient", "seller", *FIELDS)), "told")
+    whole = told.filter("line is not null")
+    found = whole.select("record_id", "node").join(assigned(nodes_of(whole)), "node").select("record_id", "product")
+    return found, told.filter("line is null").select("record_id")
+
+
 def product_groups(listings: DataFrame) -> DataFrame:
     """(record_id, product_id): every listing with its product; NULLs are read as empty texts.
 
@@ -495,21 +521,14 @@ def product_groups(listings: DataFrame) -> DataFrame:
     product_id are the same product, whoever sells them. Incomplete readings that several products fit alike, or of which neither amount, form nor
     pack is known, are products of their own for each seller and reading. Repeated listings share their product; a missing seller is one seller.
     """
-    read = materialize(readings(listings), "read")
-    known, spelled = vocabulary(read)
-    lines = with_lines(read, known, listings)
-    told = with_flavours(lines, identifying_words(lines, known, spelled)).withColumn("node", _number("line", "ingredient", "seller", *FIELDS))
-    told = materialize(told, "told")
-    whole = told.filter("line is not null")
-    products = assigned(nodes_of(whole))
-    found = whole.select("record_id", "node").join(products, "node").select("record_id", F.sha2(F.concat(F.lit("product|"), F.col("product").cast("string")), 256).alias("product_id"))
-    alone = told.filter("line is null").select("record_id", F.sha2(F.concat(F.lit("unread|"), "record_id"), 256).alias("product_id"))
-    return found.unionByName(alone)
+    found, alone = _products(listings)
+    name = lambda kind, c: F.sha2(F.concat(F.lit(f"{kind}|"), F.col(c).cast("string")), 256).alias("product_id")
+    return found.select("record_id", name("product", "product")).unionByName(alone.select("record_id", name("unread", "record_id")))
 
 
 def product_pairs(listings: DataFrame) -> DataFrame:
     """(left_record_id, right_record_id): all pairs of listings of one product, smaller id first."""
-    groups = materialize(product_groups(listings), "products")
-    # the pairs are the result that is asked for; products are joined by id, hot ones are split by adaptive execution
-    a, b = groups.select("product_id", F.col("record_id").alias("left_record_id")), groups.select("product_id", F.col("record_id").alias("right_record_id"))
-    return a.join(b, "product_id").filter("left_record_id < right_record_id").select("left_record_id", "right_record_id")
+    groups = materialize(_products(listings)[0], "products")
+    # the pairs are the result that is asked for; products are joined by number, hot ones are split by adaptive execution
+    a, b = groups.select("product", F.col("record_id").alias("left_record_id")), groups.select("product", F.col("record_id").alias("right_record_id"))
+    return a.join(b, "product").filter("left_record_id < right_record_id").select("left_record_id", "right_record_id")
