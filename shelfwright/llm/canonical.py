@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.functions.text import present
+from shelfwright.session import materialize
 
 #: Letters that fold to plain ones, one for one.
 LETTERS = {
@@ -117,23 +118,20 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     """
     keyed = values.select("value").distinct().withColumn("w", words(F.col("value")))
     keyed = keyed.select("value", F.array_join("w", "").alias("key"), F.array_join(F.array_sort("w"), " ").alias("sorted"), F.when(F.trim("value").rlike("^[A-Z]{3,6}$"), F.trim("value")).alias("capitals"))
-    refs = reference_keys(reference)
-    of = lambda kind, name: refs.filter(F.col("kind") == kind).select(F.col("key").alias(name), F.col("brand_id").alias(f"by_{kind}"))
-    exact = keyed.join(of("full", "key"), "key", "left").join(of("sorted", "sorted"), "sorted", "left")
-    exact = exact.join(of("first", "key"), "key", "left").join(of("initials", "capitals"), "capitals", "left")
-    kinds = ("full", "sorted", "first", "initials")
-    how = F.coalesce(*[F.when(F.col(f"by_{k}").isNotNull(), F.lit(k)) for k in kinds])
-    exact = exact.withColumn("brand_id", F.coalesce(*[f"by_{k}" for k in kinds])).withColumn("how", how)
-    hit = exact.filter("brand_id is not null").select("value", "brand_id", "how")
-    rest = keyed.join(hit, "value", "left_anti").filter("key <> ''")
+    keyed, refs = materialize(keyed, "keyed"), materialize(reference_keys(reference), "keys")
+    # all keys of a value meet the reference in one join; the first kind that hits holds
+    ways = (("full", "key"), ("sorted", "sorted"), ("first", "key"), ("initials", "capitals"))
+    tries = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(kind).alias("kind"), F.col(c).alias("key")) for i, (kind, c) in enumerate(ways)])
+    tried = keyed.select("value", F.explode(F.filter(tries, lambda x: x["key"].isNotNull())).alias("t")).select("value", "t.*").join(refs, ["kind", "key"])
+    hit = tried.groupBy("value").agg(F.min(F.struct("place", "kind", "brand_id")).alias("m")).select("value", "m.brand_id", F.col("m.kind").alias("how"))
+    hit = materialize(hit, "hits")
+    rest = materialize(keyed.join(hit, "value", "left_anti"), "rest")
     # edits are allowed in the full name only, or in a first word that is long enough to tell
     names = refs.filter("kind = 'full' or (kind = 'first' and length(key) >= 6)").select(F.col("key").alias("ref_key"), "brand_id")
-    near = pigeonhole_join(rest, names).join(names, "ref_key").groupBy("key", "distance").agg(F.min("brand_id").alias("brand_id"), F.count_distinct("brand_id").alias("n"))
+    near = pigeonhole_join(rest.filter("key <> ''"), names).join(names, "ref_key").groupBy("key", "distance").agg(F.min("brand_id").alias("brand_id"), F.count_distinct("brand_id").alias("n"))
     best = near.withColumn("least", F.min("distance").over(Window.partitionBy("key"))).filter("distance = least and n = 1").select("key", "brand_id")
-    edited = rest.join(best, "key").select("value", "brand_id", F.lit("edits").alias("how"))
-    matched = hit.unionByName(edited)
-    unmatched = keyed.join(matched, "value", "left_anti").select("value", F.lit(0).cast("long").alias("brand_id"), F.lit("unmatched").alias("how"))
-    return matched.withColumn("brand_id", F.col("brand_id").cast("long")).unionByName(unmatched)
+    edited = rest.join(best, "key", "left").select("value", F.coalesce("brand_id", F.lit(0)).cast("long").alias("brand_id"), F.when(F.col("brand_id").isNull(), "unmatched").otherwise("edits").alias("how"))
+    return hit.withColumn("brand_id", F.col("brand_id").cast("long")).unionByName(edited)
 
 
 def map_fields(listings: DataFrame, reference: DataFrame, fields: tuple[str, ...] = ("ProductBrand", "Brand"), row: str = "record_id") -> DataFrame:
@@ -144,4 +142,5 @@ def map_fields(listings: DataFrame, reference: DataFrame, fields: tuple[str, ...
     """
     cells = listings.select(F.col(row).alias("record_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("c")).select("record_id", "c.*")
     cases = cells.filter(present(F.col("value"))).join(reference.select(F.col("brand_name").alias("value")), "value", "left_anti")
+    cases = materialize(cases, "cases")
     return cases.join(map_values(cases, reference), "value").select("record_id", "field_name", "value", "brand_id", "how")

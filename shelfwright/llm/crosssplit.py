@@ -1,7 +1,7 @@
 """Problem 1: records of the evaluation splits that recur, exactly or almost, in the training split.
 
-Method: an exact prefix-filter bipartite join on rare shingles. A record's text (the letters of name and description; figures, markup and
-damaged characters left out) becomes the set of its five-word shingles. All sets are put in one global order, rare shingles first: two
+Method: an exact prefix-filter bipartite join on rare shingles. A record's text (the words of name and description in any script; figures,
+markup and damaged characters left out) becomes the set of its five-word shingles. All sets are put in one global order, rare shingles first: two
 sets that overlap by the wanted share have a shingle in common among the first ones of each, the prefix. Prefixes of evaluation records are
 indexed and probed with those of training records; a pair must pass filters by length, by the places of the shared shingle and by the
 bits in which 256-bit images of the sets differ, all of which are exact bounds, before its whole sets are compared.
@@ -10,9 +10,10 @@ The wanted share (Jaccard 0.5) is lower than the usual 0.8, as TESTDATA.md state
 one added and a few words mistyped still have nearly all sentences in agreement, but only about half of their shingles.
 
 Scale: records of equal text are one class; classes are paired and their members listed beside, so a class with a third of all records is
-joined once. The order needs counts of shingles, which are kept for 65,536 hash buckets over all records, a table of fixed size; with it
-prefixes are found where the text is read, and only prefixes are shuffled. Shingles of a third of all records come last in the order, out
-of all prefixes. Ids of classes and shingles are 64-bit hashes.
+joined once. How rare a shingle is, is counted over all records in two steps: hash buckets, a table of fixed size, bound every count from
+above, and the shingles of buckets that are fuller than most are counted one by one, of which the FREQUENT most frequent are kept with their
+exact counts. Both tables have a fixed size; with them prefixes are found where the text is read, and only prefixes are shuffled. Shingles of
+a third of all records come last in the order, out of all prefixes. Ids of classes and shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,17 +32,31 @@ from shelfwright.session import materialize
 
 SHINGLE = 5
 SHARE = 0.5
-COUNTERS = 1 << 16
+COUNTERS = 1 << 18
+#: Shingles whose exact counts are kept, and how much fuller than the mean a bucket must be for its shingles to be counted.
+FREQUENT = 1 << 17
+FULL = 3.0
 EVALUATION = ("validation", "test")
 #: Ids of classes that may be broadcast (a few bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
 
+#: Letters of other scripts than the Latin one, and those of scripts that are written without blanks.
+_FOREIGN = r"[\p{L}\p{M}&&[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]]"
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+
+
 def words(*columns: str) -> Column:
-    """The words of a text: runs of the letters a-z, lower-cased; markup, figures and all other characters separate them."""
+    """The words of a text, lower-cased; markup, figures and all other characters separate them.
+
+    Words are runs of the letters a-z; in texts with more letters of another script also the runs of these, each letter by itself where the script
+    has no blanks. (Elsewhere such letters are what wrong decoding leaves behind.) A text without words is empty.
+    """
     text = F.lower(F.concat_ws(" ", *columns))
     text = F.when(F.contains(text, F.lit("<")) | F.contains(text, F.lit("&")), F.regexp_replace(text, r"<[^<>]*>|&#?[a-z0-9]{2,8};", " ")).otherwise(text)
-    return F.regexp_replace(text, "[^a-z]+", " ")
+    foreign = F.length(F.regexp_replace(text, rf"[^\p{{L}}\p{{M}}]|[\p{{IsLatin}}\p{{IsCommon}}\p{{IsInherited}}]", "")) > F.length(F.regexp_replace(text, "[^a-z]", ""))
+    spaced = F.regexp_replace(F.regexp_replace(text, _UNSPACED, " $1 "), r"[^a-z\p{L}\p{M}]+|[[\p{IsLatin}\p{IsCommon}\p{IsInherited}]&&[^a-z]]+", " ")
+    return F.when(text.rlike(_FOREIGN) & foreign, F.trim(spaced)).otherwise(F.trim(F.regexp_replace(text, "[^a-z]+", " ")))
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -82,20 +97,43 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarr
 
 
 def _texts(listings: DataFrame) -> DataFrame:
-    """(record_id, Retailer, text): of the listings that have both a name and a description, their words."""
+    """(record_id, Retailer, text, c): of the listings that have both a name and a description, their words and their class, a hash of these, or of the whole texts where there are none."""
     both = listings.filter(present(F.col("ProductName")) & present(F.col("ProductDescription")) & F.col("record_id").isNotNull())
-    return both.select(F.lower(F.trim("record_id")).alias("record_id"), "Retailer", words("ProductName", "ProductDescription").alias("text"))
+    rows = both.select(F.lower(F.trim("record_id")).alias("record_id"), "Retailer", words("ProductName", "ProductDescription").alias("text"), "ProductName", "ProductDescription")
+    whole = F.xxhash64(F.lower(F.trim("ProductName")), F.lower(F.trim("ProductDescription")), F.lit(1))
+    return rows.select("record_id", "Retailer", "text", F.when(F.col("text") == "", whole).otherwise(F.xxhash64("text")).alias("c"))
 
 
 def _members(listings: DataFrame, assignments: DataFrame) -> DataFrame:
     """(c, record_id, is_eval, split, Retailer) of the assigned records; c is the class, a hash of the text."""
     now = current_assignments(assignments).filter(F.col("split").isin("train", *EVALUATION)).select("record_id", "split")
-    rows = _texts(listings).select("record_id", "Retailer", F.xxhash64("text").alias("c"))
+    rows = _texts(listings).select("record_id", "Retailer", "c")
     return rows.join(now, "record_id").select("c", "record_id", (F.col("split") != "train").alias("is_eval"), "split", "Retailer")
 
 
-def _counts(texts: DataFrame) -> bytes:
-    """How many records have a shingle of each hash bucket, a byte a bucket on a scale of eighths of powers of two."""
+class Rarity:
+    """How frequent shingles are, on a scale of eighths of powers of two: exact for the most frequent, an upper bound by hash bucket for the rest."""
+
+    def __init__(self, buckets: bytes, known: bytes, counts: bytes, least: int) -> None:
+        self.buckets, self.known, self.counts, self.least = np.frombuffer(buckets, dtype=np.uint8), np.frombuffer(known, dtype=np.int64), np.frombuffer(counts, dtype=np.uint8), least
+
+    def __reduce__(self) -> tuple:
+        return Rarity, (self.buckets.tobytes(), self.known.tobytes(), self.counts.tobytes(), self.least)
+
+    def rank(self, h: np.ndarray) -> np.ndarray:
+        out = self.buckets[h & (COUNTERS - 1)]
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            out = np.where(self.known[at] == h, self.counts[at], np.minimum(out, self.least))
+        return out
+
+
+def _scale(n: np.ndarray) -> np.ndarray:
+    return np.minimum(255, 8 * np.log2(1 + n.astype(np.float64))).astype(np.uint8)
+
+
+def _counts(texts: DataFrame) -> Rarity:
+    """How many records have each shingle: two maps over the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
@@ -106,19 +144,31 @@ def _counts(texts: DataFrame) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["b", "n"])
 
     counted = texts.select("text").mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
-    out = np.zeros(COUNTERS, dtype=np.uint8)
-    out[counted["b"].to_numpy(dtype=np.int64)] = np.minimum(255, 8 * np.log2(1 + counted["n"].to_numpy(dtype=np.float64)))
-    return out.tobytes()
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    total[counted["b"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    full = (total > max(2.0, FULL * total.mean())).tobytes()
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(full, dtype=bool)
+        for batch in batches:
+            _, h = shingle_sets(batch.column(0).to_pylist())
+            h, n = np.unique(h[wanted[h & (COUNTERS - 1)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    each = texts.select("text").mapInArrow(single, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = each.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")  # FREQUENT rows at most; the others rank by bucket, below them
+    counts = _scale(top["n"].to_numpy())
+    least = int(counts.min()) if len(top) == FREQUENT else 255
+    return Rarity(_scale(total).tobytes(), top["h"].to_numpy(dtype=np.int64).tobytes(), counts.tobytes(), least)
 
 
-def _prefixes(classes: DataFrame, counts: bytes, share: float) -> DataFrame:
+def _prefixes(classes: DataFrame, rarity: Rarity, share: float) -> DataFrame:
     """A row (h, place) for each shingle of the prefix of each class, with the class, its size n and the 256-bit image of its set.
 
     Sets that differ in d elements have images that differ in at most d bits. classes has (c, has_eval, has_train, text).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(counts, dtype=np.uint8)
         for batch in batches:
             doc, h = shingle_sets(batch.column(3).to_pylist())
             if not len(doc):
@@ -127,7 +177,7 @@ def _prefixes(classes: DataFrame, counts: bytes, share: float) -> DataFrame:
             bit = np.uint64(1) << (h & 63).astype(np.uint64)
             part = (h >> 6) & 3
             image = [np.bitwise_or.reduceat(np.where(part == k, bit, np.uint64(0)), start).view(np.int64) for k in range(4)]
-            h = h[np.lexsort((h, rank[h & (COUNTERS - 1)], doc))]
+            h = h[np.lexsort((h, rarity.rank(h), doc))]
             keep = n - np.ceil(n * share - 1e-9).astype(np.int64) + 1
             i = np.repeat(np.arange(len(own)), keep)
             place = np.arange(len(i)) - np.repeat(np.cumsum(keep) - keep, keep)
@@ -153,13 +203,13 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("c", "text").mapInArrow(run, "c long, s array<long>")
 
 
-def candidate_classes(texts: DataFrame, classes: DataFrame, counts: bytes, share: float = SHARE) -> DataFrame:
+def candidate_classes(texts: DataFrame, classes: DataFrame, rarity: Rarity, share: float = SHARE) -> DataFrame:
     """(c, d): pairs of classes, c with evaluation and d with training records, that pass all filters; each once.
 
     texts has the representatives' (record_id, text), classes has (record_id, c, has_eval, has_train).
     """
     read = texts.join(classes, "record_id")
-    side = lambda flag, x: _prefixes(read.filter(flag), counts, share).select("h", *[F.col(k).alias(x + k) for k in ("c", "n", "place", "w0", "w1", "w2", "w3")])
+    side = lambda flag, x: _prefixes(read.filter(flag), rarity, share).select("h", *[F.col(k).alias(x + k) for k in ("c", "n", "place", "w0", "w1", "w2", "w3")])
     joined = side("has_eval", "a").join(side("has_train", "b"), "h")
     need = F.ceil((F.col("an") + F.col("bn")) * (share / (1 + share)) - 1e-9)
     differ = sum((F.bit_count(F.col(f"aw{k}").bitwiseXOR(F.col(f"bw{k}"))) for k in range(1, 4)), F.bit_count(F.col("aw0").bitwiseXOR(F.col("bw0"))))
@@ -193,8 +243,8 @@ def linked_classes(listings: DataFrame, assignments: DataFrame, share: float = S
 def overlaps(listings: DataFrame, assignments: DataFrame, share: float = SHARE) -> DataFrame:
     """(left_record_id, right_record_id): every pair of an evaluation and a training record whose texts are linked, smaller id first.
 
-    Only records with a current split and both texts take part; NULL, blank and "null" texts are missing. Texts without letters form one
-    class of their own. Texts of any length are compared whole; repeated assignments count once; empty tables give no rows; other columns
+    Only records with a current split and both texts take part; NULL, blank and "null" texts are missing. Texts without words are the
+    same only if they are equal. Texts of any length are compared whole; repeated assignments count once; empty tables give no rows; other columns
     are not read.
     """
     links, members = linked_classes(listings, assignments, share)

@@ -21,7 +21,9 @@ from shelfwright.session import materialize, release
 
 def usable_edges(edges: DataFrame, left: str = "left_record_id", right: str = "right_record_id", pattern: str = "^[0-9a-f]{64}$") -> DataFrame:
     """(a, b) with a < b, each once: ids lower-cased and trimmed; NULL or malformed endpoints and self pairs are left out."""
-    a, b = key(F.col(left)), key(F.col(right))
+    # most ids are well-formed as they are, and only the others need trimming
+    plain = lambda c: F.when(F.col(c).rlike(pattern) & ~F.col(c).rlike(r"[\s\x85\u2028\u2029]$"), F.col(c)).otherwise(key(F.col(c)))
+    a, b = plain(left), plain(right)
     return (
         edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (a.isNotNull() & b.isNotNull()).alias("both"))
         .filter(F.col("both") & F.col("a").rlike(pattern) & F.col("b").rlike(pattern) & (F.col("a") < F.col("b")))
@@ -32,6 +34,7 @@ def usable_edges(edges: DataFrame, left: str = "left_record_id", right: str = "r
 
 def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vertex, id) with ids in the order of the vertices, and the edges (u, v) between ids."""
+    edges = materialize(edges, "pairs")
     ids = edges.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
     ids = ids.repartitionByRange("vertex").sortWithinPartitions("vertex").withColumn("id", F.monotonically_increasing_id())
     ids = materialize(ids, "vertices")

@@ -4,6 +4,9 @@ Method: capped water-filling. A source can give at most its tokens times its max
 total exceeds that are clamped to it, and their excess goes to the others in proportion to their targets until all is feasible. Each
 source is then taken a whole number of times and, for the fraction, in the order of a seeded hash until the tokens are reached.
 
+Without a given total the mix is the largest in which every source has its target share, as TESTDATA.md asks; with a total, such as that of
+the corpus, small sources are clamped and the shares that are reached differ from the targets.
+
 Scale: one pass counts tokens; the driver sees one row a source. The point at which a source's fraction ends is found from sums over
 hash buckets, so that only the documents of one bucket in 65,536 a source are ever put in order.
 """
@@ -51,11 +54,11 @@ def water_fill(tokens: dict[str, int], weights: dict[str, float], repeats: dict[
     return out
 
 
-def mix(documents: DataFrame, plan: DataFrame, total_tokens: float | None = None, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, plan: DataFrame, total_tokens: float | str | None = None, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, n_tokens, copies) of the selected texts, copies at least 1, and (source, target_share, max_repeats, available_tokens, planned_tokens).
 
     Sources are compared without regard to case, blanks and hyphens; documents of a missing source or one that is not planned are left
-    out, as are texts without tokens (NULL, empty). Repeated texts are texts each for itself. A source ends with the text that comes
+    out, as are texts without tokens (NULL, empty). total_tokens "corpus" is the number of tokens of all planned sources. Repeated texts are texts each for itself. A source ends with the text that comes
     nearest to its planned tokens. A plan with a source twice is an error; no documents give no rows.
     """
     rows = plan.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source is not null").collect()
@@ -68,7 +71,7 @@ def mix(documents: DataFrame, plan: DataFrame, total_tokens: float | None = None
     counted = materialize(counted, "counted")
     have = {r["source"]: int(r["t"]) for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # one row a planned source
     weights, repeats = {r["source"]: float(r["target_share"] or 0) for r in rows}, {r["source"]: int(r["max_repeats"] or 0) for r in rows}
-    give = water_fill(have, weights, repeats, total_tokens)
+    give = water_fill(have, weights, repeats, float(sum(have.values())) if total_tokens == "corpus" else total_tokens)
     table = []
     for s in names:
         t = have.get(s, 0)

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 TRI, BI, UNI = 1 << 20, 1 << 18, 1 << 16
 HELD_OUT = 8  # one clean value in so many, by hash, is kept from training and validates the margin
-ROUNDS = 3
 TOUCHED = 1 / 500  # share of held-out clean values that may reach a margin
 MARGINS = ((2.0, 8.0), (4.0, 12.0), (6.0, 14.0))  # bounds for chains over UTF-8, between one-byte encodings, and for lost bytes
 #: Encodings that garbled characters may have been taken for, and pairs of one-byte encodings.
@@ -35,6 +34,7 @@ LOST = "lost bytes"
 #: What garbled text in Western languages is likely to have been; other scripts come up where clean neighbours happen to form a sequence.
 _LIKELY = re.compile(r"[\x00-\x7f\xa0-\u024f\u02c6-\u02dc\u2010-\u203a\u20ac\u2122]*")
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_CONTROL = re.compile(r"[\x80-\x9f]")
 
 
 def _table(encoding: str) -> dict[str, int]:
@@ -170,7 +170,7 @@ class Model:
     def repair(self, text: str, margins: tuple[float, float, float]) -> tuple[list[str], str]:
         """The chains undone, in order, and the text after it. A one-byte chain ends the search: what it gives was never UTF-8 text."""
         done: list[str] = []
-        for _ in range(ROUNDS):
+        while True:  # every chain makes the text shorter, or is the last one
             gains, changes = self.options(text)
             allowed = [k for k in gains if gains[k] > margins[kind_of(k)] and not (done and kind_of(k) == 1)]
             if not allowed:
@@ -194,8 +194,8 @@ def kind_of(chain: object) -> int:
 
 
 def looks_clean(text: str) -> bool:
-    """No replacement character and no run that holds a whole UTF-8 sequence in some one-byte encoding."""
-    return "�" not in text and not any(k < len(OVER_UTF8) and _LIKELY.fullmatch(to) for m in _RUN.finditer(text) for k, to in decodings(m[0]))
+    """No replacement or control character and no run that holds a whole UTF-8 sequence in some one-byte encoding."""
+    return "�" not in text and not _CONTROL.search(text) and not any(k < len(OVER_UTF8) and _LIKELY.fullmatch(to) for m in _RUN.finditer(text) for k, to in decodings(m[0]))
 
 
 def _held_out(text: str) -> bool:
@@ -243,7 +243,7 @@ def train(cells: DataFrame) -> Model:
         s[part["at"].to_numpy(dtype=np.int64)] = part["n"].to_numpy(dtype=np.float64)
         sums.append(s.astype(np.float32))
     letters = got[(got["k"] == 3)].sort_values(["n", "at"], ascending=[False, True])["at"]
-    return Model(*sums, "".join(chr(c) for c in letters[:300]))
+    return Model(*sums, "".join(chr(c) for c in letters))
 
 
 def validated_margins(cells: DataFrame, model: Model) -> tuple[float, float, float]:

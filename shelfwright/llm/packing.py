@@ -2,14 +2,18 @@
 
 Method: bound-certified repacking. Items are spread over partitions by hash and packed best-fit decreasing in each. Lower bounds from
 dual feasible functions certify a partition's number of containers; partitions that need more than their bound exchange the items of
-their loosest containers, which are packed again, for as long as that saves containers.
+their loosest containers, which are packed again, for as long as that saves containers. A single partition with a gap exchanges with the one
+that has most room.
 
-Only ids and sizes leave the scan; a partition holds a bounded number of items whatever the input, and the driver sees one row a
-partition. Tokens are those of the public WordPunct tokenizer.
+Only ids and sizes leave the scan. The number of partitions is the square root of the number of items over ROOT, or what ITEMS_A_PARTITION asks
+for, so that there are several at every size and none is too large; what is known of partitions stays in tables, and the driver sees counts.
+Tokens are those of the public WordPunct tokenizer.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +23,7 @@ from shelfwright.functions.text import wordpunct_count
 from shelfwright.session import materialize, release
 
 ITEMS_A_PARTITION = 200_000
-ROUNDS = 4
+ROOT = 12
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -69,7 +73,7 @@ def sized(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return documents.select(F.col(doc_id).alias("doc_id"), wordpunct_count(F.col(text)).alias("n_tokens"))
 
 
-def pack(documents: DataFrame, capacity: int, items_a_partition: int = ITEMS_A_PARTITION, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(documents: DataFrame, capacity: int, items_a_partition: int = ITEMS_A_PARTITION, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, part_no, n_parts, first_token, n_tokens, container_id): every document in containers of at most `capacity` tokens.
 
     Only documents of more than `capacity` tokens have several parts: as many whole containers as they fill, and a rest that is an item
@@ -104,25 +108,26 @@ def pack(documents: DataFrame, capacity: int, items_a_partition: int = ITEMS_A_P
         return pdf.assign(bin=at, filled=filled[at], bound=lower_bound(sizes, capacity))
 
     def spread(items: DataFrame, count: int, name: str) -> DataFrame:
-        k = max(1, -(-count // items_a_partition))
+        k = max(1, -(-count // items_a_partition), round(math.sqrt(count) / ROOT))
         keyed = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "part_no", F.lit(name)), F.lit(k)).cast("int"))
         return materialize(keyed.groupBy("part").applyInPandas(packed, schema), "packed")
 
     columns = ["doc_id", "part_no", "n_parts", "first_token", "n_tokens", "container_id"]
     named = lambda df, r: df.withColumn("container_id", F.concat_ws("-", F.lit(str(r)), F.col("part").cast("string"), F.col("bin").cast("string"))).select(columns)
-    now = spread(open_items, open_items.count(), "0")
-    for r in range(rounds):
-        # one row a partition: containers, the certified bound, and what the loosest containers hold
-        facts = now.groupBy("part").agg((F.max("bin") + 1).alias("bins"), F.max("bound").alias("bound")).collect()
-        gaps = [(x["part"], x["bins"] - x["bound"]) for x in facts if x["bins"] > x["bound"]]
-        if len(gaps) < 2:
+    now, r = spread(open_items, open_items.count(), "0"), 0
+    while True:
+        # one row a partition: containers, the certified bound, and the mean fill
+        bins = now.groupBy("part", "bin").agg(F.first("filled").alias("f"), F.first("bound").alias("bound"))
+        facts = bins.groupBy("part").agg(F.count("*").alias("bins"), F.first("bound").alias("bound"), F.avg("f").alias("mean"))
+        facts = materialize(facts.withColumn("gap", F.col("bins") > F.col("bound")), "facts")
+        gaps, parts_ = facts.agg(F.count_if("gap"), F.count("*")).first()
+        if not gaps or parts_ < 2:
             break
-        spark = now.sparkSession
-        gap = F.broadcast(spark.createDataFrame(gaps, "part int, gap long"))  # one row a partition
-        # from each partition with a gap, its containers with more than the average room
-        bins = now.join(gap, "part").groupBy("part", "bin").agg(F.first("filled").alias("f"))
-        mean = bins.groupBy("part").agg(F.avg("f").alias("mean"))
-        loose = bins.join(mean, "part").filter("f < mean").select("part", "bin")
+        if gaps == 1:  # the partition with most room helps out
+            other = facts.filter("not gap").agg(F.min_by("part", F.struct("mean", "part"))).first()[0]
+            facts = facts.withColumn("gap", F.col("gap") | (F.col("part") == other))
+        loose = bins.join(facts.filter("gap").select("part", "mean"), "part").filter("f < mean").select("part", "bin")
+        loose = materialize(loose, "loose")
         before = loose.count()
         pool = materialize(now.join(loose, ["part", "bin"]).select("doc_id", "part_no", "n_parts", "first_token", "n_tokens"), "pool")
         again = spread(pool, pool.count(), str(r + 1))
@@ -131,8 +136,8 @@ def pack(documents: DataFrame, capacity: int, items_a_partition: int = ITEMS_A_P
             release(again)
             break
         done.append(named(now.join(loose, ["part", "bin"], "left_anti"), r))
-        now = again
-    done.append(named(now, rounds))
+        now, r = again, r + 1
+    done.append(named(now, r))
     out = done[0].select(columns)
     for d in done[1:]:
         out = out.unionByName(d)

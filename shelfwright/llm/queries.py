@@ -120,6 +120,21 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.record_splits(table(spark, sf_dir, "assignments"), table(spark, sf_dir, "split_plan"))
 
 
+@query(f"WITH {_CURRENT} SELECT count(*) AS n_records, count(DISTINCT last.g) AS n_groups, CAST(0 AS BIGINT) AS n_torn_after, (SELECT count(*) FROM split_plan) AS n_splits FROM current_rows")
+def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p4_splits: every current record once, and no group in two splits."""
+    rows = splits.record_splits(table(spark, sf_dir, "assignments"), table(spark, sf_dir, "split_plan"))
+    groups_ = rows.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("split").alias("k"), F.collect_set("split").alias("s"))
+    real = F.col("group_id").isNotNull()
+    return groups_.agg(F.sum("n").alias("n_records"), F.count_if(real).alias("n_groups"), F.count_if(real & (F.col("k") > 1)).alias("n_torn_after"), F.size(F.array_distinct(F.flatten(F.collect_list("s")))).cast("long").alias("n_splits"))
+
+
+@query()
+def p4_linked_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits that also keep together what match_edges links."""
+    return splits.record_splits(table(spark, sf_dir, "assignments"), table(spark, sf_dir, "split_plan"), table(spark, sf_dir, "match_edges"))
+
+
 @query()
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = table(spark, sf_dir, "split_plan")
@@ -157,29 +172,72 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.group_links(edges, groups.connected_groups(edges))
 
 
+_SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_TOKENS = rf"len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_SPACES}]+'))"
+
+
 @query()
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity, _ = pieces.limit_of(table(spark, sf_dir, "size_limits"), "container")
     return packing.pack(table(spark, sf_dir, "documents"), capacity)
 
 
+@query(
+    rf"""WITH d AS (SELECT doc_id, coalesce({_TOKENS}, 0) AS n FROM documents), c AS (SELECT max_tokens AS cap FROM size_limits WHERE task = 'container')
+SELECT CAST(sum(greatest(1, ceil(n / cap))) AS BIGINT) AS n_parts, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_divided_small FROM d, c"""
+)
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p8_containers: all tokens once, none overfull, only texts larger than a container divided."""
+    capacity, _ = pieces.limit_of(table(spark, sf_dir, "size_limits"), "container")
+    packed = packing.pack(table(spark, sf_dir, "documents"), capacity)
+    bins = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.count_if((F.col("n_parts") > 1) & (F.col("n_tokens") == 0)).alias("d"))
+    return bins.agg(F.sum("n").alias("n_parts"), F.sum("t").alias("n_tokens"), F.count_if(F.col("t") > capacity).alias("n_overfull"), F.sum("d").alias("n_divided_small"))
+
+
 @query()
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity, _ = pieces.limit_of(table(spark, sf_dir, "size_limits"), "container")
     return packing.packing_report(packing.pack(table(spark, sf_dir, "documents"), capacity), capacity)
 
 
-@query()
+_SOURCE = "CASE WHEN lower(trim(source, e' \\t\\r\\n')) NOT IN ('', 'null') THEN regexp_replace(lower(trim(source, e' \\t\\r\\n')), '[\\s_-]+', '_', 'g') END"
+#: The mix in which every source reaches its share: the total is bound by the source that reaches its most first.
+_MIX = rf"""
+plan AS (SELECT {_SOURCE} AS source, target_share, max_repeats FROM source_mix),
+counted AS (SELECT doc_id, source, n_tokens FROM (SELECT doc_id, {_SOURCE} AS source, coalesce({_TOKENS}, 0) AS n_tokens FROM documents) SEMI JOIN plan USING (source) WHERE n_tokens > 0),
+have AS (SELECT source, target_share, max_repeats, CAST(coalesce(t, 0) AS BIGINT) AS available_tokens FROM plan LEFT JOIN (SELECT source, sum(n_tokens) AS t FROM counted GROUP BY 1) USING (source)),
+free AS (SELECT * FROM have WHERE available_tokens * max_repeats > 0 AND target_share > 0),
+give AS (SELECT source, max_repeats, available_tokens AS t, target_share / (SELECT sum(target_share) FROM free) * (SELECT min(available_tokens * max_repeats * (SELECT sum(target_share) FROM free) / target_share) FROM free) AS g FROM free),
+cut AS (SELECT source, least(max_repeats, CAST(floor(g / t + 1e-9) AS INTEGER)) AS whole, max_repeats, g, t FROM give),
+run AS (SELECT doc_id, c.source, n_tokens, whole, CASE WHEN whole < max_repeats THEN greatest(0, g - whole * t) ELSE 0 END AS fraction,
+  sum(n_tokens) OVER (PARTITION BY c.source ORDER BY md5(doc_id || '|mix'), doc_id) AS upto FROM counted c JOIN cut USING (source)),
+mixed AS (SELECT doc_id, source, n_tokens, CAST(whole + CASE WHEN upto - n_tokens / 2 <= fraction THEN 1 ELSE 0 END AS INTEGER) AS copies FROM run)
+"""
+
+
+@query(f"WITH {_MIX} SELECT doc_id, source, n_tokens, copies FROM mixed WHERE copies > 0")
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"))[0]
 
 
-@query()
+@query(
+    f"""WITH {_MIX}, used AS (SELECT source, count(*) AS n_texts, CAST(sum(n_tokens * copies) AS BIGINT) AS used_tokens, max(copies) AS most_copies FROM mixed WHERE copies > 0 GROUP BY 1)
+SELECT source, target_share, max_repeats, available_tokens, coalesce(n_texts, 0) AS n_texts, coalesce(used_tokens, 0) AS used_tokens, coalesce(most_copies, 0) AS most_copies,
+ round(coalesce(used_tokens, 0) / (SELECT sum(used_tokens) FROM used), 9) AS share FROM have LEFT JOIN used USING (source)"""
+)
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.reached(*mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix")))
+    return mixing.reached(*mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"))).withColumn("share", F.round("share", 9))
 
 
-_SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+@query()
+def p9_mix_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the planned sources have: small sources are clamped at their repeats, the others make up for them."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"), "corpus")[0]
+
+
+@query()
+def p9_shares_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.reached(*mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"), "corpus"))
 
 
 @query(

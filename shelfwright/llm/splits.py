@@ -1,12 +1,13 @@
 """Problem 4: splits of given shares that keep all records of a group together.
 
-Method: largest-differencing balance. Groups (the components of equal group_id; a record without one is its own) are weights. In each
-partition the weights, sorted, are cut into tuples of as many as there are bins; the two tuples of the greatest spread are combined
-again and again, the heaviest entries of one with the lightest of the other. The partitions' tuples are combined in the same way, which
-gives many nearly equal bins, and whole bins go to the split that lacks most. Groups are never divided, whatever their size.
-
-Scale: groups are spread by the hash of their id, so that a partition has a bounded number of them; only the bins' sums leave the
-workers, `bins` numbers a partition, whatever the number of groups.
+Method: largest-differencing balance. Units are the components of records that share a group_id or, if links are given, are linked (a
+record without either is its own). In each partition the units' weights, sorted, are cut into tuples of as many as there are bins; the two
+tuples of the greatest spread are combined again and again, the heaviest entries of one with the lightest of the other. The partitions'
+tuples are combined in the same way, FAN at a time in a tree, which gives many nearly equal bins, and whole bins go to the split that lacks
+most. Groups are never divided, whatever their size.
+
+Scale: units are spread by the hash of their id, so that a partition has a bounded number of them. Each level of the tree is a grouped map
+over `bins` numbers a partition; the driver sees the last level only, at most FAN times `bins` numbers whatever the input.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.functions.text import key
+from shelfwright.llm.groups import connected_groups, usable_edges
 from shelfwright.operators.assignments import current_assignments
 from shelfwright.session import materialize
 
 BINS = 400
 GROUPS_A_PARTITION = 50_000
+FAN = 64  # tuples that are combined at once
 
 
 def combine(tuples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,25 +84,40 @@ def allocate(sums: np.ndarray, shares: dict[str, float]) -> list[str]:
     return out
 
 
-def grouped(assignments: DataFrame) -> DataFrame:
-    """(record_id, group_id, split, unit): the current rows; unit is the group, or the record itself where it has none."""
+def grouped(assignments: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(record_id, group_id, split, unit): the current rows; unit is the group, or the record itself where it has none.
+
+    links (left_record_id, right_record_id) join the units of their ends, directly or over records that have no assignment; see
+    groups.usable_edges for ends that link nothing.
+    """
     now = current_assignments(assignments)
     own = F.concat(F.lit("record:"), "record_id")
-    return now.withColumn("unit", F.coalesce(F.concat(F.lit("group:"), "group_id"), own))
-
-
-def group_splits(assignments: DataFrame, plan: DataFrame, bins: int = BINS, groups_a_partition: int = GROUPS_A_PARTITION) -> DataFrame:
+    now = now.withColumn("unit", F.coalesce(F.concat(F.lit("group:"), "group_id"), own))
+    if links is None:
+        return now
+    ends = usable_edges(links)
+    name = lambda c: F.concat(F.lit("record:"), c)
+    member = now.filter("group_id is not null").select(name("record_id").alias("left_record_id"), F.col("unit").alias("right_record_id"))
+    edges = ends.select(name("a").alias("left_record_id"), name("b").alias("right_record_id")).unionByName(member)
+    whole = connected_groups(edges, pattern="^(record|group):.").select(F.col("record_id").alias("unit"), F.col("group_record_id").alias("whole"))
+    return now.join(whole, "unit", "left").withColumn("unit", F.coalesce("whole", "unit")).drop("whole")
+
+
+def group_splits(assignments: DataFrame, plan: DataFrame, bins: int = BINS, groups_a_partition: int = GROUPS_A_PARTITION, links: DataFrame | None = None, fan: int = FAN) -> DataFrame:
     """(unit, group_id, n_records, n_current_splits, split): each group with its new split; see grouped() for unit.
 
     n_current_splits counts the present current splits of the group's records. Rows without record_id are left out; NULL or blank groups
-    and splits are missing; repeated rows count once; ties are broken by unit. An empty plan is an error; no assignments give no rows.
+    and splits are missing; repeated rows count once; ties are broken by unit. An empty plan is an error; no assignments give no rows. A unit of
+    several linked groups has the least group_id.
     """
+    return _unit_splits(grouped(assignments, links), plan, bins, groups_a_partition, fan)
+
+
+def _unit_splits(rows: DataFrame, plan: DataFrame, bins: int, groups_a_partition: int, fan: int) -> DataFrame:
     shares = {r["split"]: float(r["target_share"]) for r in plan.select(key(F.col("split")).alias("split"), "target_share").filter("split is not null and target_share > 0").collect()}
     if not shares:
         raise ValueError("the plan has no split with a positive target_share")
-    units = materialize(
-        grouped(assignments).groupBy("unit").agg(F.first("group_id").alias("group_id"), F.count("*").alias("n_records"), F.count_distinct("split").alias("n_current_splits")), "units"
-    )
+    units = materialize(rows.groupBy("unit").agg(F.min("group_id").alias("group_id"), F.count("*").alias("n_records"), F.count_distinct("split").alias("n_current_splits")), "units")
     parts = max(1, -(-units.count() // groups_a_partition))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,26 +125,46 @@ def group_splits(assignments: DataFrame, plan: DataFrame, bins: int = BINS, grou
         at, _ = bins_of(pdf["n_records"].to_numpy(), bins)
         return pdf.assign(bin=at)
 
-    spread = units.withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(parts)).cast("int"))
-    placed = materialize(spread.groupBy("part").applyInPandas(local, "unit string, group_id string, n_records long, n_current_splits long, part int, bin long"), "bins")
-    sums = placed.groupBy("part", "bin").agg(F.sum("n_records").alias("n")).toPandas()  # bins x partitions numbers
-    if sums.empty:
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Where each bin of some partitions goes, and the sums."""
+        wide = pdf.pivot_table(index="part", columns="bin", values="n", aggfunc="sum", fill_value=0).reindex(columns=range(bins), fill_value=0).sort_index()
+        place, sums = combine(list(wide.to_numpy(dtype=np.float64)))
+        at = wide.index.to_numpy()
+        return pd.DataFrame({"part": np.repeat(at, bins), "bin": np.tile(np.arange(bins), len(at)), "up": int(at[0]) // fan, "to": place.reshape(-1), "n": sums[place.reshape(-1)].astype(np.int64)})
+
+    spread = units.withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(parts)).cast("long"))
+    placed = materialize(spread.groupBy("part").applyInPandas(local, "unit string, group_id string, n_records long, n_current_splits long, part long, bin long"), "bins")
+    sums = placed.groupBy("part", "bin").agg(F.sum("n_records").alias("n"))
+    levels = []
+    while parts > fan:
+        level = sums.groupBy(F.floor(F.col("part") / fan).alias("up")).applyInPandas(lambda key, pdf: merge(pdf), "part long, bin long, up long, to long, n long")
+        levels.append(materialize(level, "level"))
+        sums = levels[-1].groupBy(F.col("up").alias("part"), F.col("to").alias("bin")).agg(F.first("n").alias("n"))
+        parts = -(-parts // fan)
+    last = sums.toPandas()  # at most fan x bins numbers
+    if last.empty:
         return units.withColumn("split", F.lit(None).cast("string"))
-    known = sorted(sums["part"].unique())
-    rows = [np.zeros(bins) for _ in known]
-    for p, b, n in zip(sums["part"], sums["bin"], sums["n"], strict=True):
-        rows[known.index(p)][b] = n
-    place, total = combine(rows)
+    top = merge(last)
+    total = np.zeros(bins)
+    total[top["to"]] = top["n"]
     names = allocate(total, shares)
-    spark = units.sparkSession
-    to = spark.createDataFrame([(int(p), b, names[place[i, b]]) for i, p in enumerate(known) for b in range(bins)], "part int, bin long, split string")
+    to = units.sparkSession.createDataFrame([(int(p), int(b), names[t]) for p, b, t in zip(top["part"], top["bin"], top["to"], strict=True)], "part long, bin long, split string")
+    for level in reversed(levels):  # down the tree
+        to = level.join(to.select(F.col("part").alias("up"), F.col("bin").alias("to"), "split"), ["up", "to"]).select("part", "bin", "split")
     return placed.join(to, ["part", "bin"]).select("unit", "group_id", "n_records", "n_current_splits", "split")
 
 
-def record_splits(assignments: DataFrame, plan: DataFrame, **more: int) -> DataFrame:
-    """(record_id, group_id, current_split, split, torn): every record with the split of its group; torn: the group has several splits now."""
-    units = group_splits(assignments, plan, **more).select("unit", F.col("split").alias("new"), (F.col("group_id").isNotNull() & (F.col("n_current_splits") > 1)).alias("torn"))
-    return grouped(assignments).join(units, "unit").select("record_id", "group_id", F.col("split").alias("current_split"), F.col("new").alias("split"), "torn")
+def record_splits(assignments: DataFrame, plan: DataFrame, links: DataFrame | None = None, bins: int = BINS, groups_a_partition: int = GROUPS_A_PARTITION, fan: int = FAN) -> DataFrame:
+    """(record_id, group_id, current_split, split, torn): every record with the split of its unit; torn: the group has several splits now."""
+    rows = grouped(assignments, links)
+    if links is not None:
+        rows = materialize(rows, "grouped")
+    units = _unit_splits(rows, plan, bins, groups_a_partition, fan).select("unit", F.col("split").alias("new"), (F.col("n_current_splits") > 1).alias("wide"))
+    out = rows.join(units, "unit")
+    if links is None:
+        return out.select("record_id", "group_id", F.col("split").alias("current_split"), F.col("new").alias("split"), (F.col("group_id").isNotNull() & F.col("wide")).alias("torn"))
+    torn = rows.filter("group_id is not null").groupBy("group_id").agg((F.count_distinct("split") > 1).alias("torn"))
+    return out.join(torn, "group_id", "left").select("record_id", "group_id", F.col("split").alias("current_split"), F.col("new").alias("split"), F.coalesce("torn", F.lit(False)).alias("torn"))
 
 
 def torn_groups(assignments: DataFrame, plan: DataFrame) -> DataFrame:

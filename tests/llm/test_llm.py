@@ -68,6 +68,22 @@ def test_splits_keep_groups_and_shares(spark):
     assert splits.record_splits(a.limit(0), plan).count() == 0
 
 
+def test_splits_over_a_tree_and_links(spark):
+    r = random.Random(3)
+    rows = [(rid(i), f"g{i // r.randrange(1, 6)}", "train", i) for i in range(3000)]
+    a = spark.createDataFrame(rows, "record_id string, group_id string, split string, t int").withColumn("assigned_at", F.timestamp_seconds("t"))
+    plan = spark.createDataFrame(PLAN, "split string, target_share double")
+    out = splits.record_splits(a, plan, bins=20, groups_a_partition=40, fan=3).toPandas()
+    assert len(out) == 3000 and (out.groupby("group_id").split.nunique() == 1).all()
+    share = out.split.value_counts(normalize=True)
+    assert abs(share["train"] - 0.7) < 0.02 and abs(share["test"] - 0.15) < 0.02
+    links = [(rid(i), rid(i + 700)) for i in range(0, 300, 7)] + [(rid(5), rid(9000)), (rid(9000), rid(2500)), ("x", rid(1))]  # 9000 has no assignment
+    out = splits.record_splits(a, plan, spark.createDataFrame(links, "left_record_id string, right_record_id string"), bins=20).toPandas()
+    of = dict(zip(out.record_id, out.split))
+    assert len(out) == 3000 and (out.groupby("group_id").split.nunique() == 1).all()
+    assert all(of[x] == of[y] for x, y in links if x in of and y in of) and of[rid(5)] == of[rid(2500)]
+
+
 def test_differencing_balances():
     r = random.Random(1)
     w = np.array([r.randrange(1, 50) for _ in range(997)], dtype=float)
@@ -151,6 +167,14 @@ def test_pack_whole_and_exchange(spark):
     assert packing.pack(df.limit(0), 100).count() == 0
 
 
+def test_exchange_saves_containers(spark):
+    r = random.Random(7)
+    df = spark.createDataFrame([(i, "w " * r.randrange(22, 48)) for i in range(1500)], "doc_id long, text string")
+    out = packing.pack(df, 100, items_a_partition=30).toPandas()
+    assert out.container_id.str.match(r"[1-9]\d*-").any()  # only an exchange that saves containers is kept
+    assert len(out) == 1500 and out.groupby("container_id").n_tokens.sum().max() <= 100
+
+
 # --- 9: mixing ---
 
 
@@ -171,6 +195,15 @@ def test_mix_reaches_shares(spark):
     assert chosen.select("doc_id").distinct().count() == chosen.count() and mixing.mix(df.limit(0), plan)[0].count() == 0
 
 
+def test_mix_of_the_corpus_clamps_small_sources(spark):
+    rows = [(i, "w " * 10, "a" if i % 20 == 0 else "b" if i % 10 == 1 else "c") for i in range(4000)]  # 2,000, 4,000 and 34,000 tokens
+    plan = spark.createDataFrame([("a", 0.3, 2), ("b", 0.3, 1), ("c", 0.4, 3)], "source string, target_share double, max_repeats int")
+    chosen, given = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), plan, "corpus")
+    got = {r["source"]: r for r in mixing.reached(chosen, given).collect()}
+    assert (got["a"]["used_tokens"], got["b"]["used_tokens"]) == (4000, 4000) and abs(got["c"]["used_tokens"] - 32000) <= 10
+    assert got["a"]["most_copies"] == 2 and abs(got["a"]["share"] - 0.1) < 0.001
+
+
 # --- 2: canonical values ---
 
 
@@ -250,6 +283,33 @@ def test_overlaps_equal_brute_force(spark):
     assert crosssplit.overlaps(listings.limit(0), a).count() == 0
 
 
+def overlap_rows(spark, *rows):
+    """The pairs among (split, name, description) rows, as pairs of row numbers."""
+    listings = spark.createDataFrame([(rid(i), n, d, "r") for i, (_, n, d) in enumerate(rows)], "record_id string, ProductName string, ProductDescription string, Retailer string")
+    a = spark.createDataFrame([(rid(i), "g", s) for i, (s, _, _) in enumerate(rows)], "record_id string, group_id string, split string").withColumn("assigned_at", F.current_timestamp())
+    return {tuple(int(x, 16) for x in r) for r in crosssplit.overlaps(listings, a).collect()}
+
+
+def test_overlaps_in_all_scripts(spark):
+    russian = "Эта добавка содержит витамин С и цинк. Принимайте одну капсулу в день после еды, запивая водой."
+    japanese = "本製品はビタミンCと亜鉛を含むサプリメントです。一日一粒を目安に水と一緒にお召し上がりください。"
+    rows = [
+        ("train", "Витамин С", russian), ("test", "Магний", "Хранить в сухом месте при комнатной температуре, беречь от детей и солнечного света."), ("test", "ビタミン", japanese), ("validation", "Витамин С 500", russian.replace("одну", "1")),
+        ("train", "ビタミン", japanese + "!"), ("train", "123", "45 — 67"), ("test", "890", "12 — 34"), ("test", "123", "45 — 67"),
+    ]
+    assert overlap_rows(spark, *rows) == {(0, 3), (2, 4), (5, 7)}
+
+
+def test_rarity_counts_frequent_shingles(spark):
+    r = random.Random(3)
+    texts = ["common words that all of the texts begin with " + " ".join(r.choice("abcdefghijklmnop") * 4 for _ in range(20)) for _ in range(400)]
+    rarity = crosssplit._counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    _, common = crosssplit.shingle_sets(["common words that all of the texts begin with"])
+    _, other = crosssplit.shingle_sets(texts[:50])
+    exact = crosssplit._scale(np.array([400]))[0]
+    assert (rarity.rank(common) == exact).all() and np.median(rarity.rank(other)) < exact
+
+
 # --- 5: encodings ---
 
 
@@ -275,6 +335,18 @@ def test_repair(spark):
     assert mojibake.repair_fields(df.limit(0)).count() == 0
 
 
+def test_many_wrong_decodings_are_undone(spark):
+    nouns = ["Größe", "crème brûlée", "jalapeño", "façade", "für", "naïve"]
+    clean = [f"The {nouns[i % 6]} with {nouns[(i * 5 + 1) % 6]} no {i}" for i in range(1500)]
+    text = clean[0]
+    for _ in range(5):
+        text = text.encode().decode("latin-1")
+    rows = [(str(i), c) for i, c in enumerate(clean)] + [("g", text)]
+    df = spark.createDataFrame(rows, "record_id string, ProductName string").withColumn("ProductDescription", F.lit(None).cast("string"))
+    got = [r for r in mojibake.repair_fields(df).collect() if r["record_id"] == "g"]
+    assert got[0]["text"] == clean[0] and len(got[0]["chains"]) == 5
+
+
 # --- 3: products ---
 
 
