@@ -76,13 +76,14 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives the loss of executors.
 
-    The files stay until release() or the end of the process.
+    The files stay until release(), spark.stop() or the end of the process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _made:
         atexit.register(_sweep)
+    _sweep_on_stop(spark)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shelfwright_path = path
@@ -104,16 +105,21 @@ def _sweep() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:
         return
-    for path in _made.get(spark.sparkContext.applicationId, []):
+    made = _made.get(spark.sparkContext.applicationId, [])
+    while made:
         try:
-            _remove(spark, path)
+            _remove(spark, made.pop())
         except Exception:  # the gateway may be gone already
             return
 
 
-def data_dir(default: str = "/root/testdata/sf0.001") -> str:
-    return os.environ.get("BENCH_SF_DIR", default)
+def _sweep_on_stop(spark: SparkSession) -> None:
+    """Delete this session's tables before it stops, as nothing can be deleted through it afterwards."""
+    if getattr(spark, "_shelfwright_stop", None) is None:
+        spark._shelfwright_stop = spark.stop
 
+        def stop() -> None:
+            _sweep()
+            spark._shelfwright_stop()
 
-def exists(path: str) -> bool:
-    return Path(path).exists()
+        spark.stop = stop
