@@ -22,14 +22,10 @@ from shelfwright.session import materialize, release
 def usable_edges(edges: DataFrame, left: str = "left_record_id", right: str = "right_record_id", pattern: str = "^[0-9a-f]{64}$") -> DataFrame:
     """(a, b) with a < b, each once: ids lower-cased and trimmed; NULL or malformed endpoints and self pairs are left out."""
     # most ids are well-formed as they are, and only the others need trimming
-    plain = lambda c: F.when(F.col(c).rlike(pattern) & ~F.col(c).rlike(r"[\s\x85\u2028\u2029]$"), F.col(c)).otherwise(key(F.col(c)))
-    a, b = plain(left), plain(right)
-    return (
-        edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (a.isNotNull() & b.isNotNull()).alias("both"))
-        .filter(F.col("both") & F.col("a").rlike(pattern) & F.col("b").rlike(pattern) & (F.col("a") < F.col("b")))
-        .select("a", "b")
-        .distinct()
-    )
+    whole = pattern[:-1] + r"\z" if pattern.endswith("$") else pattern
+    clean = lambda c: F.when(F.col(c).rlike(whole), F.col(c)).otherwise(F.when(key(F.col(c)).rlike(pattern), key(F.col(c))))
+    ends = edges.select(clean(left).alias("x"), clean(right).alias("y")).filter("x <> y")
+    return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
