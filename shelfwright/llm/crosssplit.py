@@ -46,17 +46,21 @@ _FOREIGN = r"[\p{L}\p{M}&&[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]]"
 _UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
-def words(*columns: str) -> Column:
-    """The words of a text, lower-cased; markup, figures and all other characters separate them.
+def plain_text(*columns: str) -> Column:
+    """Texts in lower case without markup."""
+    text = F.lower(F.concat_ws(" ", *columns))
+    return F.when(F.contains(text, F.lit("<")) | F.contains(text, F.lit("&")), F.regexp_replace(text, r"<[^<>]*>|&#?[a-z0-9]{2,8};", " ")).otherwise(text)
+
+
+def words(text: Column) -> Column:
+    """The words of a plain_text(); figures and all other characters separate them.
 
     Words are runs of the letters a-z; in texts with more letters of another script also the runs of these, each letter by itself where the script
     has no blanks. (Elsewhere such letters are what wrong decoding leaves behind.) A text without words is empty.
     """
-    text = F.lower(F.concat_ws(" ", *columns))
-    text = F.when(F.contains(text, F.lit("<")) | F.contains(text, F.lit("&")), F.regexp_replace(text, r"<[^<>]*>|&#?[a-z0-9]{2,8};", " ")).otherwise(text)
-    foreign = F.length(F.regexp_replace(text, rf"[^\p{{L}}\p{{M}}]|[\p{{IsLatin}}\p{{IsCommon}}\p{{IsInherited}}]", "")) > F.length(F.regexp_replace(text, "[^a-z]", ""))
+    foreign = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]|[\p{IsLatin}\p{IsCommon}\p{IsInherited}]", "")) > F.length(F.regexp_replace(text, "[^a-z]", ""))
     spaced = F.regexp_replace(F.regexp_replace(text, _UNSPACED, " $1 "), r"[^a-z\p{L}\p{M}]+|[[\p{IsLatin}\p{IsCommon}\p{IsInherited}]&&[^a-z]]+", " ")
-    return F.when(text.rlike(_FOREIGN) & foreign, F.trim(spaced)).otherwise(F.trim(F.regexp_replace(text, "[^a-z]+", " ")))
+    return F.coalesce(F.when(text.rlike(_FOREIGN), F.when(foreign, F.trim(spaced))), F.trim(F.regexp_replace(text, "[^a-z]+", " ")))
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -99,15 +103,16 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarr
 def _texts(listings: DataFrame) -> DataFrame:
     """(record_id, Retailer, text, c): of the listings that have both a name and a description, their words and their class, a hash of these, or of the whole texts where there are none."""
     both = listings.filter(present(F.col("ProductName")) & present(F.col("ProductDescription")) & F.col("record_id").isNotNull())
-    rows = both.select(F.lower(F.trim("record_id")).alias("record_id"), "Retailer", words("ProductName", "ProductDescription").alias("text"), "ProductName", "ProductDescription")
     whole = F.xxhash64(F.lower(F.trim("ProductName")), F.lower(F.trim("ProductDescription")), F.lit(1))
-    return rows.select("record_id", "Retailer", "text", F.when(F.col("text") == "", whole).otherwise(F.xxhash64("text")).alias("c"))
+    rows = both.select(F.lower(F.trim("record_id")).alias("record_id"), "Retailer", plain_text("ProductName", "ProductDescription").alias("plain"), whole.alias("whole"))
+    rows = rows.select("record_id", "Retailer", words(F.col("plain")).alias("text"), "whole")
+    return rows.select("record_id", "Retailer", "text", F.when(F.col("text") == "", F.col("whole")).otherwise(F.xxhash64("text")).alias("c"))
 
 
-def _members(listings: DataFrame, assignments: DataFrame) -> DataFrame:
+def _members(texts: DataFrame, assignments: DataFrame) -> DataFrame:
     """(c, record_id, is_eval, split, Retailer) of the assigned records; c is the class, a hash of the text."""
     now = current_assignments(assignments).filter(F.col("split").isin("train", *EVALUATION)).select("record_id", "split")
-    rows = _texts(listings).select("record_id", "Retailer", "c")
+    rows = texts.select("record_id", "Retailer", "c")
     return rows.join(now, "record_id").select("c", "record_id", (F.col("split") != "train").alias("is_eval"), "split", "Retailer")
 
 
@@ -225,9 +230,10 @@ def _small(ids: DataFrame, n: int) -> DataFrame:
 
 def linked_classes(listings: DataFrame, assignments: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     """(c, d, similarity) of linked classes, c with evaluation and d with training records, c = d included; and the members."""
-    members = materialize(_members(listings, assignments), "members")
+    texts = materialize(_texts(listings), "texts")
+    members = materialize(_members(texts, assignments), "members")
     roles = members.groupBy("c").agg(F.min("record_id").alias("record_id"), F.max("is_eval").alias("has_eval"), F.max(~F.col("is_eval")).alias("has_train"))
-    texts = _texts(listings).select("record_id", "text")
+    texts = texts.select("record_id", "text")
     pairs = materialize(candidate_classes(texts, roles, _counts(texts), share), "candidates")
     n = pairs.count()
     wanted = pairs.select(F.explode(F.array("c", "d")).alias("c")).distinct().join(roles.select("c", "record_id"), "c")
