@@ -67,8 +67,8 @@ def mix(documents: DataFrame, plan: DataFrame, total_tokens: float | str | None
     spark = documents.sparkSession
     names = [r["source"] for r in rows]
     counted = documents.select(F.col(doc_id).alias("doc_id"), source_key(F.col(source)).alias("source"), F.col(text).alias("text")).filter(F.col("source").isin(names))
-    counted = counted.select("doc_id", "source", wordpunct_count(F.col("text")).alias("n_tokens"), F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|" + seed))).alias("h")).filter("n_tokens > 0")
-    counted = materialize(counted, "counted")
+    counted = counted.select("doc_id", "source", wordpunct_count(F.col("text")).alias("n_tokens"), F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|" + seed))).alias("h"))
+    counted = materialize(counted, "counted").filter("n_tokens > 0")  # a filter before it would count twice
     have = {r["source"]: int(r["t"]) for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # one row a planned source
     weights, repeats = {r["source"]: float(r["target_share"] or 0) for r in rows}, {r["source"]: int(r["max_repeats"] or 0) for r in rows}
     give = water_fill(have, weights, repeats, float(sum(have.values())) if total_tokens == "corpus" else total_tokens)
