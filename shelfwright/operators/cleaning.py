@@ -103,3 +103,76 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     """The last row of each key in an order; ties by all columns named."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+
+
+def _levels(c: Column) -> Column:
+    return F.filter(F.transform(F.split(c, ">"), strip), lambda x: x != "")
+
+
+def collapsed_paths(df: DataFrame, column: str) -> DataFrame:
+    """(record_id, repaired, changed) of present breadcrumb paths: one that is a shorter path of two different levels or more, several times over, is cut to it."""
+    rows = df.filter(present(F.col(column))).select("record_id", _levels(F.col(column)).alias("lv"))
+    n = F.size("lv")
+    whole = lambda k: (n % k == 0) & (F.size(F.array_distinct(F.slice("lv", F.lit(1), k))) > 1) & (F.col("lv") == F.flatten(F.array_repeat(F.slice("lv", F.lit(1), k), (n / k).cast("int"))))
+    sizes = F.when(n >= 4, F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor(n / 2).cast("int")))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("k", F.get(F.filter(sizes, whole), 0))
+    return rows.select("record_id", F.array_join(F.when(F.col("k").isNull(), F.col("lv")).otherwise(F.slice("lv", F.lit(1), F.col("k"))), " > ").alias("repaired"), F.col("k").isNotNull().alias("changed"))
+
+
+def outside_vocabulary(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """(record_id, value) of present values that known(value) lacks."""
+    rows = df.filter(present(F.col(column))).select("record_id", strip(F.col(column)).alias("value"))
+    return rows.join(known.select("value").distinct(), "value", "left_anti").select("record_id", "value")
+
+
+def replaced_labels(df: DataFrame, rules: tuple[tuple[str, str, str, str], ...]) -> tuple[DataFrame, DataFrame]:
+    """df with labels replaced by rules (column, old, new, name), which look at the values as they were, and the log (record_id, field, before, after, rule)."""
+    hits = F.array(*[F.when(F.col(f"`{c}`") == old, F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").alias("before"), F.lit(new).alias("after"), F.lit(name).alias("rule"))) for c, old, new, name in rules])
+    log = df.select("record_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("x")).select("record_id", "x.*")
+    changed = {}
+    for c, old, new, _ in rules:
+        changed[c] = (changed[c] if c in changed else F).when(F.col(f"`{c}`") == old, new)
+    return df.withColumns({c: w.otherwise(F.col(f"`{c}`")) for c, w in changed.items()}), log
+
+
+def label_shift(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
+    """(label, n_before, n_after): counts of a label in two states, 0 where it is not, `<missing>` for missing ones."""
+    count = lambda df, n: df.groupBy(F.when(present(F.col(column)), F.col(column)).otherwise("<missing>").alias("label")).agg(F.count("*").alias(n))
+    return count(before, "n_before").join(count(after, "n_after"), "label", "full").fillna(0, ["n_before", "n_after"])
+
+
+def model_text(columns: tuple[str, ...], limit: int) -> Column:
+    """`[Column] value` of each present column: markup removed, single blanks, at most `limit` characters a value."""
+    parts = []
+    for c in columns:
+        flat = F.trim(F.regexp_replace(F.regexp_replace(F.col(c), "<[^<>]*>", " "), r"\s+", " "))
+        known = present(F.col(c)) & ~F.lower(strip(F.col(c))).isin("none", "nan")
+        parts.append(F.when(known, F.concat(F.lit(f"[{c}] "), F.trim(F.substring(flat, 1, limit)))))
+    return F.concat_ws(" ", *parts)
+
+
+def size_bucket(n: Column) -> Column:
+    """The bucket of a group's size: 1, 2, 3-5, 6-10 or 11+."""
+    return F.when(n == 1, "1").when(n == 2, "2").when(n <= 5, "3-5").when(n <= 10, "6-10").otherwise("11+")
+
+
+def input_errors(df: DataFrame, key: str, needed: dict[str, str]) -> DataFrame:
+    """(record_id, error): rows whose key is missing or repeated, and rows that lack a needed column ({name: column})."""
+    k = F.when(present(F.col(key)), strip(F.col(key)))
+    rows = df.select("record_id", k.alias("k"), *[present(F.col(c)).alias(name) for name, c in needed.items()])
+    often = rows.filter("k is not null").groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.lit(True).alias("again"))
+    rows = rows.join(often, "k", "left")
+    found = F.array(F.when(F.col("k").isNull(), "key_missing").when(F.col("again"), "key_repeated"), *[F.when(~F.col(name), f"{name}_missing") for name in needed])
+    return rows.select("record_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("error"))
+
+
+def missing_by(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """(by, field, n, n_missing, share) for each of the columns."""
+    each = df.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), missing(F.col(c)).alias("m")) for c in columns])).alias("x")).select(by, "x.*")
+    return each.groupBy(by, "field").agg(F.count("*").alias("n"), F.count_if("m").alias("n_missing"), F.round(F.avg(F.col("m").cast("int")), 9).alias("share"))
+
+
+def overlap_signature(df: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """(record_id, signature): the names of the kinds of findings a row has, joined by +, or none."""
+    joined = F.concat_ws("+", *[F.when(found, name) for name, found in kinds.items()])
+    return df.select("record_id", F.when(joined == "", "none").otherwise(joined).alias("signature"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwright.functions.identifiers import effective_wilson, kl_lower
+
 
 def labelled(predictions: DataFrame) -> DataFrame:
     """One row a prediction_id (the latest), with both labels present."""
@@ -101,3 +103,54 @@ def review_reasons(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
     )
     reasons = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
     return rows.select("prediction_id", (F.size(reasons) > 0).alias("review"), F.array_join(reasons, ";").alias("reasons"))
+
+
+def threshold_grid(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """(target, per_mille, accepted, errors): rows at or above each threshold of a grid in thousandths, from a histogram; see selective()."""
+    at = F.least(F.greatest(F.round(F.col("confidence") * 1000).cast("int"), F.lit(least - 1)), F.lit(most))
+    hist = rows.filter("confidence is not null").withColumn("per_mille", at).groupBy("target", "per_mille").agg(F.count("*").alias("n"), F.sum(1 - right(rows)).alias("e"))
+    grid = hist.select("target").distinct().withColumn("per_mille", F.explode(F.sequence(F.lit(least), F.lit(most))))
+    w = Window.partitionBy("target").orderBy(F.col("per_mille").desc())  # as many rows a target as the grid has
+    full = grid.join(hist, ["target", "per_mille"], "left").fillna(0, ["n", "e"])
+    return full.select("target", "per_mille", F.sum("n").over(w).alias("accepted"), F.sum("e").over(w).alias("errors"))
+
+
+def clustered_bounds(rows: DataFrame, group: str, error: float = 0.05) -> DataFrame:
+    """(target, n_rows, effective_n, wilson, kl): lower bounds of the accuracy of rows clustered in groups."""
+    g = rows.groupBy("target", F.col(group).alias("g")).agg(F.count("*").alias("m"), F.sum(right(rows)).alias("k"))
+    t = g.groupBy("target").agg(F.sum("m").alias("n"), F.sum("k").alias("k"), F.sum(F.col("m") * F.col("m")).alias("s"))
+    t = t.withColumn("e", F.col("n") * F.col("n") / F.col("s")).withColumn("p", F.col("k") / F.col("n"))
+    return t.select(
+        "target", F.col("n").alias("n_rows"), F.round("e", 6).alias("effective_n"), F.round(effective_wilson(F.col("k"), F.col("n"), F.col("e")), 8).alias("wilson"), F.round(kl_lower(F.col("p"), F.col("e"), error), 8).alias("kl")
+    )
+
+
+def accepted_classes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(target, label, support, accepted, coverage, precision) of every label seen or emitted among rows at or above a threshold; NULL where undefined."""
+    ok = F.coalesce(F.col("confidence") >= threshold, F.lit(False))
+    each = rows.select("target", "true_label", "predicted_label", ok.alias("ok"), F.explode(F.array_distinct(F.array("true_label", "predicted_label"))).alias("label"))
+    true, said = F.col("label") == F.col("true_label"), F.col("label") == F.col("predicted_label")
+    c = each.groupBy("target", "label").agg(F.count_if(true).alias("support"), F.count_if(true & F.col("ok")).alias("kept"), F.count_if(said & F.col("ok")).alias("accepted"), F.count_if(true & said & F.col("ok")).alias("correct"))
+    ratio = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 9)
+    return c.select("target", "label", "support", "accepted", ratio("kept", "support").alias("coverage"), ratio("correct", "accepted").alias("precision"))
+
+
+def cohort_accuracy(rows: DataFrame, cohorts: dict[str, Column]) -> DataFrame:
+    """(cohort, n, accuracy): rows count in every cohort whose condition holds; empty cohorts are left out."""
+    names = F.array(*[F.when(c, name) for name, c in cohorts.items()])
+    each = rows.select(F.explode(F.filter(names, lambda x: x.isNotNull())).alias("cohort"), (F.col("true_label") == F.col("predicted_label")).cast("int").alias("ok"))
+    return each.groupBy("cohort").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 9).alias("accuracy"))
+
+
+def accuracy_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(target, n_before, n_after, before, after, delta): accuracies of two sets of predictions; NULL for a side that a target lacks."""
+    side = lambda df, n, a: df.groupBy("target").agg(F.count("*").alias(n), F.avg((F.col("true_label") == F.col("predicted_label")).cast("int")).alias(a))
+    both = side(before, "n_before", "a").join(side(after, "n_after", "b"), "target", "full")
+    return both.select("target", "n_before", "n_after", F.round("a", 9).alias("before"), F.round("b", 9).alias("after"), F.round(F.col("b") - F.col("a"), 9).alias("delta"))
+
+
+def majority_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
+    """(target, label, n, correct): what the most frequent label of the training rows (ties to the smallest) gets right in the others."""
+    n = train.groupBy("target", "true_label").agg(F.count("*").alias("n"))
+    best = n.groupBy("target").agg(F.min(F.struct((-F.col("n")).alias("m"), "true_label")).alias("b")).select("target", F.col("b.true_label").alias("label"))
+    return test.join(best, "target").groupBy("target", "label").agg(F.count("*").alias("n"), F.sum((F.col("true_label") == F.col("label")).cast("long")).alias("correct"))

@@ -86,3 +86,26 @@ def hash_chain(events: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True))], names=["event_id", "target", "seq", "previous", "digest"])
 
     return rows.mapInArrow(fold, "event_id string, target string, seq long, previous string, digest string")
+
+
+def verify_chain(events: DataFrame, chain: DataFrame) -> DataFrame:
+    """(event_id, target, seq, valid): whether each link of a stored chain (see hash_chain) is what the events give and follows the link before it.
+
+    An event without a link and a link without an event are invalid; a changed event breaks its own link and, through the digests, all later ones.
+    """
+    fresh = hash_chain(events).select("event_id", F.col("target").alias("t"), F.col("seq").alias("s"), F.col("previous").alias("p"), F.col("digest").alias("d"))
+    j = chain.join(fresh, "event_id", "full")
+    same = F.col("target").eqNullSafe(F.col("t")) & (F.col("seq") == F.col("s")) & (F.col("previous") == F.col("p")) & (F.col("digest") == F.col("d"))
+    return j.select("event_id", F.coalesce("target", "t").alias("target"), F.coalesce("seq", "s").alias("seq"), F.coalesce(same, F.lit(False)).alias("valid"))
+
+
+def states(events: DataFrame) -> DataFrame:
+    """(target, record_id, state, n_events): what the reviews of a record amount to; disagreement goes before a hold, a hold before a decision."""
+    d = deliveries(events).filter("record_id is not null and target is not null")
+    held = F.coalesce(F.array_contains(F.split("flags", ";"), "second_look"), F.lit(False))
+    s = d.groupBy("target", F.lower(F.trim("record_id")).alias("record_id")).agg(
+        F.count_distinct(F.when(F.col("action") == "correct", F.col("label"))).alias("labels"), F.max(F.col("action") == "reject").alias("rejected"), F.max(held).alias("held"), F.count("*").alias("n_events")
+    )
+    one = F.col("labels") == 1
+    state = F.when(F.col("labels") > 1, "label_conflict").when(one & F.col("rejected"), "corrected_and_rejected").when(F.col("held"), "held").when(one, "corrected").when(F.col("rejected"), "rejected").otherwise("approved")
+    return s.select("target", "record_id", state.alias("state"), "n_events")

@@ -179,3 +179,36 @@ def copied_texts(rows: DataFrame, text: Column, least: int = 200) -> DataFrame:
     """(digest, n, n_retailers): long texts that occur more than once, by digest."""
     t = rows.select(F.lower(F.trim("Retailer")).alias("retailer"), text.alias("t")).filter(F.length("t") >= least)
     return t.groupBy(F.md5("t").alias("digest")).agg(F.count("*").alias("n"), F.count_distinct("retailer").alias("n_retailers")).filter("n > 1")
+
+
+def top_neighbours(pairs: DataFrame, k: int) -> DataFrame:
+    """(name, neighbour, similarity, k): of each name the k most similar ones of pairs (left_name, right_name, similarity), ties by name."""
+    both = pairs.select(F.col("left_name").alias("name"), F.col("right_name").alias("neighbour"), "similarity").unionByName(pairs.select(F.col("right_name").alias("name"), F.col("left_name").alias("neighbour"), "similarity"))
+    w = Window.partitionBy("name").orderBy(F.desc("similarity"), "neighbour")
+    return both.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k)
+
+
+def oriented_crossings(edges: DataFrame, now: DataFrame) -> DataFrame:
+    """(train_id, other_id, other_split): edges between a train record and one of another split, each once."""
+    e = canonical_edges(edges).select("left", "right")
+    s = now.filter("split is not null").select("record_id", "split")
+    j = e.join(s.select(F.col("record_id").alias("left"), F.col("split").alias("ls")), "left").join(s.select(F.col("record_id").alias("right"), F.col("split").alias("rs")), "right")
+    first = F.col("ls") == "train"
+    j = j.filter(first != (F.col("rs") == "train"))
+    pick = lambda a, b, c: F.when(first, F.col(a)).otherwise(F.col(b)).alias(c)
+    return j.select(pick("left", "right", "train_id"), pick("right", "left", "other_id"), pick("rs", "ls", "other_split")).distinct()
+
+
+def coverage(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """(only_first, only_second, both): how many distinct keys two tables have alone and in common."""
+    side = lambda df, name: df.select(key).filter(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True))
+    j = side(first, "a").join(side(second, "b"), key, "full")
+    return j.agg(F.count_if(F.col("b").isNull()).alias("only_first"), F.count_if(F.col("a").isNull()).alias("only_second"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
+
+
+def partition_check(rows: DataFrame, parts: DataFrame, key: str, part: str) -> DataFrame:
+    """(n_rows, n_ids, n_in_several, n_in_none, n_parts): whether parts put every key of rows into exactly one part."""
+    own = parts.groupBy(key).agg(F.count_distinct(part).alias("k"))
+    j = rows.groupBy(key).agg(F.count("*").alias("n")).join(own, key, "left")
+    facts = j.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_ids"), F.count_if(F.col("k") > 1).alias("n_in_several"), F.count_if(F.col("k").isNull()).alias("n_in_none"))
+    return facts.withColumn("one", F.lit(1)).join(parts.agg(F.count_distinct(part).alias("n_parts")).withColumn("one", F.lit(1)), "one").drop("one")

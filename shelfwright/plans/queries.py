@@ -759,3 +759,6 @@ def mdl_text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = now(spark, sf_dir).filter("split is not null").select("record_id", "split").join(text, "record_id")
     out = models.predicted(models.text_classifier(rows.filter("split = 'train'"), "text", "label"), rows.filter("split = 'validation'"))
     return out.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("predicted_label")).cast("long")).alias("correct"))
+
+
+from shelfwright.plans import audits  # noqa: E402, F401  registers more queries, with the helpers above
