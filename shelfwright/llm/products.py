@@ -54,6 +54,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n|•")
 FIELDS = ("amount", "form", "pack", "flavour")
 CONCENTRATED = 0.7  # share of a word's listings that one brand must have for it to name a line
 PURE, SUPPORT = 0.9, 3  # share and number of the listings of one ingredient among those that have a word
+BROADCAST_TERMS = 100_000  # terms (some 100 bytes each) that may be broadcast; more are joined by shuffle
 LIFT, PAIRS = 2.0, 8  # how much more often than by chance listings must agree on an identifying word, and in how many pairs
 
 
@@ -221,7 +222,8 @@ def with_lines(read: DataFrame, known: DataFrame, listings: DataFrame) -> DataFr
     """
     best = lambda what, n, when: F.max_by(what, F.when(F.col(what).isNotNull() & when, F.struct(n, what)))
     own = F.col("at") < F.col("n_own")
-    told = read.select("row", (F.size("words") + F.size("terms")).alias("n_own"), F.posexplode(F.concat("words", "terms", "said")).alias("at", "term")).join(known, "term")
+    small = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
+    told = read.select("row", (F.size("words") + F.size("terms")).alias("n_own"), F.posexplode(F.concat("words", "terms", "said")).alias("at", "term")).join(small, "term")
     marks = F.coalesce("word", F.when(F.col("ingredient").isNotNull(), F.concat(F.lit("="), "term")))
     told = told.groupBy("row").agg(
         best("line", "n_line", own).alias("line"), best("ingredient", "n_ingredient", own).alias("ingredient"), best("ingredient", "n_ingredient", ~own).alias("facts_ingredient"),
@@ -256,7 +258,7 @@ def identifying_words(read: DataFrame) -> DataFrame:
     """
     whole = read.filter("line is not null and amount is not null and form is not null and pack is not null")
     g = F.xxhash64("line", F.coalesce("ingredient", F.lit("")), "amount", "form", "pack")
-    names = materialize(whole.select(g.alias("g"), "name", "form", F.coalesce("ingredient", F.lit("")).alias("ingredient"), F.array_sort(F.coalesce("marks", F.array().cast("array<string>"))).alias("marks")).distinct(), "names")
+    names = materialize(whole.select(g.alias("g"), "name", F.xxhash64("form").alias("form"), F.xxhash64(F.coalesce("ingredient", F.lit(""))).alias("ingredient"), F.array_sort(F.coalesce("marks", F.array().cast("array<string>"))).alias("marks")).distinct(), "names")
     sizes = names.groupBy("g").agg(F.count("*").alias("size"))
     term = F.filter("marks", lambda x: ~F.startswith(x, F.lit("=")))
     counts = names.select("g", "form", "ingredient", F.explode(term).alias("mark")).groupBy("g", "form", "ingredient", "mark").agg(F.count("*").alias("k"))
@@ -302,10 +304,11 @@ def nodes_of(read: DataFrame) -> DataFrame:
     """
     each = read.select("node", "line", "ingredient", "seller", *FIELDS).distinct()
     same = ["line", "ingredient", "amount", "form", "pack"]
-    each = each.withColumn("base", _number(*same))
-    known = each.filter("flavour is not null").select("base").distinct().withColumn("flavoured", F.lit(True))
     lacks = F.col("amount").isNull() | F.col("form").isNull() | F.col("pack").isNull()
-    out = each.join(known, "base", "left").withColumn("open", lacks | (F.col("flavour").isNull() & F.col("flavoured").isNotNull())).drop("flavoured", "base")
+    each = each.withColumn("base", _number(*same))
+    # a base has at most as many nodes as sellers and flavours
+    flavoured = F.max("flavour").over(Window.partitionBy("base")).isNotNull()
+    out = each.withColumn("open", lacks | (F.col("flavour").isNull() & flavoured)).drop("base")
     return materialize(out.withColumn("item", _number("line", "ingredient", *FIELDS)), "nodes")
 
 
@@ -394,7 +397,7 @@ def certain_matches(weight: np.ndarray) -> dict[int, int]:
 
 
 def match_sellers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(a, b): the certain matches among the scored pairs of two sellers in one block, component by component."""
+    """(a, b, equal): the certain matches among the scored pairs of two sellers in one block, component by component."""
     a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
     rows, ra = np.unique(a, return_inverse=True)
     cols, cb = np.unique(b, return_inverse=True)
@@ -412,14 +415,14 @@ def match_sellers(pdf: pd.DataFrame) -> pd.DataFrame:
         inside = label[ra] == k
         r, ri = np.unique(ra[inside], return_inverse=True)
         c, ci = np.unique(cb[inside], return_inverse=True)
-        weight = np.zeros((len(r), len(c)))
-        weight[ri, ci] = pdf["weight"].to_numpy()[inside]
-        out += [(rows[r[i]], cols[c[j]]) for i, j in certain_matches(weight).items()]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        weight, equal = np.zeros((len(r), len(c))), np.zeros((len(r), len(c)), dtype=bool)
+        weight[ri, ci], equal[ri, ci] = pdf["weight"].to_numpy()[inside], pdf["equal"].to_numpy()[inside]
+        out += [(rows[r[i]], cols[c[j]], equal[i, j]) for i, j in certain_matches(weight).items()]
+    return pd.DataFrame(out, columns=["a", "b", "equal"]).astype({"a": "int64", "b": "int64", "equal": bool})
 
 
 def matches(equal: DataFrame, loose: DataFrame) -> DataFrame:
-    """(a, b): the certain matches of each pair of sellers, a being of the seller that comes first."""
+    """(a, b, equal): the certain matches of each pair of sellers, a being of the seller that comes first; equal: their readings are."""
     cross = loose.filter("weight > 0")
     turn = F.col("a_seller") > F.col("b_seller")
     swap = lambda x, y, c: F.when(turn, F.col(y)).otherwise(F.col(x)).alias(c)
@@ -431,13 +434,13 @@ def matches(equal: DataFrame, loose: DataFrame) -> DataFrame:
     first = touched.select(F.col("node").alias("a"), F.col("other").alias("b_seller"), F.col("hit").alias("x"))
     second = touched.select(F.col("node").alias("b"), F.col("other").alias("a_seller"), F.col("hit").alias("y"))
     marked = equal.join(first, ["a", "b_seller"], "left").join(second, ["b", "a_seller"], "left")
-    lone = marked.filter("x is null and y is null").select("a", "b")
-    several = marked.filter("x is not null or y is not null").select("line", "ingredient", "a", "b", F.col("a_seller").alias("sa"), F.col("b_seller").alias("sb"), "weight")
-    several = several.unionByName(cross.select(several.columns))
+    lone = marked.filter("x is null and y is null").select("a", "b", F.lit(True).alias("equal"))
+    several = marked.filter("x is not null or y is not null").select("line", "ingredient", "a", "b", F.col("a_seller").alias("sa"), F.col("b_seller").alias("sb"), "weight", F.lit(True).alias("equal"))
+    several = several.unionByName(cross.withColumn("equal", F.lit(False)).select(several.columns))
     at_a, at_b = F.count("*").over(Window.partitionBy("a", "sb")), F.count("*").over(Window.partitionBy("b", "sa"))
     several = materialize(several.withColumn("single", (at_a == 1) & (at_b == 1)), "several")
-    solved = several.filter("not single").groupBy("sa", "sb", "line", "ingredient").applyInPandas(match_sellers, "a long, b long")
-    return lone.unionByName(several.filter("single").select("a", "b")).unionByName(solved)
+    solved = several.filter("not single").groupBy("sa", "sb", "line", "ingredient").applyInPandas(match_sellers, "a long, b long, equal boolean")
+    return lone.unionByName(several.filter("single").select("a", "b", "equal")).unionByName(solved)
 
 
 def agree(a: tuple, b: tuple) -> bool:
@@ -483,10 +486,11 @@ def assigned(nodes: DataFrame) -> DataFrame:
     """
     equal, loose = scored_pairs(nodes)
     matched = materialize(matches(equal, loose), "matches")
-    full = nodes.filter("not open").select("node")
-    both = matched.select("a", "b").unionByName(matched.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.join(full.select(F.col("node").alias("a")), "a").join(full.select(F.col("node").alias("b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-    settled = full.join(least, "node", "left").select("node", F.least("node", "least").alias("product"))
+    full = nodes.filter("not open").select("node", "item")
+    turned = lambda df: df.select("a", "b").unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = turned(matched.filter("not equal"))
+    least = turned(matched.filter("equal")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+    settled = materialize(full.join(least, "node", "left").select("node", "item", F.least("node", "least").alias("product")), "settled")
     # cycles close: all complete nodes an open one may match, or is matched with, must be one item
     fits = loose.filter("not b_open").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "b_item")
     chosen = fits.join(both, ["a", "b"], "left_semi")
@@ -494,14 +498,14 @@ def assigned(nodes: DataFrame) -> DataFrame:
     to = one(fits, "only").join(one(chosen, "match"), "a", "left").select(F.col("a").alias("node"), F.coalesce("only", "match").alias("item"))
     lacking = nodes.filter("open").select("node", "line", "ingredient", "seller", *FIELDS, F.col("item").alias("own")).join(to.withColumn("fitted", F.lit(True)), "node", "left")
     lacking = materialize(lacking, "lacking")
-    heads = settled.join(nodes.select("node", "item"), "node").groupBy("item").agg(F.min("product").alias("product"))
+    heads = settled.groupBy("item").agg(F.min("product").alias("product"))
     joined = lacking.filter("item is not null").select("node", "item").join(heads, "item").select("node", "product")
     apart = lacking.filter("fitted is null and coalesce(cast(amount as string), form, pack) is not null")
     distinct = apart.groupBy("line", "ingredient", *FIELDS, F.col("own").alias("item")).agg(F.min("seller").alias("first_seller"), F.max("seller").alias("last_seller"))
     united = distinct.groupBy("line", "ingredient").applyInPandas(unite, "line string, ingredient string, item long, united string")
     united = apart.join(united.select(F.col("item").alias("own"), _number("line", "ingredient", "united").alias("product")), "own").select("node", "product")
     open_ = lacking.select("node").join(joined.unionByName(united), "node", "left").select("node", F.coalesce("product", "node").alias("product"))
-    return settled.unionByName(open_)
+    return settled.select("node", "product").unionByName(open_)
 
 
 def _products(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
