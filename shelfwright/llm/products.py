@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,7 +54,6 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n|•")
 FIELDS = ("amount", "form", "pack", "flavour")
 CONCENTRATED = 0.7  # share of a word's listings that one brand must have for it to name a line
 PURE, SUPPORT = 0.9, 3  # share and number of the listings of one ingredient among those that have a word
-BROADCAST_TERMS = 100_000  # terms (some 100 bytes each) that may be broadcast; more are joined by shuffle
 LIFT, PAIRS = 2.0, 8  # how much more often than by chance listings must agree on an identifying word, and in how many pairs
 
 
@@ -107,13 +106,13 @@ def facts(text: str) -> str:
     return " . ".join(s for s in _SENTENCE.split(text) if _DIGIT.search(s)) if _DIGIT.search(text) else ""
 
 
-def quantities(name: str, description: str, contents: str) -> tuple[int | None, str | None, str | None, str]:
+def quantities(name: str, description: str | Callable[[], str], contents: str) -> tuple[int | None, str | None, str | None, str]:
     """(amount, form, pack, facts) of a listing with folded name and contents; what the name lacks comes from the contents and from the description's facts, which are '' if not looked at."""
     form = read_form(name)
     amount, pack = read_amount(name, form), read_pack(name, form)
     said = ""
     if amount is None or form is None or pack is None:
-        said = facts(_fold(description))
+        said = facts(_fold(description if isinstance(description, str) else description()))
         form = form or read_form(said)
         amount = amount or read_amount(name, form) or read_amount(contents, form) or read_amount(said, form)
         pack = pack or read_pack(name, form) or read_pack(said, form)
@@ -146,9 +145,10 @@ def readings(listings: DataFrame) -> DataFrame:
         types = (pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.string())] * 4, pa.string())
         for batch in batches:
             out = []
-            for name, desc, contents, b1, b2 in zip(*[batch.column(i).to_pylist() for i in range(2, 7)], strict=True):
+            descriptions = batch.column(3)
+            for i, (name, contents, b1, b2) in enumerate(zip(*[batch.column(i).to_pylist() for i in (2, 4, 5, 6)], strict=True)):
                 n, c = _fold(name or ""), _fold(contents or "")
-                amount, form, pack, told = quantities(n, desc or "", c)
+                amount, form, pack, told = quantities(n, lambda: descriptions[i].as_py() or "", c)  # noqa: B023
                 own = set(_TOKEN.findall(_fold(f"{b1 or ''} {b2 or ''}")))
                 words, more = terms(n)
                 words = [w for w in words if w not in own]
@@ -222,8 +222,7 @@ def with_lines(read: DataFrame, known: DataFrame, listings: DataFrame) -> DataFr
     """
     best = lambda what, n, when: F.max_by(what, F.when(F.col(what).isNotNull() & when, F.struct(n, what)))
     own = F.col("at") < F.col("n_own")
-    small = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
-    told = read.select("row", (F.size("words") + F.size("terms")).alias("n_own"), F.posexplode(F.concat("words", "terms", "said")).alias("at", "term")).join(small, "term")
+    told = read.select("row", (F.size("words") + F.size("terms")).alias("n_own"), F.posexplode(F.concat("words", "terms", "said")).alias("at", "term")).join(known, "term")
     marks = F.coalesce("word", F.when(F.col("ingredient").isNotNull(), F.concat(F.lit("="), "term")))
     told = told.groupBy("row").agg(
         best("line", "n_line", own).alias("line"), best("ingredient", "n_ingredient", own).alias("ingredient"), best("ingredient", "n_ingredient", ~own).alias("facts_ingredient"),
@@ -298,18 +297,20 @@ def with_flavours(read: DataFrame, flavours: DataFrame) -> DataFrame:
 
 
 def nodes_of(read: DataFrame) -> DataFrame:
-    """(node, line, ingredient, seller, fields, item, open): the distinct readings of each seller; open ones lack a field.
+    """(node, line, ingredient, seller, fields, item, open): the distinct readings of each seller, in numbers; open ones lack a field.
 
     A reading lacks its flavour only where others with the same other fields have one. item is one number for equal readings of all sellers.
     """
-    each = read.select("node", "line", "ingredient", "seller", *FIELDS).distinct()
-    same = ["line", "ingredient", "amount", "form", "pack"]
+    # texts become numbers that a double holds exactly, as they only have to be equal or not
+    code = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c).bitwiseAND(F.lit((1 << 52) - 1))).alias(c)
+    each = read.select("node", code("line"), code("ingredient"), code("seller"), "amount", code("form"), code("pack"), code("flavour")).distinct()
+    number = lambda *columns: F.xxhash64(*[F.coalesce(F.col(c), F.lit(-1)) for c in columns])
     lacks = F.col("amount").isNull() | F.col("form").isNull() | F.col("pack").isNull()
-    each = each.withColumn("base", _number(*same))
+    each = each.withColumn("base", number("line", "ingredient", "amount", "form", "pack"))
     # a base has at most as many nodes as sellers and flavours
     flavoured = F.max("flavour").over(Window.partitionBy("base")).isNotNull()
     out = each.withColumn("open", lacks | (F.col("flavour").isNull() & flavoured)).drop("base")
-    return materialize(out.withColumn("item", _number("line", "ingredient", *FIELDS)), "nodes")
+    return materialize(out.withColumn("item", number("line", "ingredient", *FIELDS)), "nodes")
 
 
 def _number(*columns: str) -> Column:
@@ -500,9 +501,9 @@ def assigned(nodes: DataFrame) -> DataFrame:
     lacking = materialize(lacking, "lacking")
     heads = settled.groupBy("item").agg(F.min("product").alias("product"))
     joined = lacking.filter("item is not null").select("node", "item").join(heads, "item").select("node", "product")
-    apart = lacking.filter("fitted is null and coalesce(cast(amount as string), form, pack) is not null")
+    apart = lacking.filter("fitted is null and (amount is not null or form is not null or pack is not null)")
     distinct = apart.groupBy("line", "ingredient", *FIELDS, F.col("own").alias("item")).agg(F.min("seller").alias("first_seller"), F.max("seller").alias("last_seller"))
-    united = distinct.groupBy("line", "ingredient").applyInPandas(unite, "line string, ingredient string, item long, united string")
+    united = distinct.groupBy("line", "ingredient").applyInPandas(unite, "line long, ingredient long, item long, united string")
     united = apart.join(united.select(F.col("item").alias("own"), _number("line", "ingredient", "united").alias("product")), "own").select("node", "product")
     open_ = lacking.select("node").join(joined.unionByName(united), "node", "left").select("node", F.coalesce("product", "node").alias("product"))
     return settled.select("node", "product").unionByName(open_)
