@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwright.functions import identifiers
+from shelfwright.functions.python_text import folded_text, sequence_ratio
 from shelfwright.functions.text import present, strip
 from shelfwright.operators import cleaning, evaluation, grouping, ledger, resolution
 from shelfwright.operators.components import connected_groups
@@ -412,3 +413,26 @@ SELECT target, CASE WHEN labels > 1 THEN 'label_conflict' WHEN labels = 1 AND re
 )
 def led_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.states(table(spark, sf_dir, "review_events")).groupBy("target", "state").agg(F.count("*").alias("n_records"), F.sum("n_events").alias("n_events"))
+
+
+@query()
+def ev_group_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = predictions(spark, sf_dir).join(now(spark, sf_dir).filter("group_id is not null").select("record_id", "group_id"), "record_id")
+    return evaluation.group_bootstrap(rows, "group_id")
+
+
+@query()
+def ev_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.fitted_temperature(predictions(spark, sf_dir))
+
+
+@query()
+def fn_folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir).select("record_id", folded_text("ProductName").alias("text"))
+
+
+@query()
+def fn_sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity of neighbouring names of a brand."""
+    pairs = resolution.neighbours(resolution.named(listings(spark, sf_dir)), window=1)
+    return pairs.select("brand", "left_name", "right_name", F.round(sequence_ratio("left_name", "right_name"), 9).alias("ratio"))
