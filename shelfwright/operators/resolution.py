@@ -43,14 +43,17 @@ def rare_tokens(rows: DataFrame, k: int = 2) -> DataFrame:
 def blocked_pairs(rows: DataFrame, k: int = 2, share: float = 0.6) -> DataFrame:
     """(left_name, right_name, similarity): names of one brand that share one of their k rarest tokens and overlap enough in tokens.
 
-    Names are distinct within a block, so copies make no pairs; a block is as large as the names with a token that is rare in one of them.
+    Names are distinct within a block, so copies make no pairs; a block is as large as the names with a token that is rare in one of them. Names
+    and blocks are 64-bit hashes until the pairs are known.
     """
-    r = rare_tokens(rows.filter("brand <> ''"), k)
-    a, b = r.select("brand", "token", F.col("name").alias("left_name")), r.select("brand", "token", F.col("name").alias("right_name"))
-    pairs = a.join(b, ["brand", "token"]).filter("left_name < right_name").select("left_name", "right_name").distinct()
-    x, y = F.array_distinct(F.split("left_name", " ")), F.array_distinct(F.split("right_name", " "))
-    s = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    return pairs.withColumn("similarity", F.round(s, 9)).filter(F.col("similarity") >= share)
+    r = rare_tokens(rows.filter("brand <> ''"), k).select(F.xxhash64("brand", "token").alias("block"), F.xxhash64("name").alias("id"))
+    pairs = r.withColumnRenamed("id", "a").join(r.withColumnRenamed("id", "b"), "block").filter("a < b").select("a", "b").distinct()
+    tokens_ = F.transform(F.array_distinct(F.split("name", " ")), lambda x: F.xxhash64(x))
+    names = materialize(rows.filter("brand <> ''").select("name").distinct().select(F.xxhash64("name").alias("id"), "name", tokens_.alias("t")), "tokens")
+    both = pairs.join(names.select(F.col("id").alias("a"), F.col("t").alias("at")), "a").join(names.select(F.col("id").alias("b"), F.col("t").alias("bt")), "b")
+    common = F.size(F.array_intersect("at", "bt"))
+    similar = both.select("a", "b", F.round(common / (F.size("at") + F.size("bt") - common), 9).alias("similarity")).filter(F.col("similarity") >= share)
+    return _named_pairs(similar, names)
 
 
 def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
@@ -76,43 +79,58 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
     return within.unionByName(across.select("brand", "left_name", "right_name", "step"))
 
 
+def _named_pairs(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """(left_name, right_name, similarity) of pairs (a, b, similarity) of numbers, the smaller name first; names has (id, name)."""
+    j = pairs.join(names.select(F.col("id").alias("a"), F.col("name").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
+    return j.select(F.least("x", "y").alias("left_name"), F.greatest("x", "y").alias("right_name"), "similarity")
+
+
 def set_similarity(rows: DataFrame, k: int = 5, share: float = 0.85) -> DataFrame:
     """(left_name, right_name, similarity): all pairs of distinct names whose character k-gram sets have at least this Jaccard similarity.
 
-    Lossless: of each set the m - ceil(share m) + 1 rarest grams are joined, with a length filter, and the pairs verified.
+    Lossless: of each set the m - ceil(share m) + 1 rarest grams are joined, with filters by length and by the places of the shared gram, and
+    the pairs verified. Names and grams are 64-bit hashes until the pairs are known.
     """
-    names = materialize(rows.select("name").distinct().select("name", char_ngrams(F.col("name"), k).alias("g")), "grams").withColumn("m", F.size("g"))
-    each = names.select("name", "m", F.explode("g").alias("gram"))
+    names = rows.select("name").distinct().withColumn("id", F.xxhash64("name"))
+    sets = materialize(names.select("id", "name", F.transform(char_ngrams(F.col("name"), k), lambda x: F.xxhash64(x)).alias("g")), "grams")
+    each = sets.select("id", F.explode("g").alias("gram"))
     df = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "gram").groupBy("name", "m").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("r"))
-    first = ranked.select("name", "m", F.explode(F.slice("r", F.lit(1), F.col("m") - F.ceil(F.col("m") * share - 1e-9).cast("int") + 1)).alias("x")).select("name", "m", "x.gram")
-    a, b = first.select("gram", F.col("name").alias("left_name"), F.col("m").alias("lm")), first.select("gram", F.col("name").alias("right_name"), F.col("m").alias("rm"))
-    near = a.join(b, "gram").filter((F.col("left_name") < F.col("right_name")) & (F.least("lm", "rm") >= F.greatest("lm", "rm") * share - 1e-9)).select("left_name", "right_name").distinct()
-    sets = names.select("name", "g")
-    both = near.join(sets.withColumnRenamed("name", "left_name").withColumnRenamed("g", "lg"), "left_name").join(sets.withColumnRenamed("name", "right_name").withColumnRenamed("g", "rg"), "right_name")
-    common = both.select("left_name", "right_name", F.size("lg").alias("lm"), F.size("rg").alias("rm"), F.size(F.array_intersect("lg", "rg")).alias("c"))
-    return common.select("left_name", "right_name", F.round(F.col("c") / (F.col("lm") + F.col("rm") - F.col("c")), 9).alias("similarity")).filter(F.col("similarity") >= share)
+    ranked = each.join(df, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("r")).withColumn("m", F.size("r"))
+    first = ranked.select("id", "m", F.posexplode(F.slice("r", F.lit(1), F.col("m") - F.ceil(F.col("m") * share - 1e-9).cast("int") + 1)).alias("place", "x")).select("id", "m", "place", "x.gram")
+    a, b = (first.select("gram", F.col("id").alias(x), F.col("m").alias(x + "m"), F.col("place").alias(x + "p")) for x in ("a", "b"))
+    need = F.ceil((F.col("am") + F.col("bm")) * (share / (1 + share)) - 1e-9)
+    at_most = F.least("ap", "bp") + F.least(F.col("am") - F.col("ap"), F.col("bm") - F.col("bp"))
+    near = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.least("am", "bm") >= F.greatest("am", "bm") * share - 1e-9) & (at_most >= need)).select("a", "b").distinct()
+    both = near.join(sets.select(F.col("id").alias("a"), F.col("g").alias("ag")), "a").join(sets.select(F.col("id").alias("b"), F.col("g").alias("bg")), "b")
+    common = F.size(F.array_intersect("ag", "bg"))
+    similar = both.select("a", "b", F.round(common / (F.size("ag") + F.size("bg") - common), 9).alias("similarity")).filter(F.col("similarity") >= share)
+    return _named_pairs(similar, sets)
 
 
 def cosine_pairs(rows: DataFrame, share: float = 0.8) -> DataFrame:
     """(left_name, right_name, similarity): distinct names whose token vectors (smoothed inverse document frequency, length 1) have this cosine.
 
     A cosine of at least `share` needs a common token among those that hold more than 1 - share^2 of either vector's squared length, counted
-    from the rarest; only these prefixes are joined, and the pairs verified over whole vectors.
+    from the rarest; only these prefixes are joined, and the pairs verified over whole vectors. Names and tokens are 64-bit hashes until the
+    pairs are known.
     """
-    names = rows.select("name").distinct()
-    t = names.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("token"))
+    names = rows.select("name").distinct().withColumn("id", F.xxhash64("name"))
+    t = names.select("id", F.explode(F.transform(F.array_distinct(F.split("name", " ")), lambda x: F.xxhash64(x))).alias("token"))
     n = names.agg(F.count("*").alias("n_all")).withColumn("one", F.lit(1))
     idf = t.groupBy("token").agg(F.count("*").alias("df")).withColumn("one", F.lit(1)).join(F.broadcast(n), "one").select("token", "df", (F.log((1 + F.col("n_all")) / (1 + F.col("df"))) + 1).alias("w"))  # n is one row
-    v = t.join(idf, "token").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "token", "w"))).alias("v"), F.sum(F.col("w") * F.col("w")).alias("sq"))
-    v = v.withColumn("upto", F.expr("transform(sequence(1, size(v)), i -> aggregate(slice(v, 1, i - 1), 0D, (a, x) -> a + x.w * x.w) / sq)"))
-    first = v.select("name", F.explode(F.filter(F.arrays_zip("v", "upto"), lambda x: x["upto"] <= 1 - share * share + 1e-9)).alias("x")).select("name", "x.v.token")
-    a, b = first.withColumnRenamed("name", "left_name"), first.withColumnRenamed("name", "right_name")
-    pairs = a.join(b, "token").filter("left_name < right_name").select("left_name", "right_name").distinct()
-    m = v.select("name", "sq", F.map_from_arrays("v.token", "v.w").alias("m"))
-    p = pairs.join(m.select(F.col("name").alias("left_name"), F.col("sq").alias("ls"), F.col("m").alias("lm")), "left_name").join(m.select(F.col("name").alias("right_name"), F.col("sq").alias("rs"), F.col("m").alias("rm")), "right_name")
+    v = t.join(idf, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token", "w"))).alias("v"), F.sum(F.col("w") * F.col("w")).alias("sq"))
+    v = materialize(v, "vectors")
+    # the tokens whose forerunners hold too little of the length, by one running sum
+    none = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<bigint>").alias("ts"))
+    bound = (1 - share * share + 1e-9) * F.col("sq")
+    prefix = F.aggregate("v", none, lambda acc, x: F.struct((acc["s"] + x["w"] * x["w"]).alias("s"), F.when(acc["s"] <= bound, F.array_append(acc["ts"], x["token"])).otherwise(acc["ts"]).alias("ts")))
+    first = v.select("id", F.explode(prefix["ts"]).alias("token"))
+    pairs = first.withColumnRenamed("id", "a").join(first.withColumnRenamed("id", "b"), "token").filter("a < b").select("a", "b").distinct()
+    m = v.select("id", "sq", F.map_from_arrays("v.token", "v.w").alias("m"))
+    p = pairs.join(m.select(F.col("id").alias("a"), F.col("sq").alias("ls"), F.col("m").alias("lm")), "a").join(m.select(F.col("id").alias("b"), F.col("sq").alias("rs"), F.col("m").alias("rm")), "b")
     dot = F.aggregate(F.array_intersect(F.map_keys("lm"), F.map_keys("rm")), F.lit(0.0), lambda acc, k: acc + F.element_at("lm", k) * F.element_at("rm", k))
-    return p.select("left_name", "right_name", F.round(dot / F.sqrt(F.col("ls") * F.col("rs")), 6).alias("similarity")).filter(F.col("similarity") >= share)
+    similar = p.select("a", "b", F.round(dot / F.sqrt(F.col("ls") * F.col("rs")), 6).alias("similarity")).filter(F.col("similarity") >= share)
+    return _named_pairs(similar, names)
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
