@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +14,11 @@ from shelfwright.functions.identifiers import gtin, listing_url, name_key, selle
 from shelfwright.functions.text import present
 from shelfwright.operators.components import connected_groups, usable_edges
 from shelfwright.operators.resolution import canonical_edges
-from shelfwright.session import materialize
+from shelfwright.session import materialize, release
+
+LINKS_IN_TASK = 4_000_000  # of a component that a task searches whole
+LINKS_IN_BIN = 100_000  # of the components that a task searches together, about
+LAYERS = 32  # frontiers that become one table
 
 
 def key_edges(listings: DataFrame) -> DataFrame:
@@ -92,21 +101,65 @@ def partition_agreement(edges: DataFrame, now: DataFrame) -> DataFrame:
     return a.toDF("n_components", "n_spanning_groups", "one").join(b.toDF("n_groups", "n_split_groups", "one"), "one").drop("one")
 
 
-def hops(edges: DataFrame) -> DataFrame:
+def steps_within(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(id, n_hops): the fewest links (u, v) from each number to the smallest one of its component, breadth first; linear in the links."""
+    ids, ends = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
+    u, v = np.split(ends.astype(np.int32), 2)
+    x, y = np.concatenate([u, v]), np.concatenate([v, u])
+    near = memoryview(y[np.argsort(x, kind="stable")])
+    first = memoryview(np.searchsorted(np.sort(x), np.arange(len(ids) + 1)).astype(np.int64))
+    far = np.full(len(ids), -1, dtype=np.int32)
+    steps = memoryview(far)
+    for root in range(len(ids)):
+        if steps[root] < 0:
+            steps[root], queue = 0, deque([root])
+            while queue:
+                at = queue.popleft()
+                for to in near[first[at] : first[at + 1]]:
+                    if steps[to] < 0:
+                        steps[to] = steps[at] + 1
+                        queue.append(to)
+    return pd.DataFrame({"id": ids, "n_hops": far})
+
+
+def _frontiers(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, n_hops) from the roots (id) over links (u, v) of components of any size: a frontier that grows by one link a round.
+
+    What is next to a frontier is in it, in the one before or new, so a round costs one join of the frontier with the links, whatever was found before.
+    """
+    both = materialize(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+    frontier = materialize(roots.withColumn("n_hops", F.lit(0)), "frontier")
+    done, layers, n = [], [frontier], 0
+    while not frontier.isEmpty():
+        n += 1
+        step = frontier.join(both, frontier["id"] == both["u"]).select(F.col("v").alias("id")).distinct()
+        for old in layers[-2:]:
+            step = step.join(old.select("id"), "id", "left_anti")
+        frontier = materialize(step.withColumn("n_hops", F.lit(n)), "frontier")
+        layers.append(frontier)
+        if len(layers) > LAYERS + 2:
+            done.append(materialize(reduce(DataFrame.unionByName, layers[:LAYERS]), "layers"))
+            release(*layers[:LAYERS])
+            layers = layers[LAYERS:]
+    return reduce(DataFrame.unionByName, done + layers)
+
+
+def hops(edges: DataFrame, most: int = LINKS_IN_TASK) -> DataFrame:
     """(record_id, root, n_hops): the fewest edges from each record to the smallest one of its component.
 
-    A frontier that grows by one edge a round; a round costs one join of the frontier with the edges, and as many rounds are run as the longest
-    of these distances.
+    Components of up to `most` links are searched whole within a task, many of them in one, so that long chains cost no rounds; larger ones by
+    a distributed frontier that takes as many rounds as the longest of these distances.
     """
     e = materialize(usable_edges(edges), "edges")
-    both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-    roots = connected_groups(e, "a", "b").select(F.col("group_record_id").alias("root")).distinct()
-    frontier = materialize(roots.select(F.col("root").alias("record_id"), "root", F.lit(0).alias("n_hops")), "frontier")
-    seen, n = frontier, 0
-    while True:
-        n += 1
-        step = frontier.join(both, frontier["record_id"] == both["a"]).select(F.col("b").alias("record_id"), "root").distinct()
-        frontier = materialize(step.join(seen.select("record_id"), "record_id", "left_anti").withColumn("n_hops", F.lit(n)), "frontier")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+    # numbers in the order of the records, so that a component's root is its least number
+    groups = connected_groups(e, "a", "b").select("record_id", F.col("group_record_id").alias("root"))
+    groups = groups.repartitionByRange("record_id").sortWithinPartitions("record_id").withColumn("id", F.monotonically_increasing_id()).withColumn("r", F.xxhash64("root"))
+    groups = materialize(groups, "groups")
+    links = e.join(groups.select(F.col("record_id").alias("a"), F.col("id").alias("u"), "r"), "a").join(groups.select(F.col("record_id").alias("b"), F.col("id").alias("v")), "b")
+    links = materialize(links.select("u", "v", "r"), "links")
+    large = materialize(links.groupBy("r").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("r"), "large")
+    bins = links.count() // LINKS_IN_BIN + 1
+    found = links.join(large, "r", "left_anti").select("u", "v", F.pmod("r", F.lit(bins)).alias("bin")).groupBy("bin").applyInPandas(steps_within, "id long, n_hops int")
+    if not large.isEmpty():
+        found = found.unionByName(_frontiers(links.join(large, "r", "left_semi"), groups.join(large, "r", "left_semi").filter("record_id = root").select("id")))
+    return groups.join(found, "id").select("record_id", "root", "n_hops")

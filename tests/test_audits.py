@@ -48,6 +48,32 @@ def test_graph_audits(spark):
     assert grouping.hops(e.limit(0)).count() == 0
 
 
+def test_hops_of_long_chains_take_no_rounds(spark):
+    r = random.Random(5)
+    pairs = [(i, i + 1) for i in range(400)] + [(1000 + 7 * i, 1000 + 7 * (i + 1)) for i in range(5)] + [(r.randrange(2000, 2060), r.randrange(2000, 2060)) for _ in range(70)]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for root in sorted(near):
+        queue = [] if root in want else [(root, 0)]
+        for x, n in queue:
+            if x not in want:
+                want[x] = (root, n)
+                queue += [(y, n + 1) for y in near[x]]
+    got = lambda df: {int(x["record_id"], 16): (int(x["root"], 16), x["n_hops"]) for x in df.collect()}
+    spark.sparkContext.setJobGroup("hops", "hops")
+    try:
+        assert got(grouping.hops(edges(spark, *pairs))) == want
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("hops")) < 250  # 400 rounds of several jobs each before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    few = [(a, b) for a, b in pairs if a > 390]
+    assert got(grouping.hops(edges(spark, *few), most=6)) == got(grouping.hops(edges(spark, *few)))
+
+
 def test_rule_groups_and_must_link(spark):
     names = "record_id string, Upc string, ProductUrl string, Retailer string, Sku string, Brand string, ProductModelNumber string, ProductName string"
     rows = [
