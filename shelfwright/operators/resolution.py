@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwright.functions.identifiers import char_ngrams, name_key
+from shelfwright.functions.identifiers import name_key
+from shelfwright.functions.sets import gram_sets, images, near_enough, needed, shared
 from shelfwright.functions.text import present
 from shelfwright.session import materialize
 
+BUCKETS = 1 << 18  # hash buckets that grams are counted in
+
 
 def named(listings: DataFrame) -> DataFrame:
     """(record_id, name, brand): normalised names and brands of listings that have a name."""
@@ -80,31 +87,70 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
 
 
 def _named_pairs(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """(left_name, right_name, similarity) of pairs (a, b, similarity) of numbers, the smaller name first; names has (id, name)."""
+    """(left_name, right_name, ...) of pairs (a, b, ...) of numbers, the smaller name first; names has (id, name)."""
     j = pairs.join(names.select(F.col("id").alias("a"), F.col("name").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
-    return j.select(F.least("x", "y").alias("left_name"), F.greatest("x", "y").alias("right_name"), "similarity")
+    return j.select(F.least("x", "y").alias("left_name"), F.greatest("x", "y").alias("right_name"), *[c for c in pairs.columns if c not in ("a", "b")])
+
+
+def _bucket_counts(names: DataFrame, k: int) -> np.ndarray:
+    """How many names have the k-grams of each of BUCKETS hash buckets, in eighths of powers of two."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(gram_sets(batch.column(0).to_pylist(), k)[1] & (BUCKETS - 1), minlength=BUCKETS)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["b", "n"])
+
+    got = names.select("name").mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+    total = np.zeros(BUCKETS)
+    total[got["b"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.float64)
+    return np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8)
+
+
+def _prefixes(names: DataFrame, k: int, share: float) -> DataFrame:
+    """(gram, id, m, place, w0, w1): of each name (id, name) the m - ceil(share m) + 1 grams of the emptiest buckets, with size and image of its set."""
+    rarity = _bucket_counts(names, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, h = gram_sets(batch.column(1).to_pylist(), k)
+            _, start, m = np.unique(doc, return_index=True, return_counts=True)
+            image = images(h, start)
+            h = h[np.lexsort((h, rarity[h & (BUCKETS - 1)], doc))]
+            keep = m - np.ceil(m * share - 1e-9).astype(np.int64) + 1
+            i = np.repeat(np.arange(len(m)), keep)
+            place = np.arange(len(i)) - np.repeat(np.cumsum(keep) - keep, keep)
+            columns = [pa.array(h[start[i] + place]), batch.column(0).take(pa.array(i)), pa.array(m[i].astype(np.int32)), pa.array(place.astype(np.int32)), *(pa.array(w[i]) for w in image)]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "id", "m", "place", "w0", "w1"])
+
+    return names.select("id", "name").mapInArrow(run, "gram long, id long, m int, place int, w0 long, w1 long")
 
 
 def set_similarity(rows: DataFrame, k: int = 5, share: float = 0.85) -> DataFrame:
     """(left_name, right_name, similarity): all pairs of distinct names whose character k-gram sets have at least this Jaccard similarity.
 
-    Lossless: of each set the m - ceil(share m) + 1 rarest grams are joined, with filters by length and by the places of the shared gram, and
-    the pairs verified. Names and grams are 64-bit hashes until the pairs are known.
+    Lossless: of each set the m - ceil(share m) + 1 rarest grams are joined, with filters by length, by the places of the shared gram and by the
+    sets' images, and the pairs verified over whole names. Any order of the grams is as right, so hash buckets are counted in place of grams. Names and
+    grams are 64-bit hashes until the pairs are known; sets are made where they are needed, and no set is written.
     """
-    names = rows.select("name").distinct().withColumn("id", F.xxhash64("name"))
-    sets = materialize(names.select("id", "name", F.transform(char_ngrams(F.col("name"), k), lambda x: F.xxhash64(x)).alias("g")), "grams")
-    each = sets.select("id", F.explode("g").alias("gram"))
-    df = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("r")).withColumn("m", F.size("r"))
-    first = ranked.select("id", "m", F.posexplode(F.slice("r", F.lit(1), F.col("m") - F.ceil(F.col("m") * share - 1e-9).cast("int") + 1)).alias("place", "x")).select("id", "m", "place", "x.gram")
-    a, b = (first.select("gram", F.col("id").alias(x), F.col("m").alias(x + "m"), F.col("place").alias(x + "p")) for x in ("a", "b"))
-    need = F.ceil((F.col("am") + F.col("bm")) * (share / (1 + share)) - 1e-9)
-    at_most = F.least("ap", "bp") + F.least(F.col("am") - F.col("ap"), F.col("bm") - F.col("bp"))
-    near = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.least("am", "bm") >= F.greatest("am", "bm") * share - 1e-9) & (at_most >= need)).select("a", "b").distinct()
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("g").alias("ag")), "a").join(sets.select(F.col("id").alias("b"), F.col("g").alias("bg")), "b")
-    common = F.size(F.array_intersect("ag", "bg"))
-    similar = both.select("a", "b", F.round(common / (F.size("ag") + F.size("bg") - common), 9).alias("similarity")).filter(F.col("similarity") >= share)
-    return _named_pairs(similar, sets)
+    names = materialize(rows.filter("name is not null").select("name").distinct().withColumn("id", F.xxhash64("name")), "names")
+    first = _prefixes(names, k, share)
+    a, b = (first.select("gram", F.col("id").alias(x), *[F.col(c).alias(x + c) for c in ("m", "place", "w0", "w1")]) for x in ("a", "b"))
+    at_most = F.least("aplace", "bplace") + F.least(F.col("am") - F.col("aplace"), F.col("bm") - F.col("bplace"))
+    near = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (at_most >= needed(share)) & near_enough(share))
+    pairs = materialize(near.select("a", "b").distinct(), "pairs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                common, total = shared(batch.column(0).to_pylist(), batch.column(1).to_pylist(), k)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common), pa.array(total)], names=["left_name", "right_name", "common", "total"])
+
+    counted = _named_pairs(pairs, names).mapInArrow(verify, "left_name string, right_name string, common long, total long")
+    return counted.select("left_name", "right_name", F.round(F.col("common") / F.col("total"), 9).alias("similarity")).filter(F.col("similarity") >= share)
 
 
 def cosine_pairs(rows: DataFrame, share: float = 0.8) -> DataFrame:

@@ -47,6 +47,36 @@ def test_set_similarity_equals_brute_force(spark):
     assert resolution.set_similarity(df.limit(0)).count() == 0
 
 
+def moved(spark, run):
+    """What run() gives, and the bytes that it shuffles and writes to the shared folder."""
+    import pathlib
+    import time
+
+    from shelfwright import session
+
+    store = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    known, before = set(session._made.get(spark.sparkContext.applicationId, [])), store()
+    out = run()
+    time.sleep(1)
+    spark.range(1).count()  # the store is brought up to date with the next task
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    tables = [pathlib.Path(p.removeprefix("file://")) for p in session._made[spark.sparkContext.applicationId] if p not in known]
+    return out, store() - before + sum(f.stat().st_size for t in tables for f in t.glob("*.parquet"))
+
+
+def test_set_similarity_writes_no_sets(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(4, 11))) for _ in range(300)]
+    names = [" ".join(r.choice(words) for _ in range(10)) for _ in range(3000)]
+    names += [n[:-1] for n in names[:50]]
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(4).cache()
+    df.count()
+    got, size = moved(spark, lambda: {(x["left_name"], x["right_name"]) for x in resolution.set_similarity(df).collect()})
+    assert {(n[:-1], n) for n in names[:50]} <= got
+    assert size < 15 * sum(map(len, names))  # bytes: neither the grams of all names are shuffled nor their sets kept
+    df.unpersist()
+
+
 def test_previous_rows_across_ranges(spark):
     from shelfwright.operators.ordered import with_previous
 
