@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.functions.identifiers import name_key
-from shelfwright.functions.sets import gram_sets, images, near_enough, needed, shared
+from shelfwright.functions.sets import TokenImages, gram_sets, images, near_enough, needed, shared
 from shelfwright.functions.text import present
 from shelfwright.session import materialize
 
+FREQUENT = 1 << 16  # tokens whose counts every worker knows
 BUCKETS = 1 << 18  # hash buckets that grams are counted in
 
 
@@ -34,33 +36,60 @@ def star_edges(rows: DataFrame, key: str, row: str = "record_id") -> DataFrame:
     return rows.join(w, key).filter(F.col(row) != F.col("left")).select("left", F.col(row).alias("right"))
 
 
-def tokens(rows: DataFrame) -> DataFrame:
-    """(name, brand, token): the distinct tokens of each distinct name and brand."""
-    return rows.select("name", "brand").distinct().select("name", "brand", F.explode(F.array_distinct(F.split("name", " "))).alias("token"))
+def _tokens_of(name: str) -> Column:
+    return F.array_distinct(F.split(name, " "))
 
 
 def rare_tokens(rows: DataFrame, k: int = 2) -> DataFrame:
-    """(name, brand, token): the k rarest tokens of each name, ties by token."""
-    t = tokens(rows)
-    df = t.groupBy("token").agg(F.count("*").alias("df"))
-    top = t.join(df, "token").groupBy("name", "brand").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), 1, k).alias("r"))
-    return top.select("name", "brand", F.explode("r.token").alias("token"))
+    """(id, brand, m, w0, w1, token): the k rarest tokens of each name and brand, ties by token; id is the name's hash, m and w0, w1 are size and image of its tokens.
+
+    The FREQUENT most frequent tokens are counted on every worker; whatever is not among them is rarer. So only names with more than k such tokens
+    need these tokens' counts.
+    """
+    names = materialize(rows.select("name", "brand").distinct(), "names")
+    df = materialize(names.select(_tokens_of("name").alias("t")).select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "df")
+    top = df.orderBy(F.desc("df"), F.desc("token")).limit(FREQUENT).toPandas()  # FREQUENT rows at most
+    known = dict(zip(top["token"], top["df"].tolist(), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image = TokenImages()
+        for batch in batches:
+            picked, unsure, sizes, whole = [], [], [], []
+            for name in batch.column(2).to_pylist():
+                own = dict.fromkeys(name.split(" "))
+                rest = [t for t in own if t not in known]
+                sure = len(rest) <= k
+                picked.append(rest + heapq.nsmallest(k - len(rest), (t for t in own if t in known), key=lambda t: (known[t], t)) if sure else [])
+                unsure.append([] if sure else rest)
+                sizes.append(len(own))
+                whole.append(image.of(own))
+            halves = [np.array([(x >> s) & ((1 << 64) - 1) for x in whole], dtype=np.uint64).view(np.int64) for s in (0, 64)]
+            lists = [pa.array(x, pa.list_(pa.string())) for x in (picked, unsure)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), *map(pa.array, halves), *lists], names=["id", "brand", "m", "w0", "w1", "picked", "unsure"])
+
+    read = names.select(F.xxhash64("name").alias("id"), "brand", "name").mapInArrow(run, "id long, brand string, m int, w0 long, w1 long, picked array<string>, unsure array<string>")
+    read = materialize(read, "rare")
+    own = ["id", "brand", "m", "w0", "w1"]
+    each = read.select(*own, F.explode("unsure").alias("token")).join(df, "token")
+    counted = each.groupBy(*own).agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), 1, k).alias("r"))
+    return read.select(*own, F.explode("picked").alias("token")).unionByName(counted.select(*own, F.explode("r.token").alias("token")))
 
 
 def blocked_pairs(rows: DataFrame, k: int = 2, share: float = 0.6) -> DataFrame:
     """(left_name, right_name, similarity): names of one brand that share one of their k rarest tokens and overlap enough in tokens.
 
     Names are distinct within a block, so copies make no pairs; a block is as large as the names with a token that is rare in one of them. Names
-    and blocks are 64-bit hashes until the pairs are known.
+    and blocks are 64-bit hashes until the pairs are known. Sizes and images of the token sets meet in a block, and only pairs that they
+    do not rule out leave it, to be verified over whole names.
     """
-    r = rare_tokens(rows.filter("brand <> ''"), k).select(F.xxhash64("brand", "token").alias("block"), F.xxhash64("name").alias("id"))
-    pairs = r.withColumnRenamed("id", "a").join(r.withColumnRenamed("id", "b"), "block").filter("a < b").select("a", "b").distinct()
-    tokens_ = F.transform(F.array_distinct(F.split("name", " ")), lambda x: F.xxhash64(x))
-    names = materialize(rows.filter("brand <> ''").select("name").distinct().select(F.xxhash64("name").alias("id"), "name", tokens_.alias("t")), "tokens")
-    both = pairs.join(names.select(F.col("id").alias("a"), F.col("t").alias("at")), "a").join(names.select(F.col("id").alias("b"), F.col("t").alias("bt")), "b")
+    branded = rows.filter("brand <> ''")
+    r = rare_tokens(branded, k).select(F.xxhash64("brand", "token").alias("block"), "id", "m", "w0", "w1")
+    a, b = (r.select("block", F.col("id").alias(x), *[F.col(c).alias(x + c) for c in ("m", "w0", "w1")]) for x in ("a", "b"))
+    pairs = materialize(a.join(b, "block").filter((F.col("a") < F.col("b")) & near_enough(share)).select("a", "b").distinct(), "pairs")
+    names = branded.select("name").distinct().select(F.xxhash64("name").alias("id"), "name")
+    both = _named_pairs(pairs, names).withColumn("at", _tokens_of("left_name")).withColumn("bt", _tokens_of("right_name"))
     common = F.size(F.array_intersect("at", "bt"))
-    similar = both.select("a", "b", F.round(common / (F.size("at") + F.size("bt") - common), 9).alias("similarity")).filter(F.col("similarity") >= share)
-    return _named_pairs(similar, names)
+    return both.select("left_name", "right_name", F.round(common / (F.size("at") + F.size("bt") - common), 9).alias("similarity")).filter(F.col("similarity") >= share)
 
 
 def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:

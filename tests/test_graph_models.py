@@ -77,6 +77,33 @@ def test_set_similarity_writes_no_sets(spark):
     df.unpersist()
 
 
+def test_blocked_pairs_equal_brute_force_and_few_leave_their_block(spark, monkeypatch):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(14)]
+    names = sorted({" ".join(r.sample(words, r.choice([1, 2, 6, 7]))) for _ in range(700)})
+    rows = [(n, b) for n in names for b in (["b", "c"] if r.random() < 0.1 else ["b"])] + [("w1 w1", "b"), ("w1 w2 w3", "")]
+    df = spark.createDataFrame(rows, "name string, brand string").repartition(4).cache()
+    df.count()
+    branded = sorted({x for x in rows if x[1]})
+    count = {}
+    for n, _ in branded:
+        for t in set(n.split()):
+            count[t] = count.get(t, 0) + 1
+    rare = {n: set(sorted(set(n.split()), key=lambda t: (count[t], t))[:2]) for n, _ in branded}
+    want = set()
+    for (a, x), (b, y) in itertools.combinations(branded, 2):
+        s, t = set(a.split()), set(b.split())
+        if x == y and a != b and rare[a] & rare[b] and len(s & t) / len(s | t) >= 0.6:
+            want.add((min(a, b), max(a, b)))
+    got, size = moved(spark, lambda: resolution.blocked_pairs(df).collect())
+    assert {(x["left_name"], x["right_name"]) for x in got} == want and len(got) == len(want)
+    assert size < 250_000  # 501,412 bytes when all pairs of a block left it with their tokens
+    monkeypatch.setattr(resolution, "FREQUENT", 5)  # most tokens are counted one by one
+    assert {(x["left_name"], x["right_name"]) for x in resolution.blocked_pairs(df).collect()} == want
+    assert resolution.blocked_pairs(df.limit(0)).count() == 0
+    df.unpersist()
+
+
 def test_previous_rows_across_ranges(spark):
     from shelfwright.operators.ordered import with_previous
 
