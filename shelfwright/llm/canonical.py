@@ -106,7 +106,8 @@ def pigeonhole_join(values: DataFrame, reference: DataFrame) -> DataFrame:
     v = v.select("key", "n", "l", "k", F.explode(_segments(F.col("l"), F.col("k"))).alias("s"))
     v = v.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("s.start") - F.col("k")), F.col("s.start") + F.col("k"))))
     v = v.filter(F.col("at") + F.col("s.size") - 1 <= F.col("n")).select("key", "l", F.col("s.no").alias("no"), F.expr("substring(key, at, s.size)").alias("part")).distinct()
-    found = v.join(cut, ["l", "no", "part"]).select("key", "ref_key", "k").distinct()
+    # the pieces are many times the keys, which the planner's estimate leaves out, so that it would send all of them to the driver
+    found = v.join(cut.hint("merge"), ["l", "no", "part"]).select("key", "ref_key", "k").distinct()
     return found.withColumn("distance", F.levenshtein("key", "ref_key")).filter("distance <= k").select("key", "ref_key", "distance")
 
 

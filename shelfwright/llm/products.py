@@ -17,7 +17,7 @@ them is followed, and the node stays a product of its own.
 
 Scale: a map over the scan parses; vocabularies are aggregations with map-side combine. Only distinct readings enter blocks; complete
 readings meet by equality of all fields, and the few incomplete ones meet their block. No block is gathered into a task: only components of
-several pairs leave SQL, each for one pair of sellers within one block.
+several pairs leave SQL, each for one pair of sellers within one block. Tables are broadcast only where they were counted.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.llm.canonical import ACCENTED, PLAIN, pigeonhole_join
-from shelfwright.session import materialize
+from shelfwright.session import bounded, materialize
 
 #: Dosage forms as units of a count, weight or volume, and the spellings of units.
 _FORM = re.compile(r"(?P<gummy>gumm(?:y|ies))|(?P<softgel>\bsoft ?gels?\b)|(?P<capsule>\bcap(?:sule)?s?\b)|(?P<tablet>\btab(?:let)?s?\b)|(?P<lozenge>\blozenges?\b)|(?P<powder>\bpowder\b)|(?P<liquid>\bliquid|\btincture)")
@@ -54,6 +54,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n|•")
 FIELDS = ("amount", "form", "pack", "flavour")
 CONCENTRATED = 0.7  # share of a word's listings that one brand must have for it to name a line
 PURE, SUPPORT = 0.9, 3  # share and number of the listings of one ingredient among those that have a word
+LONE_ROWS = 1_000_000  # single numbers that may be broadcast
 LIFT, PAIRS = 2.0, 8  # how much more often than by chance listings must agree on an identifying word, and in how many pairs
 
 
@@ -188,21 +189,21 @@ def vocabulary(read: DataFrame) -> DataFrame:
     words = packed.select("term", "n", "known", F.shiftright("p", 32).alias("nb"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).alias("top"))
     as_brand = read.select(F.explode("brands").alias("term")).groupBy("term").agg(F.count("*").alias("n_brand"))
     # a word that is a brand more often than not is one here, too
-    words = words.join(as_brand, "term", "left").filter("n_brand is null or n_brand < n")
+    words = words.join(as_brand.hint("merge"), "term", "left").filter("n_brand is null or n_brand < n")
     is_line = (F.col("known") == 0) | (F.col("nb") >= CONCENTRATED * F.col("known"))
     words = materialize(words.select("term", "n", "top", is_line.alias("is_line"), (F.coalesce("n_brand", F.lit(0)) >= SUPPORT).alias("is_brand")), "words")
     # ingredients
     beside = read.filter("phrase is not null").select("phrase", F.explode(F.concat("words", "terms")).alias("term")).groupBy("term", "phrase").agg(F.count("*").alias("n"))
     pure = beside.groupBy("term").agg(F.max("n").alias("n_ingredient"), F.max_by("phrase", F.struct("n", "phrase")).alias("ingredient"), F.sum("n").alias("all")).filter(f"n_ingredient >= {SUPPORT} and n_ingredient >= {PURE} * all").drop("all")
-    pure = materialize(pure.join(words.filter("is_line or is_brand").select("term"), "term", "left_anti"), "pure")
+    pure = materialize(pure.join(bounded(words.filter("is_line or is_brand").select("term"), words), "term", "left_anti"), "pure")
     # mistyped words
     often = words.filter("n > 1").select(F.col("term").alias("ref_key"), F.col("n").alias("n_ref"), F.col("top").alias("top_ref"), F.col("is_line").alias("line_ref"))
     near = pigeonhole_join(words.select(F.col("term").alias("key")), often.select("ref_key")).filter("distance > 0")
-    near = near.join(often, "ref_key").join(words.select(F.col("term").alias("key"), "n", "top"), "key")
+    near = near.join(bounded(often, words), "ref_key").join(bounded(words.select(F.col("term").alias("key"), "n", "top"), words), "key")
     near = near.filter("n * 5 <= n_ref or (line_ref and top = top_ref and n * 2 <= n_ref)")
     to = near.groupBy("key").agg(F.max_by("ref_key", F.struct((F.col("line_ref") & (F.col("top") == F.col("top_ref"))).alias("own"), -F.col("distance"), "n_ref", "ref_key")).alias("word"))
     right = words.select("term").join(to.select(F.col("key").alias("term"), "word"), "term", "left").select("term", F.coalesce("word", "term").alias("word"))
-    stands = words.select(F.col("term").alias("word"), "n", "is_line", "top").join(pure.withColumnRenamed("term", "word"), "word", "left")
+    stands = words.select(F.col("term").alias("word"), "n", "is_line", "top").join(bounded(pure.withColumnRenamed("term", "word"), pure), "word", "left")
     meant = right.join(stands, "word").filter(f"is_line or ingredient is not null or n >= {PAIRS}")
     neither = ~F.col("is_line") & F.col("ingredient").isNull()
     meant = meant.select("term", F.when(F.col("is_line"), F.col("word")).alias("line"), F.when(F.col("is_line"), F.col("n")).alias("n_line"), "top", "ingredient", "n_ingredient", F.when(neither, F.col("word")).alias("word"))
@@ -222,7 +223,7 @@ def with_lines(read: DataFrame, known: DataFrame, listings: DataFrame) -> DataFr
     """
     best = lambda what, n, when: F.max_by(what, F.when(F.col(what).isNotNull() & when, F.struct(n, what)))
     own = F.col("at") < F.col("n_own")
-    told = read.select("row", (F.size("words") + F.size("terms")).alias("n_own"), F.posexplode(F.concat("words", "terms", "said")).alias("at", "term")).join(known, "term")
+    told = read.select("row", (F.size("words") + F.size("terms")).alias("n_own"), F.posexplode(F.concat("words", "terms", "said")).alias("at", "term")).join(bounded(known, known), "term")
     marks = F.coalesce("word", F.when(F.col("ingredient").isNotNull(), F.concat(F.lit("="), "term")))
     told = told.groupBy("row").agg(
         best("line", "n_line", own).alias("line"), best("ingredient", "n_ingredient", own).alias("ingredient"), best("ingredient", "n_ingredient", ~own).alias("facts_ingredient"),
@@ -233,18 +234,18 @@ def with_lines(read: DataFrame, known: DataFrame, listings: DataFrame) -> DataFr
     out = materialize(out, "lines")
     # a word that mostly stands beside a line is none, unless nothing else tells
     sizes = known.filter("line = term").select("line", "n_line")
-    weak = out.filter("line is not null").groupBy("line").agg(F.count("*").alias("picked")).join(sizes, "line").filter("picked * 2 <= n_line").select("line", F.lit(True).alias("weak"))
-    marked = out.join(materialize(weak, "weak"), "line", "left").select(*out.columns, "weak")
+    weak = out.filter("line is not null").groupBy("line").agg(F.count("*").alias("picked")).join(bounded(sizes, known), "line").filter("picked * 2 <= n_line").select("line", F.lit(True).alias("weak"))
+    marked = out.join(bounded(materialize(weak, "weak"), known), "line", "left").select(*out.columns, "weak")
     settled = F.col("line").isNotNull() & F.col("ingredient").isNotNull() & F.col("weak").isNull()
     rest = materialize(marked.filter(~settled).withColumn("h", F.xxhash64("record_id")), "rest")
-    texts = listings.filter("ProductDescription is not null").withColumn("h", F.xxhash64("record_id")).join(rest.select("h"), "h", "left_semi")
+    texts = listings.filter("ProductDescription is not null").withColumn("h", F.xxhash64("record_id")).join(bounded(rest.select("h"), rest, LONE_ROWS), "h", "left_semi")
     texts = texts.select("record_id", F.split(F.translate(F.lower("ProductDescription"), ACCENTED, PLAIN), r"[^\p{L}]+").alias("term"))
-    said = rest.select("record_id", "brands").join(texts, "record_id").select("record_id", "brands", F.explode(F.array_distinct("term")).alias("term")).join(known, "term")
+    said = bounded(rest.select("record_id", "brands"), rest).join(texts, "record_id").select("record_id", "brands", F.explode(F.array_distinct("term")).alias("term")).join(bounded(known, known), "term")
     said = said.groupBy("record_id").agg(F.collect_set(F.when(F.array_contains(F.transform("brands", _brand_number), F.col("top")), F.col("line"))).alias("lines"), best("ingredient", "n_ingredient", F.lit(True)).alias("said_ingredient"))
     only = out.filter("line is not null and ingredient is not null").groupBy("line").agg(F.min("ingredient").alias("least"), F.max("ingredient").alias("most")).filter("least = most")
     rest = rest.join(said.select("record_id", F.when(F.size("lines") == 1, F.col("lines")[0]).alias("said_line"), "said_ingredient"), "record_id", "left")
     rest = rest.withColumn("line", F.coalesce(F.when(F.col("weak").isNull(), F.col("line")), "said_line", "line")).withColumn("ingredient", F.coalesce("ingredient", "said_ingredient"))
-    rest = rest.join(only.select("line", F.col("least").alias("only")), "line", "left").withColumn("ingredient", F.coalesce("ingredient", "only"))
+    rest = rest.join(bounded(only.select("line", F.col("least").alias("only")), known), "line", "left").withColumn("ingredient", F.coalesce("ingredient", "only"))
     return marked.filter(settled).select(out.columns).unionByName(materialize(rest.select(out.columns), "mended"))
 
 
@@ -262,7 +263,7 @@ def identifying_words(read: DataFrame) -> DataFrame:
     term = F.filter("marks", lambda x: ~F.startswith(x, F.lit("=")))
     counts = names.select("g", "form", "ingredient", F.explode(term).alias("mark")).groupBy("g", "form", "ingredient", "mark").agg(F.count("*").alias("k"))
     k, size = F.col("k"), F.col("size")
-    cells = counts.join(sizes, "g").groupBy("form", "ingredient", "mark").agg(F.sum("k").alias("n"), F.sum(k * (k - 1)).alias("pairs"), F.sum(k * (size - 1)).alias("base"))
+    cells = counts.join(sizes.hint("merge"), "g").groupBy("form", "ingredient", "mark").agg(F.sum("k").alias("n"), F.sum(k * (k - 1)).alias("pairs"), F.sum(k * (size - 1)).alias("base"))
     cells = materialize(cells, "cells")
     # the chance that a listing of this form, or of this ingredient, has the word
     share = lambda c: cells.groupBy(c, "mark").agg(F.sum("n").alias("nc")).join(names.groupBy(c).agg(F.count("*").alias("of")), c).select(c, "mark", (F.col("nc") / F.col("of")).alias(f"by_{c}"))
@@ -337,7 +338,7 @@ def scored_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     full, lacking = nodes.filter("not open"), nodes.filter("open")
     total = sum(F.when(F.col(f).isNotNull(), F.lit(weights[f])).otherwise(0.0) for f in FIELDS)
     x = full.select("item", "line", "ingredient", F.col("node").alias("a"), F.col("seller").alias("a_seller"), total.alias("weight"))
-    equal = x.join(full.select("item", F.col("node").alias("b"), F.col("seller").alias("b_seller")), "item").filter("a_seller < b_seller")
+    equal = x.join(full.select("item", F.col("node").alias("b"), F.col("seller").alias("b_seller")).hint("merge"), "item").filter("a_seller < b_seller")
     agree = F.lit(True)
     for f in FIELDS:
         agree = agree & (F.col(f"a_{f}").isNull() | F.col(f"b_{f}").isNull() | (F.col(f"a_{f}") == F.col(f"b_{f}")))
@@ -434,7 +435,7 @@ def matches(equal: DataFrame, loose: DataFrame) -> DataFrame:
     touched = materialize(touched.withColumn("hit", F.lit(True)), "touched")
     first = touched.select(F.col("node").alias("a"), F.col("other").alias("b_seller"), F.col("hit").alias("x"))
     second = touched.select(F.col("node").alias("b"), F.col("other").alias("a_seller"), F.col("hit").alias("y"))
-    marked = equal.join(first, ["a", "b_seller"], "left").join(second, ["b", "a_seller"], "left")
+    marked = equal.join(bounded(first, touched), ["a", "b_seller"], "left").join(bounded(second, touched), ["b", "a_seller"], "left")
     lone = marked.filter("x is null and y is null").select("a", "b", F.lit(True).alias("equal"))
     several = marked.filter("x is not null or y is not null").select("line", "ingredient", "a", "b", F.col("a_seller").alias("sa"), F.col("b_seller").alias("sb"), "weight", F.lit(True).alias("equal"))
     several = several.unionByName(cross.withColumn("equal", F.lit(False)).select(several.columns))
@@ -491,7 +492,7 @@ def assigned(nodes: DataFrame) -> DataFrame:
     turned = lambda df: df.select("a", "b").unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = turned(matched.filter("not equal"))
     least = turned(matched.filter("equal")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-    settled = materialize(full.join(least, "node", "left").select("node", "item", F.least("node", "least").alias("product")), "settled")
+    settled = materialize(full.join(least.hint("merge"), "node", "left").select("node", "item", F.least("node", "least").alias("product")), "settled")
     # cycles close: all complete nodes an open one may match, or is matched with, must be one item
     fits = loose.filter("not b_open").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "b_item")
     chosen = fits.join(both, ["a", "b"], "left_semi")
@@ -536,4 +537,4 @@ def product_pairs(listings: DataFrame) -> DataFrame:
     groups = materialize(_products(listings)[0], "products")
     # the pairs are the result that is asked for; products are joined by number, hot ones are split by adaptive execution
     a, b = groups.select("product", F.col("record_id").alias("left_record_id")), groups.select("product", F.col("record_id").alias("right_record_id"))
-    return a.join(b, "product").filter("left_record_id < right_record_id").select("left_record_id", "right_record_id")
+    return a.join(b.hint("merge"), "product").filter("left_record_id < right_record_id").select("left_record_id", "right_record_id")

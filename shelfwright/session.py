@@ -16,6 +16,9 @@ TABLES = (
     "assignments match_edges target_predictions review_events raw_rows brand_reference split_plan source_mix size_limits"
 ).split()
 
+#: Rows of a table that the planner may broadcast.
+BROADCAST_ROWS = 250_000
+
 _shipped: set[str] = set()
 _made: dict[str, list[str]] = {}
 
@@ -101,6 +104,17 @@ def release(*frames: DataFrame) -> None:
                     made.remove(path)
 
 
+def bounded(df: DataFrame, table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df as a side of a join, which is not to be broadcast where the table (by materialize()) that it is made of has more rows.
+
+    The planner goes by the size of compressed files and keeps a broadcast that turns out larger, as adaptive execution adds no exchange.
+    """
+    n = getattr(table, "_shelfwright_rows", None)
+    if n is None:
+        n = table._shelfwright_rows = table.count()
+    return df if n <= rows else df.hint("merge")
+
+
 def _sweep() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwright.llm import canonical, crosssplit, groups, mixing, mojibake, packing, pieces, products, splits
+from shelfwright.session import bounded, materialize
 
 
 def rid(i):
@@ -234,6 +235,17 @@ def test_pigeonhole_equals_brute_force(spark):
     assert {(x["key"], x["ref_key"]) for x in got.collect()} == want
 
 
+
+def test_no_broadcast_of_what_outgrows_its_files(spark):
+    words = materialize(spark.createDataFrame([("melatonin",), ("meltonin",), ("zinc",)], "word string"))
+    broadcast = lambda df: (df.collect(), "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString())[1]
+    near = canonical.pigeonhole_join(words.select(F.col("word").alias("key")), words.select(F.col("word").alias("ref_key")))
+    # a key has dozens of pieces, but the planner sees the size of its file only
+    assert not broadcast(near) and {tuple(r) for r in near.collect()} >= {("meltonin", "melatonin", 1), ("zinc", "zinc", 0)}
+    other = words.withColumn("n", F.length("word"))
+    assert broadcast(words.join(bounded(other, words, 3), "word")) and not broadcast(words.join(bounded(other, words, 2), "word"))
+
+
 def test_values_are_mapped(spark):
     ref = spark.createDataFrame([(1, "Trunaeskum Brothers", None), (2, "Zulimbum Apothecary", "Fubrettus House"), (3, "Flostuptix’s", None), (4, "Segilma Nutrition Co.", None), (5, "Tocava & Daughters", None), (6, "Tocava Farm", None)], "brand_id long, brand_name string, former_name string")
     want = {
