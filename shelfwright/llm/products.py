@@ -17,7 +17,8 @@ them is followed, and the node stays a product of its own.
 
 Scale: a map over the scan parses; vocabularies are aggregations with map-side combine. Only distinct readings enter blocks; complete
 readings meet by equality of all fields, and the few incomplete ones meet their block. No block is gathered into a task: only components of
-several pairs leave SQL, each for one pair of sellers within one block. Tables are broadcast only where they were counted.
+several pairs leave SQL, each for one pair of sellers within one block. Learned words and open nodes are broadcast
+only where the table was counted and is small.
 """
 
 from __future__ import annotations
